@@ -1,0 +1,82 @@
+"""A table of 64-bit keys and numbers that executors look up in blocks of bounded size.
+
+The table is split by key hash into blocks of about ``BLOCK_ROWS`` rows, each an open-addressing table in
+a file of the shared folder.  A reader holds one block at a time and goes through all of them for each
+batch, so its memory is bounded however large the table grows; a table of one block stays in memory.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_arrow
+from .files import load_arrays, save_arrays
+
+BLOCK_ROWS = 2_500_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * _MIX) ^ (keys >> np.uint64(29))) * _MIX >> np.uint64(64 - bits)
+
+
+def _packed(keys: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Linear probing: rows in the order of their slots take the next free place."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
+    size = 1 << bits
+    order = np.argsort(_slots(keys, bits), kind="stable")
+    keys, values = keys[order], values[order]
+    slots = _slots(keys, bits).astype(np.int64)
+    places = np.maximum.accumulate(slots - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else slots
+    room = size + (int(places[-1]) - size + 2 if len(keys) and places[-1] >= size - 1 else 1)
+    table, numbers, used = np.zeros(room, np.uint64), np.zeros(room, values.dtype), np.zeros(room, bool)
+    table[places], numbers[places], used[places] = keys, values, True
+    return {"keys": table, "values": numbers, "used": used, "bits": np.array(bits)}
+
+
+def build(rows: DataFrame, key: str, value: str, path: str) -> list[str]:
+    """Write (key bigint, value double) rows as blocks; returns the blocks' paths.  Keys must be distinct."""
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK_ROWS))
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            for at in range(batch.num_rows):
+                got = [np.frombuffer(batch.column(c)[at].as_buffer(), np.int64 if c == 1 else np.float64) for c in (1, 2)]
+                name = f"{path}/{batch.column(0)[at].as_py()}.npz"
+                save_arrays(name, **_packed(got[0].view(np.uint64), got[1].astype(np.float32)))
+                yield {"path": [name]}
+
+        return step
+
+    placed = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).cast("bigint").alias("k"), F.col(value).cast("double").alias("v"))
+    whole = placed.groupBy("block").applyInArrow(_gathered, "block bigint, keys binary, vals binary")
+    return sorted(r["path"] for r in map_arrow(whole, make, "path string").collect())  # one short row for each block
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    to_bytes = lambda name, kind: pa.array([table[name].to_numpy().astype(kind).tobytes()], pa.binary())
+    return pa.table({"block": table["block"][:1], "keys": to_bytes("k", np.int64), "vals": to_bytes("v", np.float64)})
+
+
+def find(paths: list[str], keys: np.ndarray, missing: float) -> np.ndarray:
+    """The value of each key (float32), ``missing`` for those that no block has."""
+    out = np.full(len(keys), missing, np.float32)
+    for path in paths:
+        block = load_arrays(path)
+        table, values, used = block["keys"], block["values"], block["used"]
+        places = _slots(keys, int(block["bits"])).astype(np.int64)
+        here = table[places]
+        hit = (here == keys) & used[places]
+        out[hit] = values[places[hit]]
+        rest = np.flatnonzero(~hit & used[places])
+        while len(rest):
+            places[rest] += 1
+            at = places[rest]
+            hit = (table[at] == keys[rest]) & used[at]
+            out[rest[hit]] = values[at[hit]]
+            rest = rest[~hit & used[at]]
+    return out
