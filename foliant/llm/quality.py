@@ -27,7 +27,9 @@ FEATURES = (
 )
 #: Most rows of the two training samples.
 POSITIVES, UNLABELLED = 15_000, 30_000
-BINS = 24
+LEAST_NEGATIVES = 20
+#: Most bins of a feature, and the positives that each should have.
+BINS, ROWS_PER_BIN = 24, 25
 
 _UPPER, _LOWER, _DIGIT, _WHITE = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = True, True, True
@@ -91,10 +93,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows), -30, 30)))
 
 
-def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 400, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Model:
+def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 1500, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Full-batch Adam on the non-negative risk; without a prior, on positives against unlabelled (for its estimate)."""
     both = np.concatenate([positive, unlabelled])
-    edges = [np.unique(np.quantile(both[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(both.shape[1])]
+    bins = int(np.clip(len(positive) / ROWS_PER_BIN, 4, BINS))
+    edges = [np.unique(np.quantile(both[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(both.shape[1])]
     model = Model(edges, [np.zeros(len(e) + 1) for e in edges], 0.0, prior or 0.5)
     sizes = [len(w) for w in model.weights]
     starts = np.cumsum([0, *sizes[:-1]])
@@ -129,14 +132,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     it is known, and the unlabelled rate above it is at least the prior times that; the least ratio over
     thresholds that keep a fair share of the positives is the estimate.
     """
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    model = _fit(positive[:half_p], unlabelled[:half_u], None, steps=200)
-    p, u = model.logits(positive[half_p:]), model.logits(unlabelled[half_u:])
+    p_scores, u_scores = [], []
+    for fold in (0, 1):  # each half is ranked by the classifier of the other
+        model = _fit(positive[fold::2], unlabelled[fold::2], None, steps=200, l2=1e-3)
+        p_scores.append(model.logits(positive[1 - fold :: 2]))
+        u_scores.append(model.logits(unlabelled[1 - fold :: 2]))
     best = 1.0
-    for cut in np.quantile(p, np.linspace(0.02, 0.7, 35)):
-        above_p, above_u = (p >= cut).mean(), (u >= cut).mean()
-        slack = np.sqrt(above_u * (1 - above_u) / len(u)) + np.sqrt(above_p * (1 - above_p) / len(p))
-        best = min(best, (above_u + slack) / max(above_p, 1e-9))
+    for cut in np.linspace(0.02, 0.7, 35):
+        cuts = [np.quantile(p, cut) for p in p_scores]
+        above_p = np.mean([(p >= c).mean() for p, c in zip(p_scores, cuts)])
+        above_u = np.mean([(u >= c).mean() for u, c in zip(u_scores, cuts)])
+        best = min(best, above_u / max(above_p, 1e-9))
     return float(np.clip(best, 0.05, 0.99))
 
 
@@ -153,16 +159,22 @@ def _sample_statistics(docs: DataFrame, ids: DataFrame, id_col: str, text_col: s
     return np.array(rows.tolist(), dtype=float).reshape(-1, len(FEATURES))
 
 
+def open_rows_with(frame: DataFrame, id_col: str, modulus: int, held_out: int) -> DataFrame:
+    """Rows with an id outside the held-out fold."""
+    return frame.filter(F.col(id_col).isNotNull() & (crc_remainder(id_col, modulus) != held_out))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
 ) -> Model:
     """Fit on at most ``positives`` labelled good rows and ``unlabelled`` others, none of them of the held-out fold.
 
-    The samples are the rows with the least hashes of their ids, so they don't depend on partitions.  Labels
-    other than 1 are not read as labels: such rows belong to the unlabelled text.
+    The samples are the rows with the least hashes of their ids, so they don't depend on partitions.  Rows
+    labelled otherwise belong to the unlabelled text; they serve for the class prior alone: the share of good
+    labels, if at least LEAST_NEGATIVES say otherwise, else ``estimate_prior``.
     """
-    open_rows = lambda frame: frame.filter(F.col(id_col).isNotNull() & (crc_remainder(id_col, modulus) != held_out)).select(id_col)
+    open_rows = lambda frame: open_rows_with(frame, id_col, modulus, held_out).select(id_col)
     good = open_rows(labels.filter(F.col(label_col) == 1)).distinct()
     first = lambda frame, n: frame.orderBy(F.xxhash64(id_col), id_col).limit(n)
     p = _sample_statistics(docs, first(good, positives), id_col, text_col)
@@ -171,7 +183,12 @@ def train(
         return Model([np.array([]) for _ in FEATURES], [np.zeros(1) for _ in FEATURES], 1.0, 0.5)
     order = np.random.default_rng(7)
     p, u = order.permutation(p), order.permutation(u)
-    return _fit(p, u, estimate_prior(p, u))
+    shares = dict(open_rows_with(labels, id_col, modulus, held_out).filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect())
+    if shares.get(0, 0) >= LEAST_NEGATIVES:
+        prior = min(0.99, max(0.05, shares.get(1, 0) / (shares.get(0, 0) + shares.get(1, 0))))
+    else:
+        prior = estimate_prior(p, u)
+    return _fit(p, u, prior)
 
 
 def score(docs: DataFrame, model: Model, *, modulus: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
