@@ -1,3 +1,4 @@
-"""DuckDB SQL for the queries of ``registry``."""
+"""The registered queries and their SQL; importing this module registers them all."""
 
-ORACLES: dict[str, str] = {}
+from . import feed_queries, inventory_queries, stateful_queries, tag_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
