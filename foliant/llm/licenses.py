@@ -39,7 +39,8 @@ TEMPLATES = (
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(TEMPLATES)], "template_id int, license string, text string")
+    rows = [F.struct(F.lit(n).alias("template_id"), F.lit(name).alias("license"), F.lit(text).alias("text")) for n, (name, text) in enumerate(TEMPLATES)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def bands_for(floor_similarity: float, miss: float) -> int:
