@@ -1,0 +1,49 @@
+"""Queries over ordered actions and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import actions
+from ..streaming import bursts as streams
+from . import views
+from .registry import query
+
+OP_SQL = "CASE role WHEN 'system' THEN 'mkdir' WHEN 'user' THEN CASE WHEN turn % 3 = 0 THEN 'copy' ELSE 'move' END ELSE 'recycle' END"
+
+
+def _actions(spark, sf_dir):
+    c = views.table(spark, sf_dir, "conversations")
+    op = F.when(F.col("role") == "system", "mkdir").when(F.col("role") == "user", F.when(F.col("turn") % 3 == 0, "copy").otherwise("move")).otherwise("recycle")
+    at = lambda n: F.concat(F.lit("/w/f"), n.cast("string"))
+    src = F.when(op != "mkdir", at(F.col("turn") % 4))
+    dst = F.when(op == "mkdir", F.lit("/w/new")).when(op.isin("copy", "move"), at(F.length("text") % 5 + 2))
+    return c.select(F.col("conv_id").cast("string").alias("plan"), F.col("turn").alias("idx"), op.alias("op"), src.alias("src"), dst.alias("dst"), F.lit(None).cast("string").alias("sha256"))
+
+
+@query()
+def action_fold(spark, sf_dir):
+    """Dry run of every plan; tested against a plain simulation."""
+    acts = _actions(spark, sf_dir)
+    there = acts.select("plan").distinct().select("plan", F.explode(F.array(*[F.lit(f"/w/f{n}") for n in range(3)])).alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("sha256"))
+    return actions.replay(acts, there)
+
+
+@query(
+    f"""WITH a AS (SELECT CAST(conv_id AS VARCHAR) AS plan, turn, {OP_SQL} AS o, '/w/f' || CAST(turn % 4 AS VARCHAR) AS s, '/w/f' || CAST(length(text) % 5 + 2 AS VARCHAR) AS d FROM conversations)
+    SELECT plan, -turn AS undo_order, CASE o WHEN 'move' THEN 'move' WHEN 'copy' THEN 'recycle' WHEN 'mkdir' THEN 'rmdir' ELSE 'manual' END AS op, CASE o WHEN 'mkdir' THEN '/w/new' WHEN 'recycle' THEN s ELSE d END AS src, CASE o WHEN 'move' THEN s END AS dst FROM a"""
+)
+def undo_replay(spark, sf_dir):
+    return actions.inverse(_actions(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT user_id, epoch(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 3600 THEN 0 ELSE 1 END AS cut FROM e), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT CAST(user_id AS VARCHAR) AS parent_rel, CAST(floor(min(t)) AS BIGINT) AS first_second, count(*) AS members FROM r GROUP BY user_id, run HAVING count(*) > 1")
+def stream_bursts(spark, sf_dir):
+    """Bursts as a stream of session windows, run over what there is."""
+    return streams.run_bursts(spark, f"{sf_dir}/events.parquet", "1 hour")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def stream_index(spark, sf_dir):
+    """The digest index kept up by a stream of documents."""
+    return streams.run_index(spark, f"{sf_dir}/documents.parquet")
