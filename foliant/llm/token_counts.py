@@ -163,6 +163,16 @@ class PrefixCounter:
                 group, held = [], 0
         return out
 
+    def pieces(self, text: str) -> list[tuple[str, bool]]:
+        """The text between special strings, and these strings themselves (marked true)."""
+        if not self.split_special:
+            return [(text, False)]
+        out, at = [], 0
+        for m in self.split_special.finditer(text):
+            out += [(text[at : m.start()], False), (m[0], True)]
+            at = m.end()
+        return [*out, (text[at:], False)]
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; special strings come as themselves."""
         if self.split_special and self.split_special.search(text):
