@@ -21,11 +21,11 @@ from .common import map_arrow
 from .pretokens import Splitter
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: Bytes of distinct words in one recursive query, which bounds its rows.
 QUERY_BYTES = 1_000_000
 #: Tokens decoded by one query.
-QUERY_TOKENS = 4_000_000
+QUERY_TOKENS = 1_000_000
 
 #: Longer pre-tokens (runs without a break) are merged from a heap: a round for each merge would be quadratic.
 LONG_WORD = 400
@@ -72,7 +72,7 @@ class Coder:
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
         halves = [(self.rank[t[:k]], self.rank[t[k:]], n) for t, n in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         self.merges = {(a, b): n for a, b, n in halves}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
         self._table("merges", dict(zip(("lft", "rgt", "merged"), (pa.array(x, pa.int32()) for x in zip(*halves)))))
         self._table("vocabulary", {"tok": pa.array([*self.rank.values()], pa.int32()), "letters": [t.decode("latin-1") for t in self.rank]})
         self.kept: dict[str, bytes] = {}
@@ -152,7 +152,7 @@ class Coder:
         for at, text in enumerate(texts):
             group.append(found := self.split(text))
             held += len(found)
-            if held > 1_000_000 or at + 1 == len(texts):
+            if held > 500_000 or at + 1 == len(texts):
                 words = set().union(*group)
                 if new := words.difference(self.kept):
                     self.learn(sorted(new))

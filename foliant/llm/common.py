@@ -45,11 +45,13 @@ def map_arrow(
     frame: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]],
     schema: str,
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Apply ``make()``, built once in each task, to record batches of ``frame``.
 
     It returns columns (name to list or Arrow array) for each batch. Batches are bounded in rows and
-    bytes by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch.
+    bytes by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch, and handed on in slices of
+    about ``slice_bytes``, which bounds what a step makes of one.
     """
     fields = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,8 +61,9 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                for columns in step(batch):
+            rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                for columns in step(batch.slice(start, rows)):
                     yield pa.RecordBatch.from_arrays(
                         [
                             c.cast(f.type) if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
