@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 from .positions import at_positions, sized, with_words, word_hash
 
 #: Offsets that count, in spans of 8 words.
@@ -89,5 +89,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     A row with a null id stays or goes by its own text: rows are told apart by id and text, not by id alone.
     """
     found = overlaps(docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash")).alias("_row"), F.col(text_col)), benchmark, id_col="_row", text_col=text_col, **options)
-    gone = found.select(F.col("_row.id").alias("_gone_id"), F.col("_row.hash").alias("_gone_hash")).distinct()
+    gone = written(found.select(F.col("_row.id").alias("_gone_id"), F.col("_row.hash").alias("_gone_hash")).distinct(), "leaks")
+    gone = sized(gone)  # spares the texts a shuffle
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["_gone_hash"]), "left_anti")
