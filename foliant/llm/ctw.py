@@ -14,6 +14,7 @@ a block table in the shared folder.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from math import log10, log
 
 import numpy as np
@@ -33,7 +34,8 @@ TOP = 2
 END = b"\xff"
 #: The key of the token that closes a document; a word's key is its hash.
 END_KEY = xxhash.xxh64_intdigest(b"", 1)
-GRAM_PARTITION = 400_000
+#: Rows of one partition of the tree evaluation, and bytes that are coded at a time.
+GRAM_PARTITION, UNIT_BYTES = 250_000, 2_000_000
 
 
 def _gammaln(x: np.ndarray) -> np.ndarray:
@@ -131,31 +133,55 @@ def log_probabilities(grams: np.ndarray, mixed: np.ndarray, bits: np.ndarray, ab
     return np.log10(mixed).sum(0)
 
 
-def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings of depth + 1 bytes that end at each predicted byte, and each text's first and last place among them.
+def _units(texts: list[bytes], depth: int, most: int = 0) -> Iterator[list[tuple[int, bytes]]]:
+    """Groups of about UNIT_BYTES of (text number, context and bytes to code); a longer text comes in several units.
 
     Every text gives its bytes and the end, so an empty text gives one place.
     """
-    data = np.frombuffer(b"".join(END * depth + t + END for t in texts), np.uint8)
+    most = most or UNIT_BYTES
+    group: list[tuple[int, bytes]] = []
+    held = 0
+    for number, text in enumerate(texts):
+        whole = END * depth + text + END
+        for start in range(0, len(text) + 1, most):
+            group.append((number, whole[start : start + most + depth]))
+            held += len(group[-1][1])
+            if held >= most:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def _grams(units: list[tuple[int, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of depth + 1 bytes that end at each coded byte, and each unit's first and last place among them."""
+    data = np.frombuffer(b"".join(u for _, u in units), np.uint8)
     found = np.zeros(max(0, len(data) - depth), np.uint64)
     for j in range(depth + 1):
         found <<= np.uint64(8)
         found |= data[j : j + len(found)]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    return found, starts, starts + sizes
-
-
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
+    lengths = np.array([len(u) for _, u in units], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return found, starts, starts + lengths - depth
+
+
+def _distinct(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values with their counts, or sums of weights."""
+    if weights is None:
+        values = np.sort(values)
+        edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.array([], int)
+        return values[edges], np.diff(np.append(edges, len(values)))
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
     edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.array([], int)
-    return values[edges], np.diff(np.append(edges, len(values)))
+    return values[edges], np.add.reduceat(weights, edges) if len(edges) else weights
 
 
-def _chosen(found: np.ndarray, starts: np.ndarray, ends: np.ndarray, take: np.ndarray) -> np.ndarray:
+def _chosen(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of units, without those that lie across two of them."""
     marks = np.zeros(len(found) + 1, np.int8)
-    np.add.at(marks, starts[take], 1)
-    np.add.at(marks, ends[take], -1)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, ends, -1)
     return found[np.cumsum(marks[:-1], dtype=np.int8) > 0]
 
 
@@ -163,26 +189,36 @@ def counts(docs: DataFrame, trained: str, depth: int, text_col: str = "text") ->
     """kind (0 word, 1 byte string), key, n: sums over the training rows; strings of other rows come with 0."""
 
     def make():
+        def strings(texts: list[bytes], own: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = []
+            for units in _units(texts, depth):
+                keys, n = _distinct(_chosen(*_grams(units, depth)))
+                out.append((keys, n if own else np.zeros(len(keys), np.int64)))
+            return out
+
         def step(batch: pa.RecordBatch):
             texts = [(t or b"").lower() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            train = np.array(batch.column(1).to_pylist(), bool)
+            train = batch.column(1).to_pylist()
+            mine = [t for t, own in zip(texts, train) if own]
             words: Counter = Counter()
-            for text, own in zip(texts, train):
-                if own:
-                    words.update(text.split())
-            keys = [xxhash.xxh64_intdigest(w, 0) for w in words]
-            kept = np.array([*keys, *[END_KEY] * bool(train.any())], np.uint64)
-            found, starts, ends = _grams(texts, depth)
-            seen, n = _distinct(_chosen(found, starts, ends, train))
-            rest, _ = _distinct(_chosen(found, starts, ends, ~train))
-            rest = np.setdiff1d(rest, seen, assume_unique=True)
-            key = np.concatenate([kept, seen, rest]).view(np.int64)
-            number = np.concatenate([np.array([*words.values(), *[int(train.sum())] * bool(train.any())], np.int64), n, np.zeros(len(rest), np.int64)])
-            yield {"kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(kept), len(seen) + len(rest)])), "key": pa.array(key), "n": pa.array(number)}
+            for text in mine:
+                words.update(text.split())
+            kept = [xxhash.xxh64_intdigest(w, 0) for w in words]
+            times = [*words.values()]
+            if mine:
+                kept.append(END_KEY)
+                times.append(len(mine))
+            parts = strings(mine, True) + strings([t for t, own in zip(texts, train) if not own], False)
+            keys, n = _distinct(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+            yield {
+                "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(kept), len(keys)])),
+                "key": pa.array(np.concatenate([np.array(kept, np.uint64), keys]).view(np.int64)),
+                "n": pa.array(np.concatenate([np.array(times, np.int64), n])),
+            }
 
         return step
 
-    return map_arrow(docs.select(text_col, trained), make, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text_col, trained), make, "kind tinyint, key bigint, n bigint", 64 << 20).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _parts(strings: DataFrame, depth: int, top: int, make_rows, schema: str) -> DataFrame:
@@ -246,13 +282,12 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
     whole = log10(n_train + 0.1 * (distinct + 1))
 
     def make():
-        def step(batch: pa.RecordBatch):
-            texts = [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Tokens, known ones and the sum of log10 (count + 0.1) of each text."""
             lists = [t.split() for t in texts]
             kinds = list(set().union(*lists))
             keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in kinds), np.uint64, len(kinds))
             times = find(word_blocks, np.append(keys, np.uint64(END_KEY)), 0.0).astype(float)
-            parts = np.log10(times + 0.1)
             number = dict(zip(kinds, range(len(kinds))))
             sizes = np.array([len(x) + 1 for x in lists])
             at = np.full(sizes.sum(), len(kinds), np.int64)
@@ -260,18 +295,32 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
             inner[np.cumsum(sizes) - 1] = False
             at[inner] = np.fromiter((number[w] for x in lists for w in x), np.int64, int(inner.sum()))
             starts = np.cumsum(sizes) - sizes
-            grams, first, last = _grams(texts, depth)
-            logs = find(byte_blocks, grams, 0.0).astype(float)
-            scores = np.add.reduceat(np.append(logs, 0.0), np.stack([first, last], 1).ravel())[::2]
+            return sizes, np.add.reduceat((times[at] > 0).astype(np.int64), starts), np.add.reduceat(np.log10(times + 0.1)[at], starts)
+
+        def step(batch: pa.RecordBatch):
+            texts = [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            scores = np.zeros(len(texts))
+            for units in _units(texts, depth):
+                grams, first, last = _grams(units, depth)
+                logs = np.append(find(byte_blocks, grams, 0.0), np.float32(0)).astype(float)
+                np.add.at(scores, [n for n, _ in units], np.add.reduceat(logs, np.stack([first, last], 1).ravel())[::2])
+            parts, group, held = [], [], 0
+            for at, text in enumerate(texts):
+                group.append(text)
+                held += len(text)
+                if held >= UNIT_BYTES or at + 1 == len(texts):
+                    parts.append(tokens(group))
+                    group, held = [], 0
+            sizes, known, base = (np.concatenate(x) for x in zip(*parts))
             yield {
                 id_col: batch.column(0),
                 "held_out": batch.column(2),
                 "n_tokens": pa.array(sizes),
-                "n_known": pa.array(np.add.reduceat((times[at] > 0).astype(np.int64), starts)),
+                "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(len(texts), n_train, np.int64)),
-                "base_score": pa.array(np.add.reduceat(parts[at], starts) - sizes * whole),
+                "base_score": pa.array(base - sizes * whole),
                 "score": pa.array(scores),
-                "n_coded": pa.array(last - first),
+                "n_coded": [len(t) + 1 for t in texts],
             }
 
         return step
