@@ -218,7 +218,7 @@ def counts(docs: DataFrame, trained: str, depth: int, text_col: str = "text") ->
 
         return step
 
-    return map_arrow(docs.select(text_col, trained), make, "kind tinyint, key bigint, n bigint", 64 << 20).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text_col, trained), make, "kind tinyint, key bigint, n bigint", 16 << 20).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _parts(strings: DataFrame, depth: int, top: int, make_rows, schema: str) -> DataFrame:
