@@ -3,6 +3,8 @@
 SimHash links at a small Hamming distance find the closest copies only: at a Jaccard similarity of 0.8 the
 fingerprints of two texts differ in about ten of 64 bits, far beyond what a grid can join.  So candidates
 come from both the SimHash grid and MinHash bands, and exact Jaccard similarity of the shingle sets decides.
+Where too many texts share a band value for all their pairs, a prefix-filter join finds every similar pair
+that the first links have left apart.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .positions import sized
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band of 5 least hashes out of 16 with probability 0.002.
 BANDS, ROWS = 16, 5
-#: Texts of one band value up to which all their pairs are candidates; in larger ones each text meets three of them.
+#: Texts of one band value up to which all their pairs are candidates; larger ones are joined by their shingles.
 SMALL_BUCKET = 24
 #: Ids of dropped rows up to which they are broadcast (8 bytes each), which spares the texts a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -94,12 +96,13 @@ def _fingerprints(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     return out
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """u, v (u < v): pairs of distinct texts (node, fp, bands) that may be similar.
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v (u < v) of distinct texts (node, fp, bands) that may be similar, and the crowded texts (id).
 
     Small buckets give all their pairs.  In a larger one every text meets three centres: the one that meets
     most texts over all its buckets (the original of a family of edits, typically), the least id, and one
-    that each band draws anew; the rows stay linear in the bucket and no text is left out.
+    that each band draws anew; the rows stay linear in the bucket.  That joins families cheaply and leaves
+    pairs out, so the texts of larger buckets are crowded: their other pairs are for ``apart``.
     """
     placed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sized = placed.groupBy("band", "value").agg(F.count("*").alias("members")).filter("members > 1")
@@ -114,12 +117,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
     stars = large.join(centres, ["band", "value"]).select("node", F.explode("centres").alias("centre")).filter("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
     close = simhash.links(nodes.select("node", "fp"))
-    return pairs.union(stars).union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+    return pairs.union(stars).union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct(), large.select(F.col("node").alias("id")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets have at least the Jaccard ``similarity``."""
-    named = sized(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """id, set (distinct shingle hashes) of the documents that ``ids`` names."""
+    named = sized(ids)
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -135,6 +138,11 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, id
     rows = sets.agg(F.count("*"), F.count_distinct("id")).first()
     if rows[0] > rows[1]:  # rows that share an id count as one document
         sets = sets.dropDuplicates(["id"])
+    return sets
+
+
+def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least the Jaccard ``similarity``."""
     # the pairs go to the sets, and only what they pick is shuffled
     few = sized(pairs)
     left = sets.join(few, F.col("id") == F.col("u")).select("u", "v", F.col("set").alias("x"))
@@ -144,6 +152,42 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, id
     return joined.withColumn("both", both).filter(F.col("both") >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - F.col("both"))).select("u", "v")
 
 
+def apart(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """u, v (u < v): every pair of ``sets`` that can reach ``similarity`` and has two different ``labels``.
+
+    Labels (node, component) are those of the links found so far; a text without one is its own.  Shingles
+    are put in one order: first those that only one label has, which no pair in question shares, then the
+    rarest.  The first shingle that a pair shares lies so early in both sets that enough can follow it:
+    within the leading 20 % of the larger and 11 % of the smaller at a similarity of 0.8.  So the join on
+    these beginnings, with the bounds of sizes and places, leaves out no similar pair.
+    """
+    least = similarity - 1e-9
+    share, slack = least / (1 + least), 1e-6
+    own = sets.join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"), F.size("set").alias("size"), "set")
+    each = own.select("id", "label", "size", F.explode("set").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle", "texts")
+    ranked = each.join(sized(written(shared, "shared")), "shingle").groupBy("id", "label", "size").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("row"))
+    # rest: shingles of the set from this one on
+    begun = ranked.select("id", "label", "size", F.size("row").alias("rest"), F.posexplode("row").alias("at", "s")).select("id", "label", "size", (F.col("rest") - F.col("at")).alias("rest"), "s.shingle")
+    begun = written(begun.filter(F.col("rest") >= least * F.col("size") - slack), "beginnings")
+    a, b = begun.filter(F.col("rest") >= 2 * share * F.col("size") - slack).alias("a"), begun.alias("b")
+    met = a.join(
+        b,
+        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") != F.col("b.label")) & (F.struct("a.size", "a.id") < F.struct("b.size", "b.id"))
+        & (F.col("a.size") >= least * F.col("b.size") - slack) & (F.least("a.rest", "b.rest") >= share * (F.col("a.size") + F.col("b.size")) - slack),
+    )
+    return met.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) with the components that ``links`` (u, v) connect made one."""
+    named = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
+    over = links.join(named("u"), "u", "left").join(named("v"), "v", "left")
+    homes = components(over.select(F.coalesce("u_home", "u").alias("u"), F.coalesce("v_home", "v").alias("v")))
+    moved = labels.join(homes.select(F.col("node").alias("component"), F.col("component").alias("home")), "component", "left")
+    return moved.select("node", F.coalesce("home", "component").alias("component")).union(homes.join(labels, "node", "left_anti").select("node", "component"))
+
+
 def groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, group_id (the least id reachable): one row for each id of ``docs``.
 
@@ -155,8 +199,14 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMIL
     first = written(made.groupBy("words").agg(F.min("id").alias("node")), "first")
     nodes = made.join(first.select("words", F.col("node").alias("id")), ["words", "id"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "fp", "bands")
     nodes = written(nodes, "nodes")
-    pairs = written(candidates(nodes.filter(F.size("bands") > 0)), "pairs")
-    labels = components(verified(own, pairs, shingle, similarity, id_col, text_col))
+    pairs, crowded = candidates(nodes.filter(F.size("bands") > 0))
+    pairs, crowded = written(pairs, "pairs"), written(crowded, "crowded")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).union(crowded).distinct()
+    sets = shingle_sets(own, ids, shingle, id_col, text_col)
+    labels = components(similar(sets, pairs, similarity))
+    if crowded.limit(1).count():
+        pairs = written(apart(sets.join(sized(crowded), "id", "left_semi"), labels, similarity), "pairs")
+        labels = merged(labels, written(similar(sets, pairs, similarity), "links"))
     homes = first.join(labels, "node", "left").select("words", F.coalesce("component", "node").alias("group_id"))
     return made.join(homes, "words").groupBy("id").agg(F.min("group_id").alias("group_id"))
 

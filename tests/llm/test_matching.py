@@ -188,6 +188,17 @@ def test_near_text_groups(spark, sf_dir):
     assert {r.id: r.group_id for r in near_text.groups(frame).collect()} == {d: find(d) for d in texts}
 
 
+def test_near_text_pairs_round_a_shared_passage(spark):
+    draw = random.Random(3)
+    fresh = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    passage, texts = fresh(352), {}
+    for n in range(0, 120, 2):  # similarity 0.82 to the partner, 0.78 to all others
+        both = passage + fresh(8)
+        texts |= {n: " ".join(both + fresh(40)), n + 1: " ".join(both + fresh(40))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.id: r.group_id for r in near_text.groups(frame).collect()} == {d: d - d % 2 for d in texts}
+
+
 def test_keep_one_edges(spark):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, ""), (None, "a b c d e f"), (9, "q r"), (9, "q r")]
     kept = near_text.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, id string"))
