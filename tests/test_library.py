@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import numbers
 from foliant.operators import dedupe, library, parts, staging
+from foliant.plans.oracles import QUERIES
 
 
 def test_plan_is_dry_by_default_then_copies_once(spark, tmp_path):
@@ -68,3 +69,31 @@ def test_reports():
     text = library.summary_markdown({"files": 3}, [{"source_name": "s", "files": 3, "bytes": 5}], [{"sha256": "f" * 64, "extra_count": 1, "wasted_bytes": 5, "canonical_path": "/p"}])
     assert "- files: 3" in text and "| s | 3 | 5 |" in text and "`ffffffffffff` 1 extra" in text
     assert "- .x: 2" in library.exceptions_markdown([{"ext": ".x", "n": 2}], ["/o"], [("/e", "bad")])
+
+
+def test_clusters_and_lattices_of_every_order(spark, sf_dir):
+    sheets = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("v")).collect():
+        sheets.setdefault(r.l_orderkey, []).append((r.l_linenumber - 1, r.v))
+
+    def centers(values):
+        out = []
+        for v in sorted(values):
+            if out and v - sum(out[-1]) / len(out[-1]) <= 3.0:
+                out[-1].append(v)
+            else:
+                out.append([v])
+        return [round(sum(c) / len(c), 6) for c in out]
+
+    def order(cells):
+        cols, rows = max(n % 3 for n in cells) + 1, max(n // 3 for n in cells) + 1
+        first = {"row": {n - (n // 3 * cols + n % 3) for n in cells}, "col": {n - (n % 3 * rows + n // 3) for n in cells}}
+        fits = [k for k, f in first.items() if len(f) == 1 and 0 <= min(f) <= 26 - cols * rows]
+        if len(fits) == 2 and not (min(cols, rows) == 1 and len(cells) == cols * rows):
+            fits = []
+        return (fits[0], min(first[fits[0]])) if fits else (None, None)
+
+    got = QUERIES["running_clusters"](spark, sf_dir).collect()
+    assert {r.sheet: [round(c, 6) for c in r.centers] for r in got} == {k: centers(v for _, v in rows) for k, rows in sheets.items()}
+    got = QUERIES["lattice_cells"](spark, sf_dir).collect()
+    assert {r.sheet: (r.order, r.first) for r in got} == {k: order([n for n, _ in rows]) for k, rows in sheets.items()}
