@@ -102,7 +102,8 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Small buckets give all their pairs.  In a larger one every text meets three centres: the one that meets
     most texts over all its buckets (the original of a family of edits, typically), the least id, and one
     that each band draws anew; the rows stay linear in the bucket.  That joins families cheaply and leaves
-    pairs out, so the texts of larger buckets are crowded: their other pairs are for ``apart``.
+    pairs out, so the texts of larger buckets are crowded: their other pairs are for ``apart``.  So are those
+    of SimHash cells that link through hubs only, and of fingerprints that many texts have.
     """
     placed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sized = placed.groupBy("band", "value").agg(F.count("*").alias("members")).filter("members > 1")
@@ -116,8 +117,31 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_distinct(F.array(F.max_by("node", F.struct("weight", -F.col("node"))), F.min("node"), F.min_by("node", F.struct(F.xxhash64("node", "band"), "node")))).alias("centres")
     )
     stars = large.join(centres, ["band", "value"]).select("node", F.explode("centres").alias("centre")).filter("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
-    close = simhash.links(nodes.select("node", "fp"))
-    return pairs.union(stars).union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct(), large.select(F.col("node").alias("id")).distinct()
+    close, packed = _close(nodes.select("node", "fp"))
+    return pairs.union(stars).union(close).distinct(), large.select(F.col("node").alias("id")).union(packed).distinct()
+
+
+def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v (u < v) of texts (node, fp) with equal or close fingerprints, and the crowded texts (id).
+
+    ``simhash.links`` wants distinct fingerprints, so the least text of each stands for all that have it.
+    """
+    stands = nodes.groupBy("fp").agg(F.min("node").alias("home"), F.count("*").alias("texts"))
+    texts = written(nodes.join(stands, "fp"), "prints")
+    homes = texts.filter("node = home").select("node", "fp", "texts")
+    met = written(simhash.links(homes.select("node", "fp")), "close")
+    size = lambda side: homes.select(F.col("node").alias(side), F.col("texts").alias(f"{side}_texts"))
+    met = met.join(size("u"), "u").join(size("v"), "v").withColumn("most", F.greatest("u_texts", "v_texts"))
+    own = homes.filter(f"texts BETWEEN 2 AND {SMALL_BUCKET}").select(F.col("node").alias("u"), F.col("node").alias("v"))
+    of = lambda side: texts.select(F.col("home").alias(side), F.col("node").alias(f"{side}_text"))
+    small = met.filter(F.col("most") <= SMALL_BUCKET).select("u", "v").union(own).join(of("u"), "u").join(of("v"), "v")
+    pairs = small.filter("u <> v OR u_text < v_text").select(F.least("u_text", "v_text").alias("u"), F.greatest("u_text", "v_text").alias("v"))
+    stars = texts.filter(f"texts > {SMALL_BUCKET} AND node <> home").select(F.col("home").alias("u"), F.col("node").alias("v"))
+    ends = met.filter(F.col("most") > SMALL_BUCKET).select(F.explode(F.array("u", "v")).alias("home")).union(homes.filter(F.col("texts") > SMALL_BUCKET).select("node"))
+    placed = simhash.cells(homes)
+    hot = placed.groupBy("choice", "bits").agg(F.count("*").alias("members")).filter(F.col("members") > simhash.HOT_CELL)
+    ends = ends.union(placed.join(sized(written(hot, "hot")), ["choice", "bits"]).select("node")).distinct()
+    return pairs.union(stars), texts.join(ends, "home", "left_semi").select(F.col("node").alias("id"))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

@@ -93,6 +93,13 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def cells(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """node, fp, choice, bits: a row for each cell of each fingerprint; two within ``distance`` share a cell."""
+    segments = _segments(distance)
+    each = [F.struct(F.lit(n).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(sum(segments[i] for i in c)))).alias("bits")) for n, c in enumerate(combinations(range(len(segments)), 3))]
+    return nodes.select("node", "fp", F.explode(F.array(*each)).alias("cell")).select("node", "fp", "cell.choice", "cell.bits")
+
+
 def links(nodes: DataFrame, *, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
     """u, v: ids of distinct fingerprints (node, fp) whose components are those of all pairs within ``distance``.
 
@@ -102,8 +109,7 @@ def links(nodes: DataFrame, *, distance: int = 3, hot_cell: int = HOT_CELL) -> D
     """
     segments = _segments(distance)
     choices = list(combinations(range(len(segments)), 3))
-    cells = [F.struct(F.lit(n).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(sum(segments[i] for i in c)))).alias("bits")) for n, c in enumerate(choices)]
-    placed = nodes.select("node", "fp", F.explode(F.array(*cells)).alias("cell")).select("node", "fp", "cell.choice", "cell.bits")
+    placed = cells(nodes, distance)
     shared = placed.groupBy("choice", "bits").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(shared, "cells")
     near = placed.join(shared, ["choice", "bits"])

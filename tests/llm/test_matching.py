@@ -199,6 +199,15 @@ def test_near_text_pairs_round_a_shared_passage(spark):
     assert {r.id: r.group_id for r in near_text.groups(frame).collect()} == {d: d - d % 2 for d in texts}
 
 
+def test_candidates_of_equal_fingerprints(spark):
+    prints = {1: 7, 2: 7, 3: 6, 4: 0xFF << 40} | {n: 0xFFFF << 16 for n in range(10, 40)} | {50: 0x7FFF << 16}
+    nodes = spark.createDataFrame([(n, p, [n]) for n, p in prints.items()], "node bigint, fp bigint, bands array<bigint>")
+    pairs, crowded = near_text.candidates(nodes)
+    got = {(r.u, r.v) for r in pairs.collect()}
+    assert {(1, 2), (1, 3), (2, 3)} <= got and not any(4 in p for p in got)
+    assert {r.id for r in crowded.collect()} == {*range(10, 40), 50}
+
+
 def test_keep_one_edges(spark):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, ""), (None, "a b c d e f"), (9, "q r"), (9, "q r")]
     kept = near_text.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, id string"))
