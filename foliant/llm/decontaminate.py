@@ -6,11 +6,16 @@ along that alignment the operator counts equal words, so substitutions are toler
 pair if some stretch of ``window`` words (the whole item, if shorter) has at least ``similarity`` of them.
 
 The default masks are complete for the default window: however two of its 13 words are substituted, one
-of the masks still hits (``tests/llm`` tries all cases).
+of the masks still hits.  Items shorter than the window have masks of their own, complete for as many
+substitutions as the similarity allows them (``tests/llm`` tries all cases of both).
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +26,41 @@ from .positions import at_positions, sized, with_words, word_hash
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: Items with fewer words are no evidence of a leak and overlap with nothing.
 LEAST_WORDS = 5
+#: Masks of one short length at most, as each is hashed at every document position; and cases tried to find them.
+MOST_MASKS, MOST_CASES = 4, 5000
+
+
+def _places(mask: tuple[int, ...], length: int) -> list[frozenset[int]]:
+    return [frozenset(x + o for x in mask) for o in range(length - mask[-1])]
+
+
+@cache
+def masks_of(length: int, similarity: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one hits a stretch of ``length`` words however many ``similarity`` allows to differ.
+
+    The heaviest masks of which MOST_MASKS suffice, each chosen for the most cases it adds; else the longest
+    run of words that is always left.
+    """
+    equal = max(1, ceil(length * similarity - 1e-9))
+    run = ceil(equal / (length - equal + 1))
+    if comb(length, equal) <= MOST_CASES:
+        cases = [frozenset(c) for c in combinations(range(length), equal)]
+        for weight in range(equal, run, -1):
+            hit = {m: {c for c in cases if any(p <= c for p in _places(m, length))} for m in ((0, *rest) for rest in combinations(range(1, length), weight - 1))}
+            left, chosen = set(cases), []
+            while left and len(chosen) < MOST_MASKS:
+                chosen.append(max(hit, key=lambda m: len(hit[m] & left)))
+                left -= hit[chosen[-1]]
+            if not left:
+                return tuple(chosen)
+    return (tuple(range(run)),)
 
 
 def _seeds(rows: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row for each position and mask: column _seed.  Mask and length are part of the hash."""
-    span = max(m[-1] for m in masks) + 1
-    hashes = F.array(*[word_hash(m, 1000 * span + n) for n, m in enumerate(masks)])
+    """A row for each position and mask: column _seed, null where the mask doesn't fit.  Mask and length are part of the hash."""
+    span = min(m[-1] for m in masks) + 1
+    fits = lambda m: F.col("_pos") + m[-1] < F.size("_words")
+    hashes = F.array(*[h if m[-1] < span else F.when(fits(m), h) for n, m in enumerate(masks) for h in [word_hash(m, 1000 * span + n)]])
     return at_positions(rows, span).select("*", F.explode(hashes).alias("_seed"))
 
 
@@ -36,7 +70,7 @@ def overlaps(
 ) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_aligned, n_equal: one row for each pair with an overlap, its best alignment.
 
-    Words are lower-cased runs between white space.  Items shorter than a mask's span match word for word;
+    Words are lower-cased runs between white space.  Items shorter than ``window`` are seeded by ``masks_of`` their length;
     items under ``least_words`` and null or empty texts and items overlap with nothing; repeated items give one pair; repeated document rows
     give one pair for each id; a null id is kept as null.  Empty tables give an empty result, and other
     columns are not read.
@@ -44,8 +78,9 @@ def overlaps(
     span = max(m[-1] for m in masks) + 1
     items = with_words(benchmark, item_col, item_text_col).filter(F.size("_words") >= least_words).dropDuplicates(["_id", "_key"]).select(F.col("_id").alias("_item"), F.col("_key").alias("_item_key"), "_words")
     rows = with_words(docs, id_col, text_col)
-    short = sorted(r[0] for r in items.select(F.size("_words").alias("n")).filter(F.col("n") < span).distinct().collect())  # at most span - 1 lengths
-    kinds = [(masks, F.size("_words") >= span), *[((tuple(range(n)),), F.size("_words") == n) for n in short]]
+    whole = max(span, window)
+    short = sorted(r[0] for r in items.select(F.size("_words").alias("n")).filter(F.col("n") < whole).distinct().collect())  # at most whole - 1 lengths
+    kinds = [(masks, F.size("_words") >= whole), *[(masks_of(min(n, window), similarity), F.size("_words") == n) for n in short]]
     hits = None
     for kind, of_items in kinds:
         known = sized(_seeds(items.filter(of_items), kind).select("_seed", "_item_key", F.col("_pos").alias("_item_pos"), F.size("_words").alias("_n")))

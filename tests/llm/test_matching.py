@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -80,6 +81,20 @@ def test_masks_are_complete():
         assert any(all(o + x not in gone for x in m) for m in decontaminate.MASKS for o in range(13 - m[-1]))
 
 
+def test_short_items_are_found_with_every_substitution(spark):
+    items, docs, want = [], [], set()
+    for n in range(decontaminate.LEAST_WORDS, 14):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9)):
+            want.add((len(docs), n))
+            docs.append((len(docs), "pre " + " ".join("zz" if k in gone else w for k, w in enumerate(words)) + " post"))
+        gone = range(1, 2 + n - math.ceil(0.8 * n - 1e-9))  # one more than allowed
+        docs.append((len(docs), " ".join("zz" if k in gone else w for k, w in enumerate(words))))
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_leaks_of_whole_table(spark, sf_dir):
     texts = docs_of(spark, sf_dir)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
