@@ -46,12 +46,13 @@ def map_arrow(
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]],
     schema: str,
     slice_bytes: int = 8 << 20,
+    closing: bool = False,
 ) -> DataFrame:
     """Apply ``make()``, built once in each task, to record batches of ``frame``.
 
     It returns columns (name to list or Arrow array) for each batch. Batches are bounded in rows and
     bytes by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch, and handed on in slices of
-    about ``slice_bytes``, which bounds what a step makes of one.
+    about ``slice_bytes``, which bounds what a step makes of one.  With ``closing`` a last call gets None.
     """
     fields = T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,25 +61,29 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
-            for start in range(0, batch.num_rows, rows):
-                for columns in step(batch.slice(start, rows)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            c.cast(f.type) if isinstance(c := columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
-                            for f in target
-                        ],
-                        schema=target,
-                    )
+        cells = lambda c, f: c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
+        for part in _slices(batches, slice_bytes, closing):
+            for columns in step(part):
+                yield pa.RecordBatch.from_arrays([cells(columns[f.name], f) for f in target], schema=target)
 
     return frame.mapInArrow(run, fields)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int, closing: bool) -> Iterator[pa.RecordBatch | None]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    if closing:
+        yield None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; without the setting (tests) one beside the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    # with its file system in the address, so that executors read it where Spark does
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:

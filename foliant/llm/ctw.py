@@ -5,37 +5,48 @@ depth.  Every node of a tree has a Krichevsky-Trofimov estimate of its own count
 probability: half its own estimate, half the product of its children's.  The mixture over all depths that
 these weights give is the model's probability of the next bit.
 
-Counts are sums over all training documents.  The trees fall apart below two bytes of context: each part
-is evaluated where its rows are, and only the two top levels (at most 65,536 contexts) meet on the driver.
-What scoring needs, the code length of every byte string of depth + 1 that the documents have, goes to
-a block table in the shared folder.
+Counts are sums over all training documents.  The trees fall apart below three bytes of context: parts
+are evaluated where their rows are, a few contexts and one of the eight decisions at a time.  The level
+above them is a table of at most 65,536 x 255 nodes, made and summed on the executors; of the levels above
+that the driver gets at most 256 x 255 nodes.
+
+Documents are read in batches of about BATCH_BYTES.  Each batch has the distinct byte strings (depth + 1
+bytes) and words of its texts; these meet the model in joins, and what they find goes to one small file for
+the batch, which the scoring pass reads beside the batch's texts.  So every pass is linear in the documents and
+no task holds more than one batch.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10, log
+from functools import lru_cache
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_remainder, map_arrow, new_path, written
-from .lookup import build, find
+from .files import load_arrays, read_table, save_arrays
 
 #: Bytes of context.
 DEPTH = 5
-#: Context bytes above which the trees are joined on the driver.
-TOP = 2
+#: Context bytes below which the trees are evaluated in parts.
+TOP = 3
 #: Closes each text and fills the contexts before its start; no UTF-8 text has this byte.
 END = b"\xff"
 #: The key of the token that closes a document; a word's key is its hash.
 END_KEY = xxhash.xxh64_intdigest(b"", 1)
-#: Rows of one partition of the tree evaluation, and bytes that are coded at a time.
-GRAM_PARTITION, UNIT_BYTES = 250_000, 2_000_000
+#: Rows of one partition of the tree evaluation, and rows evaluated together (more only if one context has them).
+GRAM_PARTITION, CHUNK_ROWS = 250_000, 60_000
+#: Bytes that are coded at a time, and bytes of documents that share one file of code lengths.
+UNIT_BYTES, BATCH_BYTES = 2_000_000, 16_000_000
+#: Strings of one array in the written batches.
+ARRAY_ROWS = 50_000
 
 
 def _gammaln(x: np.ndarray) -> np.ndarray:
@@ -59,34 +70,37 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Level:
     """All nodes of one depth: sorted keys (context, bit prefix), counts, weighted log probability."""
 
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None):
-        """``below``: the key each child belongs to, and the child's weighted log probability (None at full depth)."""
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        """``below``: the sum of the children's weighted log probabilities (None at full depth)."""
         self.keys, self.zeros, self.ones = keys, zeros, ones
         own = _log_kt(zeros, ones)
-        if below is None:
-            self.weighted, self.own_share = own, np.ones(len(keys))
-        else:
-            children = np.bincount(np.searchsorted(keys, below[0]), weights=below[1], minlength=len(keys))
-            self.weighted = np.logaddexp(own, children) - log(2)
-            self.own_share = np.exp(own - self.weighted - log(2))
+        self.weighted = own if below is None else np.logaddexp(own, below) - log(2)
+        self.chance = (ones + 0.5) / (zeros + ones + 1.0)
+        self.own_share = np.ones(len(keys)) if below is None else np.exp(own - self.weighted - log(2))
+
+    def sums(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the parents of these nodes (at ``depth``) and the sums of zeros, ones and weighted log probabilities."""
+        keys, at = np.unique(_parent(self.keys, depth), return_inverse=True)
+        return keys, *(np.bincount(at, weights=x, minlength=len(keys)) for x in (self.zeros, self.ones, self.weighted))
 
     def step(self, at: np.ndarray, bit: np.ndarray, deeper: np.ndarray | float) -> np.ndarray:
         """The mixture's probability of ``bit`` at nodes ``at``, given that of the next depth."""
-        kt = (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
-        share = self.own_share[at]
-        return share * kt + (1 - share) * deeper
+        return _mixed(self.chance[at], self.own_share[at], bit, deeper)
+
 
+def _mixed(chance: np.ndarray, share: np.ndarray, bit: np.ndarray, deeper: np.ndarray | float) -> np.ndarray:
+    return share * np.where(bit, chance, 1 - chance) + (1 - share) * deeper
 
-def _decisions(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bit prefixes (1 to 255) and bits of the eight decisions of each row's last byte: two arrays (8, rows)."""
-    byte = (grams & np.uint64(255)).astype(np.int64)
-    places = np.arange(8)[:, None]
-    return (1 << places) | (byte >> (8 - places)), (byte >> (7 - places)) & 1
+
+def _decision(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit prefix (1 to 255) and bit of the n-th decision of each row's last byte."""
+    byte = (grams & np.uint64(255)).astype(np.uint16)
+    return (np.uint16(1 << n) | (byte >> np.uint16(8 - n))).astype(np.uint64), (byte >> np.uint16(7 - n)) & np.uint16(1) > 0
 
 
 def _keys(grams: np.ndarray, prefixes: np.ndarray, depth: int) -> np.ndarray:
     context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-    return (context << np.uint64(8)) | prefixes.astype(np.uint64)
+    return (context << np.uint64(8)) | prefixes
 
 
 def _parent(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -94,43 +108,47 @@ def _parent(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys & np.uint64((1 << 8 * depth) - 1)
 
 
-def evaluate(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray]:
-    """The level at ``top``, each decision's mixture from there down, its node there and its bit: arrays (8, rows).
+def evaluate(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, n: int, mix: bool) -> tuple[Level, np.ndarray | None]:
+    """The level at ``top`` of the n-th decision and, if asked for, each row's mixture from full depth up to there.
 
     The rows must be all those of their contexts at ``top``.
     """
-    prefixes, bits = _decisions(grams)
-    weight = np.broadcast_to(counts, bits.shape).ravel()
-    level, levels = None, []
+    prefixes, bit = _decision(grams, n)
+    level, mixed = None, 0.5
     for d in range(depth, top - 1, -1):
-        keys, at = np.unique(_keys(grams, prefixes, d).ravel(), return_inverse=True)
-        total, ones = np.bincount(at, weights=weight), np.bincount(at, weights=weight * bits.ravel())
-        level = Level(keys, total - ones, ones, None if level is None else (_parent(level.keys, d + 1), level.weighted))
-        levels.append((level, at))
-    mixed: np.ndarray | float = 0.5
-    for level, at in levels:
-        mixed = level.step(at, bits.ravel(), mixed)
-    return level, np.asarray(mixed).reshape(bits.shape), levels[-1][1].reshape(bits.shape), bits
-
-
-def join_top(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, top: int) -> list[Level]:
-    """Levels top - 1 to 0 above evaluated parts."""
-    out, below = [], (keys, weighted, zeros, ones)
-    for d in range(top - 1, -1, -1):
-        parents = _parent(below[0], d + 1)
-        own, at = np.unique(parents, return_inverse=True)
-        level = Level(own, np.bincount(at, weights=below[2]), np.bincount(at, weights=below[3]), (parents, below[1]))
-        out.append(level)
-        below = (level.keys, level.weighted, level.zeros, level.ones)
+        keys, at = np.unique(_keys(grams, prefixes, d), return_inverse=True)
+        total, ones = np.bincount(at, weights=counts), np.bincount(at, weights=counts * bit)
+        below = None
+        if level is not None:
+            parents, _, _, sums = level.sums(d + 1)
+            below = np.zeros(len(keys))
+            below[np.searchsorted(keys, parents)] = sums
+        level = Level(keys, total - ones, ones, below)
+        if mix:
+            mixed = level.step(at, bit, mixed)
+    return level, mixed if mix else None
+
+
+def join_top(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int) -> list[Level]:
+    """The level at ``top`` from its nodes' sums (in the order of the keys) and those above it, down to depth 0."""
+    out = [Level(keys, zeros, ones, below)]
+    for d in range(top, 0, -1):
+        out.append(Level(*out[-1].sums(d)))
     return out
 
 
-def log_probabilities(grams: np.ndarray, mixed: np.ndarray, bits: np.ndarray, above: list[Level], top: int) -> np.ndarray:
-    """log10 of each row's last byte given the bytes before it."""
-    prefixes, _ = _decisions(grams)
-    for d, level in zip(range(top - 1, -1, -1), above):
-        mixed = level.step(np.searchsorted(level.keys, _keys(grams, prefixes, d)), bits, mixed)
-    return np.log10(mixed).sum(0)
+def _chunks(grams: np.ndarray, counts: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows in groups of whole contexts."""
+    context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)
+    order = np.argsort(context, kind="stable")
+    grams, counts, context = grams[order], counts[order], context[order]
+    borders = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(grams))
+    start = 0
+    while start < len(grams):
+        full = np.searchsorted(borders, start + CHUNK_ROWS, side="right")
+        stop = int(borders[full - 1]) if full and borders[full - 1] > start else int(borders[np.searchsorted(borders, start, side="right")])
+        yield grams[start:stop], counts[start:stop]
+        start = stop
 
 
 def _units(texts: list[bytes], depth: int, most: int = 0) -> Iterator[list[tuple[int, bytes]]]:
@@ -179,85 +197,173 @@ def _distinct(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np
 
 def _chosen(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places of units, without those that lie across two of them."""
-    marks = np.zeros(len(found) + 1, np.int8)
+    return found[_within(len(found), starts, ends)]
+
+
+def _within(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of ``size`` places lies in one of the units."""
+    marks = np.zeros(size + 1, np.int8)
     np.add.at(marks, starts, 1)
     np.add.at(marks, ends, -1)
-    return found[np.cumsum(marks[:-1], dtype=np.int8) > 0]
+    return np.cumsum(marks[:-1], dtype=np.int8) > 0
 
 
-def counts(docs: DataFrame, trained: str, depth: int, text_col: str = "text") -> DataFrame:
-    """kind (0 word, 1 byte string), key, n: sums over the training rows; strings of other rows come with 0."""
+def batched(docs: DataFrame, depth: int, id_col: str, out_col: str, text_col: str) -> DataFrame:
+    """The documents in batches, and each batch's distinct strings: a written table with rows of both kinds.
 
-    def make():
-        def strings(texts: list[bytes], own: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-            out = []
-            for units in _units(texts, depth):
-                keys, n = _distinct(_chosen(*_grams(units, depth)))
-                out.append((keys, n if own else np.zeros(len(keys), np.int64)))
-            return out
+    batch, ``id_col``, ``out_col`` and ``text_col`` of each document; batch, kind (0 words, 1 byte strings), keys and n (training
+    counts, 0 for strings of other documents alone) in arrays, in rows whose kind is not null.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-        def step(batch: pa.RecordBatch):
-            texts = [(t or b"").lower() for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            train = batch.column(1).to_pylist()
-            mine = [t for t, own in zip(texts, train) if own]
-            words: Counter = Counter()
-            for text in mine:
-                words.update(text.split())
-            kept = [xxhash.xxh64_intdigest(w, 0) for w in words]
-            times = [*words.values()]
-            if mine:
-                kept.append(END_KEY)
-                times.append(len(mine))
-            parts = strings(mine, True) + strings([t for t, own in zip(texts, train) if not own], False)
-            keys, n = _distinct(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            yield {
-                "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(kept), len(keys)])),
-                "key": pa.array(np.concatenate([np.array(kept, np.uint64), keys]).view(np.int64)),
-                "n": pa.array(np.concatenate([np.array(times, np.int64), n])),
-            }
+    def make():
+        held = {"batch": 0, "bytes": 0, "words": Counter(), "ends": 0, "parts": []}
+
+        def rows(texts: pa.RecordBatch | None, kind: int | None, keys, n) -> dict:
+            size = 1 if texts is None else texts.num_rows
+            nothing = [None] * size
+            docs = {name: nothing if texts is None else texts.column(i) for i, name in enumerate((id_col, out_col, text_col))}
+            array = lambda values: nothing if values is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int64)))
+            return {"batch": [held["batch"]] * size, **docs, "kind": [kind] * size, "keys": array(keys), "n": array(n)}
+
+        def closed() -> Iterator[dict]:
+            words = held["words"]
+            keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words))
+            found = [(0, np.append(keys, np.uint64(END_KEY)), np.append(np.fromiter(words.values(), np.int64, len(words)), held["ends"]))]
+            if held["parts"]:
+                found.append((1, *_distinct(np.concatenate([k for k, _ in held["parts"]]), np.concatenate([n for _, n in held["parts"]]))))
+            for which, keys, n in found:
+                for at in range(0, len(keys), ARRAY_ROWS):
+                    yield rows(None, which, keys[at : at + ARRAY_ROWS].view(np.int64), n[at : at + ARRAY_ROWS])
+            held.update(batch=0, bytes=0, words=Counter(), ends=0, parts=[])
+
+        def step(batch: pa.RecordBatch | None) -> Iterator[dict]:
+            if batch is None:
+                if held["batch"]:
+                    yield from closed()
+                return
+            if not held["batch"]:
+                held["batch"] = int.from_bytes(xxhash.xxh64_digest(_fresh()), "big") >> 1 | 1
+            yield rows(batch, None, None, None)
+            texts = [(t or b"").lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            out = batch.column(1).to_pylist()
+            for own in (True, False):
+                mine = [t for t, left in zip(texts, out) if left != own]
+                for text in mine:
+                    # words that only other rows have come with 0
+                    held["words"].update(text.split() if own else dict.fromkeys(text.split(), 0))
+                held["ends"] += len(mine) if own else 0
+                for units in _units(mine, depth):
+                    keys, n = _distinct(_chosen(*_grams(units, depth)))
+                    held["parts"].append((keys, n if own else np.zeros(len(keys), np.int64)))
+            if len(held["parts"]) > 8:
+                held["parts"] = [_distinct(np.concatenate([k for k, _ in held["parts"]]), np.concatenate([n for _, n in held["parts"]]))]
+            held["bytes"] += batch.nbytes
+            if held["bytes"] >= BATCH_BYTES:
+                yield from closed()
 
         return step
 
-    return map_arrow(docs.select(text_col, trained), make, "kind tinyint, key bigint, n bigint", 16 << 20).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    schema = f"batch bigint, `{id_col}` {kind}, `{out_col}` boolean, `{text_col}` string, kind tinyint, keys array<bigint>, n array<bigint>"
+    return written(map_arrow(docs.select(id_col, out_col, text_col), make, schema, UNIT_BYTES, closing=True), "batches")
 
 
-def _parts(strings: DataFrame, depth: int, top: int, make_rows, schema: str) -> DataFrame:
-    """Evaluate the trees below ``top``, all rows of a context in one partition."""
-    n = strings.count()
-    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
-    apart = strings.select("key", "n").repartition(max(4, n // GRAM_PARTITION), context)
-    from pyspark.sql import types as T
+def _fresh() -> bytes:
+    import uuid
+
+    return uuid.uuid4().bytes
+
+
+def _in_parts(strings: DataFrame, top: int, make_rows, schema: str) -> DataFrame:
+    """``make_rows`` of the strings (key, n), all rows of a context at ``top`` in one partition and call."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = to_arrow_schema(T._parse_datatype_string(schema))
+    parts = max(4, strings.count() // GRAM_PARTITION)
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
+    fields = T._parse_datatype_string(schema)
+    target = to_arrow_schema(fields)
 
     def run(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if held and sum(len(x[0]) for x in held):
-            grams = np.concatenate([x[0] for x in held]).view(np.uint64)
-            number = np.concatenate([x[1] for x in held])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make_rows(grams, number)], schema=target)
+            for grams, n in _chunks(np.concatenate([x[0] for x in held]).view(np.uint64), np.concatenate([x[1] for x in held]), top):
+                for columns in make_rows(grams, n):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=target)
 
-    return apart.mapInArrow(run, schema)
+    return strings.select("key", "n").repartition(parts, context).mapInArrow(run, fields)
 
 
 def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
     """key, value: log10 probability of the last byte of each string (key, n: its training count)."""
     top = min(TOP, depth)
+    spark = strings.sparkSession
 
-    def tops(grams, number):
-        level = evaluate(grams, number, depth, top)[0]
-        return level.keys.view(np.int64), level.zeros, level.ones, level.weighted
+    def sums(grams, n):
+        for place in range(8):
+            keys, *rest = evaluate(grams, n, depth, top, place, False)[0].sums(top)
+            yield keys.view(np.int64), *rest
 
-    rows = _parts(strings, depth, top, tops, "key bigint, zeros double, ones double, weighted double").toArrow()
-    order = np.argsort(keys := rows["key"].to_numpy().view(np.uint64))
-    above = join_top(keys[order], *[rows[c].to_numpy()[order] for c in ("zeros", "ones", "weighted")], top)
+    def nodes():
+        def step(batch: pa.RecordBatch):
+            level = Level(*[batch.column(i).to_numpy() for i in range(4)])
+            yield {"key": pa.array(level.keys), "chance": pa.array(level.chance.astype(np.float32)), "share": pa.array(level.own_share.astype(np.float32)), **{k: pa.array(getattr(level, k)) for k in ("zeros", "ones", "weighted")}}
 
-    def scores(grams, number):
-        _, mixed, _, bits = evaluate(grams, number, depth, top)
-        return grams.view(np.int64), log_probabilities(grams, mixed, bits, above, top)
+        return step
 
-    return _parts(strings, depth, top, scores, "key bigint, value double")
+    total = lambda frame: frame.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
+    parts = total(_in_parts(strings, top, sums, "key bigint, zeros double, ones double, weighted double"))
+    path = new_path(spark, "nodes")
+    # at most 65,536 contexts of two bytes and 255 decisions of each: a bound that no corpus passes
+    map_arrow(parts, nodes, "key bigint, chance float, share float, zeros double, ones double, weighted double").write.parquet(path)
+    above: list[Level] = []
+    if top > 1:
+        rows = total(spark.read.parquet(path).select(F.col("key").bitwiseAND(F.lit((1 << 8 * (top - 1)) - 1)).alias("key"), "zeros", "ones", "weighted")).toArrow()  # at most 256 x 255 rows
+        order = np.argsort(keys := rows["key"].to_numpy())
+        above = join_top(keys[order].view(np.uint64), *[rows[c].to_numpy()[order] for c in ("zeros", "ones", "weighted")], top - 2)
+
+    def scores(grams, n):
+        keys, chance, share = _nodes(path)
+        out = np.zeros(len(grams))
+        for place in range(8):
+            prefixes, bit = _decision(grams, place)
+            _, mixed = evaluate(grams, n, depth, top, place, True)
+            at = np.searchsorted(keys, _keys(grams, prefixes, top - 1).view(np.int64))
+            mixed = _mixed(chance[at].astype(float), share[at].astype(float), bit, mixed)
+            for d, level in zip(range(top - 2, -1, -1), above):
+                mixed = level.step(np.searchsorted(level.keys, _keys(grams, prefixes, d)), bit, mixed)
+            out += np.log10(mixed)
+        yield grams.view(np.int64), out
+
+    return _in_parts(strings, top, scores, "key bigint, value double")
+
+
+@lru_cache(maxsize=1)
+def _nodes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = read_table(path, ["key", "chance", "share"])
+    order = np.argsort(keys := rows["key"].to_numpy())
+    return keys[order], rows["chance"].to_numpy()[order], rows["share"].to_numpy()[order]
+
+
+def _batch_file(folder: str, batch: int) -> str:
+    return f"{folder}/{batch % 1000:03d}/{batch:x}.npz"
+
+
+def _keep_batch(folder: str):
+    """Write one batch's words and strings with what the model says of them."""
+
+    def keep(rows: pa.Table) -> pa.Table:
+        batch = rows["batch"][0].as_py()
+        words = rows["kind"].to_numpy() == 0
+        keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+        arrays = {}
+        for name, mine, kind in (("word", words, np.float64), ("byte", ~words, np.float32)):
+            own = keys[mine]
+            order = np.argsort(own)
+            arrays |= {f"{name}_keys": own[order], f"{name}_values": values[mine][order].astype(kind)}
+        save_arrays(_batch_file(folder, batch), **arrays)
+        return pa.table({"batch": pa.array([batch], pa.int64())})
+
+    return keep
 
 
 def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,23 +377,26 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (crc_remainder(id_col, modulus) == held_out).alias("_out"))
-    found = written(counts(own.withColumn("_train", ~F.col("_out")), "_train", depth, "_text"), "counts")
-    words = found.filter("kind = 0")
-    totals = words.agg(F.sum("n"), F.count("*")).first()
-    n_train, distinct = totals[0] or 0, totals[1]
-    shared = new_path(spark, "ctw")
-    word_blocks = build(words, "key", "n", f"{shared}/words") if distinct else []
-    strings = found.filter("kind = 1")
-    byte_blocks = build(code_lengths(strings, depth), "key", "value", f"{shared}/bytes") if not strings.isEmpty() else []
+    batches = batched(own, depth, "_id", "_out", "_text")
+    strings = batches.filter("kind IS NOT NULL").select("batch", "kind", F.inline(F.arrays_zip(F.col("keys").alias("key"), "n")))
+    found = written(strings.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    n_train, distinct = found.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    values = found.filter("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"))
+    if distinct or not found.isEmpty():
+        lengths = code_lengths(found.filter("kind = 1"), depth)
+        values = values.union(lengths.select(F.lit(1).cast("tinyint"), "key", "value"))
+    folder = new_path(spark, "lengths")
+    met = strings.select("batch", "kind", "key").join(written(values, "values"), ["kind", "key"])
+    met.groupBy("batch").applyInArrow(_keep_batch(folder), "batch bigint").write.format("noop").mode("overwrite").save()
     whole = log10(n_train + 0.1 * (distinct + 1))
 
     def make():
-        def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def tokens(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Tokens, known ones and the sum of log10 (count + 0.1) of each text."""
             lists = [t.split() for t in texts]
             kinds = list(set().union(*lists))
-            keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in kinds), np.uint64, len(kinds))
-            times = find(word_blocks, np.append(keys, np.uint64(END_KEY)), 0.0).astype(float)
+            wanted = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in kinds), np.uint64, len(kinds))
+            times = values[np.searchsorted(keys, np.append(wanted, np.uint64(END_KEY)))]
             number = dict(zip(kinds, range(len(kinds))))
             sizes = np.array([len(x) + 1 for x in lists])
             at = np.full(sizes.sum(), len(kinds), np.int64)
@@ -297,24 +406,27 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
             starts = np.cumsum(sizes) - sizes
             return sizes, np.add.reduceat((times[at] > 0).astype(np.int64), starts), np.add.reduceat(np.log10(times + 0.1)[at], starts)
 
-        def step(batch: pa.RecordBatch):
-            texts = [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        def lengths(grams: np.ndarray, chosen: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """log10 probabilities; sorted strings walk through the sorted keys once."""
+            mine = grams[chosen]
+            order = np.argsort(mine)
+            out = np.zeros(len(grams) + 1)
+            part = np.empty(len(mine))
+            part[order] = values[np.searchsorted(keys, mine[order])]
+            out[:-1][chosen] = part
+            return out
+
+        def scored(batch: pa.RecordBatch, model: dict[str, np.ndarray]) -> dict:
+            texts = [(t or b"").lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
             scores = np.zeros(len(texts))
             for units in _units(texts, depth):
                 grams, first, last = _grams(units, depth)
-                logs = np.append(find(byte_blocks, grams, 0.0), np.float32(0)).astype(float)
+                logs = lengths(grams, _within(len(grams), first, last), model["byte_keys"], model["byte_values"])
                 np.add.at(scores, [n for n, _ in units], np.add.reduceat(logs, np.stack([first, last], 1).ravel())[::2])
-            parts, group, held = [], [], 0
-            for at, text in enumerate(texts):
-                group.append(text)
-                held += len(text)
-                if held >= UNIT_BYTES or at + 1 == len(texts):
-                    parts.append(tokens(group))
-                    group, held = [], 0
-            sizes, known, base = (np.concatenate(x) for x in zip(*parts))
-            yield {
-                id_col: batch.column(0),
-                "held_out": batch.column(2),
+            sizes, known, base = tokens(texts, model["word_keys"], model["word_values"])
+            return {
+                id_col: batch.column(1),
+                "held_out": batch.column(3),
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(len(texts), n_train, np.int64)),
@@ -323,7 +435,15 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
                 "n_coded": [len(t) + 1 for t in texts],
             }
 
+        def step(batch: pa.RecordBatch):
+            numbers = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for start, stop in zip(edges, edges[1:]):
+                if stop > start:
+                    yield scored(batch.slice(start, stop - start), load_arrays(_batch_file(folder, int(numbers[start]))))
+
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(own.select("_id", "_text", "_out"), make, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded bigint")
+    rows = batches.filter("kind IS NULL").select("batch", "_id", "_text", "_out")
+    return map_arrow(rows, make, f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_coded bigint", UNIT_BYTES)

@@ -6,15 +6,19 @@ import io
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    if path.startswith("file:"):
-        path = path[5:]
-    return fs.LocalFileSystem(), path
+    """File system and name of an address as Hadoop writes it (file:/, s3a:// and others); without a scheme it is local."""
+    scheme, _, rest = path.partition(":")
+    if not rest or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
 def save_arrays(path: str, **arrays: np.ndarray) -> None:
@@ -32,3 +36,10 @@ def load_arrays(path: str) -> dict[str, np.ndarray]:
     with system.open_input_file(name) as source:
         found = np.load(io.BytesIO(source.read()))
         return {k: found[k] for k in found.files}
+
+
+def read_table(path: str, columns: list[str]) -> pa.Table:
+    """Columns of a Parquet folder that Spark has written."""
+    system, name = resolve(path)
+    parts = [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(f.path, columns=columns, filesystem=system) for f in sorted(parts, key=lambda f: f.path)])

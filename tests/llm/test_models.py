@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from foliant.llm import ctw, files, lookup, media, quality, queries, toxicity
+from foliant.llm import ctw, files, media, quality, queries, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,14 +98,18 @@ def plain_ctw(texts, trained, depth):
     return out
 
 
-def test_context_tree_against_the_book(spark):
+@pytest.mark.parametrize("depth", [1, 2, 3, ctw.DEPTH])
+def test_context_tree_against_the_book(spark, depth, monkeypatch):
+    monkeypatch.setattr(ctw, "BATCH_BYTES", 30)  # several batches in a task
+    monkeypatch.setattr(ctw, "CHUNK_ROWS", 7)
     texts = ["abracadabra", "ABRA kadabra abra", "", None, "the cat the cat the hat", "é è é"]
     rows = [(n, t, "x") for n, t in enumerate(texts * 2)] + [(None, "abra", "x")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
-    got = ctw.score(frame, modulus=3, held_out=1, depth=3).collect()
+    got = ctw.score(frame, modulus=3, held_out=1, depth=depth).collect()
+    assert len(got) == len(rows)
     fold = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
     data = [(t or "").encode().lower() for _, t, _ in rows]
-    want = dict(zip([(d, t) for d, t, _ in rows], plain_ctw(data, [not fold(d) for d, _, _ in rows], 3)))
+    want = dict(zip([(d, t) for d, t, _ in rows], plain_ctw(data, [not fold(d) for d, _, _ in rows], depth)))
     by_id = {d: t for d, t, _ in rows}
     for r in got:
         assert r.score == pytest.approx(want[r.doc_id, by_id[r.doc_id]], rel=1e-5, abs=1e-5)
@@ -134,16 +138,6 @@ def test_unigram_base_of_whole_table(spark, sf_dir):
     assert sum(r.score for r in held) / sum(r.n_coded for r in held) * -math.log2(10) < 3.5
 
 
-def test_lookup_in_blocks(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(lookup, "BLOCK_ROWS", 400)
-    rows = spark.range(2000).selectExpr("xxhash64(id) AS k", "CAST(id AS double) AS v")
-    blocks = lookup.build(rows, "k", "v", str(tmp_path / "t"))
-    known = rows.toPandas()
-    assert len(blocks) == 5
-    assert np.array_equal(lookup.find(blocks, known.k.to_numpy().view(np.uint64), -1.0), known.v.to_numpy().astype(np.float32))
-    assert lookup.find(blocks, np.arange(5, dtype=np.uint64), -1.0).tolist() == [-1.0] * 5
-
-
 def accuracy(spark, sf_dir, rows, label):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     held = [(r.score, r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
