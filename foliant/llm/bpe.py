@@ -4,13 +4,17 @@ The distinct pre-tokens of a batch become token-position rows that begin as sing
 of the recursive query joins neighbours with the merge table and contracts the leftmost pair of least
 rank in every word; a word without such a pair leaves, so the recursion ends at the fixpoint.  Decoding
 joins token positions with the vocabulary and aggregates the bytes in the order of the positions.
+
+Pre-tokens of more than LONG_WORD bytes take a keyed recursion, which holds one row a position instead of
+every round's, and contracts all places of a word's least pair in one round: a run of one letter ends
+after a few rounds.  That is the same result as one place at a time unless the merged token is part of an entry
+of lower rank (``alone``), and such pairs are contracted one by one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -23,14 +27,14 @@ from .pretokens import Splitter
 #: Words whose ids a worker keeps; beyond that it starts afresh.
 KEPT_WORDS = 300_000
 #: Bytes of distinct words in one recursive query, which bounds its rows.
-QUERY_BYTES = 1_000_000
+QUERY_BYTES = 500_000
 #: Tokens decoded by one query.
-QUERY_TOKENS = 1_000_000
-
-#: Longer pre-tokens (runs without a break) are merged from a heap: a round for each merge would be quadratic.
-LONG_WORD = 400
+QUERY_TOKENS = 500_000
+#: Bytes of a pre-token from which on its recursion is keyed.
+LONG_WORD = 200
 
-#: ``place`` is the least rank and then the leftmost position; ``span`` has the two positions that end the pair.
+#: Positions count through all words with a gap after each, so one number finds a neighbour.  ``place`` is the least rank and
+#: then the leftmost position; ``span`` has the two positions that end the pair.
 _ENCODE = """
 WITH RECURSIVE state AS (
     SELECT word, pos, tok, pos + 1 AS nxt, 0 AS round FROM start_rows
@@ -39,8 +43,8 @@ WITH RECURSIVE state AS (
         SELECT a.word AS word,
                min(m.merged::BIGINT << 32 | a.pos) AS place,
                arg_min(a.nxt::BIGINT << 32 | b.nxt, m.merged::BIGINT << 32 | a.pos) AS span
-        FROM state a JOIN state b ON a.word = b.word AND a.nxt = b.pos
-        JOIN merges m ON a.tok = m.lft AND b.tok = m.rgt
+        FROM state a JOIN state b ON a.nxt = b.pos
+        JOIN merges m ON a.tok::BIGINT << 32 | b.tok = m.pair
         GROUP BY a.word)
      SELECT s.word, s.pos,
             CASE WHEN s.pos = place & 4294967295 THEN (place >> 32)::INT ELSE s.tok END,
@@ -48,14 +52,35 @@ WITH RECURSIVE state AS (
             s.round + 1
      FROM state s JOIN best ON s.word = best.word WHERE s.pos <> span >> 32)
 ), ended AS (SELECT word, max(round) AS round FROM state GROUP BY word)
-SELECT word, list(tok ORDER BY pos) AS ids FROM state JOIN ended USING (word, round) GROUP BY word ORDER BY word
+SELECT word, tok FROM state JOIN ended USING (word, round) ORDER BY word, pos
+"""
+
+#: The same with one row for each position: contracted ones have token -1.  Of places that overlap (a run) every other one is taken.
+_ENCODE_LONG = """
+WITH RECURSIVE state(word, pos, tok, nxt) USING KEY (word, pos) AS (
+    SELECT word, pos, tok, pos + 1 FROM start_rows
+    UNION
+    (WITH live AS (SELECT word, pos, tok, nxt FROM recurring.state WHERE tok >= 0 AND word IN (SELECT word FROM state)),
+     pairs AS (
+        SELECT a.word, a.pos, a.nxt AS mid, b.nxt AS stop, m.merged, m.alone
+        FROM live a JOIN live b ON a.nxt = b.pos
+        JOIN merges m ON a.tok::BIGINT << 32 | b.tok = m.pair),
+     least AS (SELECT word, min(merged::BIGINT << 32 | pos) AS place FROM pairs GROUP BY word),
+     met AS (
+        SELECT p.word, p.pos, p.mid, p.stop, p.merged FROM pairs p JOIN least l ON p.word = l.word
+        WHERE p.merged = place >> 32 AND (NOT alone OR p.pos = place & 4294967295)),
+     begun AS (SELECT *, CASE WHEN lag(mid) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM met),
+     runs AS (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos) AS run FROM begun),
+     chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS k FROM runs) WHERE k % 2 = 1)
+     SELECT word, pos, merged, stop FROM chosen UNION ALL SELECT word, mid, -1, -1 FROM chosen)
+)
+SELECT word, tok FROM state WHERE tok >= 0 ORDER BY word, pos
 """
 
-#: Bytes travel as the characters of the same numbers, since a token may end inside a character.  One thread
-#: aggregates the sorted rows in their order; sorting once is three times as fast as sorting in each group.
+#: Bytes travel as the characters of the same numbers, since a token may end inside a character.
 _DECODE = """
-SELECT text, string_agg(letters, '') AS letters
-FROM (SELECT text, letters FROM token_rows JOIN vocabulary USING (tok) ORDER BY text, pos) GROUP BY text
+SELECT text, string_agg(letters, '' ORDER BY pos) AS letters
+FROM token_rows JOIN vocabulary USING (tok) GROUP BY text
 """
 
 
@@ -67,14 +92,14 @@ class Coder:
 
         with open(path, "rb") as file:
             pairs = [line.split() for line in file if line.strip()]
-        self.rank = {base64.b64decode(token): int(n) for token, n in pairs}
-        self.split = Splitter(pattern)
-        self.single = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
-        halves = [(self.rank[t[:k]], self.rank[t[k:]], n) for t, n in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
-        self.merges = {(a, b): n for a, b, n in halves}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
-        self._table("merges", dict(zip(("lft", "rgt", "merged"), (pa.array(x, pa.int32()) for x in zip(*halves)))))
-        self._table("vocabulary", {"tok": pa.array([*self.rank.values()], pa.int32()), "letters": [t.decode("latin-1") for t in self.rank]})
+        rank = {base64.b64decode(token): int(n) for token, n in pairs}
+        self.split, self.size = Splitter(pattern), len(rank)
+        self.single = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int32)
+        halves = [(rank[t[:k]], rank[t[k:]], n) for t, n in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
+        ahead = {part for left, right, n in halves for part in (left, right) if part > n}
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB"})
+        self._table("merges", {"pair": [left << 32 | right for left, right, _ in halves], "merged": pa.array([n for _, _, n in halves], pa.int32()), "alone": [n in ahead for _, _, n in halves]})
+        self._table("vocabulary", {"tok": pa.array([*rank.values()], pa.int32()), "letters": [t.decode("latin-1") for t in rank]})
         self.kept: dict[str, bytes] = {}
 
     def _table(self, name: str, columns: dict) -> None:
@@ -94,55 +119,33 @@ class Coder:
         """Ids of new pre-tokens, kept as little-endian 32-bit bytes."""
         if len(self.kept) + len(words) > KEPT_WORDS:
             self.kept.clear()
-        group, held = [], 0
-        for word in words:
-            data = word.encode()
-            if len(data) > LONG_WORD:
-                self.kept[word] = np.array(self._heap(data), dtype="<u4").tobytes()
-                continue
-            group.append((word, data))
-            held += len(data)
-            if held > QUERY_BYTES:
-                self._recurse(group)
-                group, held = [], 0
-        if group:
-            self._recurse(group)
-
-    def _recurse(self, group: list[tuple[str, bytes]]) -> None:
+        coded = [(word, word.encode()) for word in words]
+        long = [x for x in coded if len(x[1]) > LONG_WORD]
+        for sql, mine in ((_ENCODE, [x for x in coded if len(x[1]) <= LONG_WORD] if long else coded), (_ENCODE_LONG, long)):
+            group, held = [], 0
+            for x in mine:
+                group.append(x)
+                held += len(x[1])
+                if held > QUERY_BYTES:
+                    self._recurse(sql, group)
+                    group, held = [], 0
+            if group:
+                self._recurse(sql, group)
+
+    def _recurse(self, sql: str, group: list[tuple[str, bytes]]) -> None:
         sizes = np.array([len(d) for _, d in group])
-        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(group), dtype=np.int32), sizes)
         found = self._query(
-            _ENCODE,
+            sql,
             "start_rows",
-            {
-                "word": np.repeat(np.arange(len(group), dtype=np.int32), sizes),
-                "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32),
-                "tok": self.single[np.frombuffer(b"".join(d for _, d in group), np.uint8)],
-            },
+            {"word": owner, "pos": np.arange(len(owner), dtype=np.int32) + owner, "tok": self.single[np.frombuffer(b"".join(d for _, d in group), np.uint8)]},
         )
-        ids = found["ids"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-        for n, (word, _) in enumerate(group):
-            self.kept[word] = flat[ends[n] : ends[n + 1]]
-
-    def _heap(self, data: bytes) -> list[int]:
-        tokens = [int(self.single[b]) for b in data]
-        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        waiting = [(rank, at, tokens[at], tokens[at + 1]) for at in range(len(tokens) - 1) if (rank := self.merges.get((tokens[at], tokens[at + 1]))) is not None]
-        heapq.heapify(waiting)
-        while waiting:
-            rank, at, left, right = heapq.heappop(waiting)
-            stop = after[at]
-            if tokens[at] != left or stop >= len(tokens) or tokens[stop] != right:
-                continue  # one of the two has merged since
-            tokens[at], tokens[stop] = rank, -1
-            after[at] = after[stop]
-            if after[at] < len(tokens):
-                before[after[at]] = at
-            for start in (before[at], at):
-                if start >= 0 and after[start] < len(tokens) and (found := self.merges.get((tokens[start], tokens[after[start]]))) is not None:
-                    heapq.heappush(waiting, (found, start, tokens[start], tokens[after[start]]))
-        return [t for t in tokens if t >= 0]
+        ends = np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(group))) * 4
+        flat = found["tok"].to_numpy().astype("<u4").tobytes()
+        start = 0
+        for (word, _), end in zip(group, ends.tolist()):
+            self.kept[word] = flat[start:end]
+            start = end
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -174,7 +177,7 @@ class Coder:
                 sizes = np.array([len(encoded[n]) // 4 for n in group])
                 starts = np.cumsum(sizes) - sizes
                 tokens = np.frombuffer(b"".join(encoded[n] for n in group), dtype="<u4")
-                if len(tokens) and tokens.max() >= len(self.rank):
+                if len(tokens) and tokens.max() >= self.size:
                     raise KeyError(f"id {tokens.max()} is not in the vocabulary")
                 found = self._query(_DECODE, "token_rows", {"text": np.repeat(np.array(group, dtype=np.int32), sizes), "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32), "tok": tokens.astype(np.int32)})
                 for n, letters in zip(found["text"].to_pylist(), found["letters"].to_pylist()):

@@ -97,3 +97,22 @@ def test_small_caches_and_groups(ranks, monkeypatch):
     for text in texts:
         (ids,) = model.encode_all([text])
         assert np.frombuffer(ids, "<u4").tolist() == ranks.encode_ordinary(text)
+
+
+def test_long_pretokens_are_keyed(ranks):
+    import random
+
+    draw = random.Random(5)
+    letters = lambda n, of: "".join(draw.choices(of, k=n))
+    texts = ["a" * 20_000, "lorem" * 4_000, letters(700, "abcdefghijklmnopqrstuvwxyz"), letters(900, "ab"), "=" * 5_000, letters(600, "etaoin") + " x " + "ß" * 400, "aab" * 300]
+    model = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    got = model.encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ranks.encode_ordinary(t) for t in texts]
+    assert model.decode_all(got) == [t.encode() for t in texts]
+
+
+def test_both_recursions_agree(ranks, monkeypatch):
+    words = "internationalization unbelievable zzzzzzzz abababab Straßenbahn 12345 \n\n\n aaa aaaa".split(" ")
+    monkeypatch.setattr(bpe, "LONG_WORD", 2)
+    model = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode_all(words)] == [ranks.encode_ordinary(w) for w in words]
