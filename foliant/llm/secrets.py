@@ -3,17 +3,25 @@
 Everything is built from column expressions.  A kind's matches come from ``regexp_extract_all`` and their
 places from the gaps that ``split`` leaves between the same matches.
 
-The battery looks at every token-like run with a digit and a letter that no fixed kind covers.  Its encoding is the smallest
-alphabet that holds it (hex, base32, base36, base62, base64).  Against that alphabet three tests are made
-of whether the token could be random: chi-squared uniformity of its letters, runs above and below the
-middle of the alphabet, and lag-one serial correlation.  Fisher's method joins their p-values.  Tokens are
-rejected as not random by Benjamini-Hochberg within strata of encoding and length over all documents, so
-short tokens, whose tests are weak, do not set the bar for long ones; what is not rejected and carries
-enough bits is reported as kind ``random``.
+The battery looks at every token-like run that no fixed kind covers and that is not plain lower-case letters.
+Its encoding is the smallest alphabet that holds it (hex, base32, base36, base62, base64).  Against that
+alphabet three tests are made of whether the token could be random: chi-squared uniformity of its letters,
+runs above and below the middle of the alphabet, and lag-one serial correlation.  Fisher's method joins
+their p-values.
+
+A random token's p-value is uniform, an ordinary identifier's is mostly tiny; so in each stratum of encoding,
+length and presence of digits the p-values above one half tell how many random tokens there are, and
+everything beyond that many is identifiers.  Tokens are reported as kind ``random`` from the least p-value on
+at which the share of identifiers among the reported ones stays within ``fdr``.  Strata keep short tokens,
+whose tests are weak, from setting the bar for long ones.  All texts have a say in these counts.
+
+Every step is linear in the number of matches, or nearly: arrays are filled in blocks.
 """
 
 from __future__ import annotations
 
+from math import log10 as _log10
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +32,9 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-#: A maximal run of token letters, 20 or more, with a digit somewhere, and padding.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A maximal run of token letters, 20 or more, and padding; COVERED stands for what a fixed kind has taken.
+COVERED = "\ufdd0"  # no character of any text
+CANDIDATE = r"(?<![A-Za-z0-9+/_\x{FDD0}-])[A-Za-z0-9+/_\x{FDD0}-]{20,}={0,2}"
 #: Alphabets from the smallest on: name, pattern of tokens that fit, letters in order of their values.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = (
@@ -39,27 +48,88 @@ ALPHABETS = (
 STEPS, DECADES = 40, 20
 #: Letters of a stratum's length band; tokens above the last band share it.
 BAND, BANDS = 8, 16
+#: A token of lesser p is no random one, whatever its stratum holds: a thousandth of all random tokens has less.
+LEAST_P = 1e-3
+#: Matches that are placed together, and code points of a text that are cut together.
+BLOCK, CUT = 128, 16_384
+
+
+_NO_SPANS = "CAST(array() AS array<struct<start:int,kind:int,end:int,token:string>>)"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """array<struct<start, kind, end>> of all matches, in code points; ``keep`` filters them by their texts."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("found"), F.slice(gaps, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,token:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("end"), x["found"].alias("token"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.filter(placed, lambda s: keep(s["token"])) if keep else placed
+    """array<struct<start, kind, end, token>> of all matches, in code points; ``keep`` filters them by their texts.
 
+    Matches are placed within blocks, and blocks after one another, so the arrays that grow stay short.
+    """
+    gaps = lambda found: F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    length = lambda x: F.length(x["gap"]) + F.length(x["found"])
+    total = lambda rows: F.aggregate(rows, F.lit(0), lambda n, x: n + length(x))
+    number = lambda: F.lit(KINDS.index(kind)).alias("kind")
+
+    def placed(rows: Column, at: Column) -> Column:
+        return F.aggregate(
+            rows,
+            F.struct(at.alias("at"), F.expr(_NO_SPANS).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + length(x)).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), number(), (acc["at"] + length(x)).alias("end"), x["found"].alias("token")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
 
-_NO_SPANS = "CAST(array() AS array<struct<start:int,kind:int,end:int,token:string>>)"
+    def whole(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, BLOCK))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, _starts(F.transform(bs, total)), placed)))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    every = _let(found, lambda f: F.when(F.size(f) == 0, F.expr(_NO_SPANS)).otherwise(_let(F.arrays_zip(f.alias("found"), gaps(f).alias("gap")), whole)))
+    return F.filter(every, lambda s: keep(s["token"])) if keep else every
+
+
+def _starts(sizes: Column) -> Column:
+    """For each size the sum of those before it."""
+    none = F.expr("CAST(array() AS array<int>)")
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _replaced(text: Column, spans: Column, mask) -> Column:
+    """The text with every span (sorted structs of start and end) replaced by ``mask(length)``; overlapping ones as one.
+
+    The text is cut into pieces of CUT code points; each takes the spans that touch it.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def cut(piece: Column, n: Column) -> Column:
+        first, last = n * CUT, n * CUT + F.length(piece)
+        mine = F.filter(spans, lambda s: (s["start"] < last) & (s["end"] > first))
+        part = lambda start, stop: F.substring(piece, start - first + 1, stop - start)
+        joined = F.aggregate(
+            mine,
+            F.struct(first.alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.when(s["end"] <= acc["at"], acc["out"]).otherwise(F.concat(
+                    acc["out"],
+                    F.when(s["start"] >= acc["at"], F.array(part(acc["at"], s["start"]))).otherwise(F.expr("CAST(array() AS array<string>)")),
+                    mask(F.greatest(s["start"], acc["at"]), s["end"], s["start"] >= acc["at"], last),
+                )).alias("out"),
+            ),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.when(acc["at"] < last, part(acc["at"], last)).otherwise("")),
+        )
+        return F.when(F.size(mine) == 0, piece).otherwise(joined)
+
+    return F.array_join(F.transform(pieces, cut), "")
+
+
+def _filler(start: Column, end: Column, fresh: Column, last: Column) -> Column:
+    """As many COVERED letters as the span has in this piece."""
+    return F.array(F.repeat(F.lit(COVERED), F.least(end, last) - start))
 
 
 def base_spans(text: Column) -> Column:
@@ -85,8 +155,10 @@ def _encoding(token: Column) -> Column:
 
 
 def _normal_tail(z: Column) -> Column:
-    """P(Z > z), by the logistic form of the normal distribution (error under 0.0002)."""
-    return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070566 * z * z * z)))
+    """P(Z > z), by a polynomial times the density (error under 1e-7, and small against the value in the tail)."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    tail = F.exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def _stages(rows: Column, names: tuple[str, ...], *stages) -> Column:
@@ -129,7 +201,7 @@ def randomness(tokens: Column) -> Column:
         tokens,
         ("start", "end", "token"),
         lambda s: {"token": F.regexp_replace(s["token"], "=+$", "")},
-        lambda s: {"encoding": _encoding(s["token"]), "length": F.length(s["token"])},
+        lambda s: {"encoding": _encoding(s["token"]), "length": F.length(s["token"]), "plain": ~s["token"].rlike("[0-9]")},
         lambda s: {
             "token": F.when(s["encoding"].isin(0, 2), F.lower(s["token"])).otherwise(F.translate(s["token"], "-_", "+/")),
             "letters": F.element_at(letters, s["encoding"] + 1),
@@ -156,6 +228,7 @@ def randomness(tokens: Column) -> Column:
             s["end"].alias("end"),
             s["encoding"].alias("encoding"),
             s["length"].alias("length"),
+            s["plain"].alias("plain"),
             (s["n"] * F.log2(s["k"])).alias("bits"),
             (F.exp(-s["fisher"] / 2) * (1 + s["fisher"] / 2 + s["fisher"] * s["fisher"] / 8)).alias("p"),
         ),
@@ -164,44 +237,51 @@ def randomness(tokens: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Token-like runs with a letter that no fixed kind covers: array<struct<start, end, encoding, length, bits, p>>."""
-    found = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, "random")).otherwise(F.expr(_NO_SPANS))
-    free = F.filter(found, lambda s: s["token"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return randomness(F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))))
+    """Token-like runs that no fixed kind touches: array<struct<start, end, encoding, length, bits, p, plain>>.
+
+    Runs of lower-case letters and separators alone are words, runs without any letter are numbers or rules.
+    """
+    free = F.when(F.size(base) > 0, _replaced(text, base, _filler)).otherwise(text)
+    found = _let(free, lambda t: F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, "random", lambda token: ~token.contains(COVERED) & token.rlike("[A-Za-z]") & token.rlike("[A-Z0-9]"))).otherwise(F.expr(_NO_SPANS)))
+    return randomness(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))))
 
 
 def _stratum(c: Column) -> Column:
-    return c["encoding"] * BANDS + F.least(F.floor(c["length"] / BAND), F.lit(BANDS - 1)).cast("int")
+    return (c["encoding"] * BANDS + F.least(F.floor(c["length"] / BAND), F.lit(BANDS - 1)).cast("int")) * 2 + c["plain"].cast("int")
 
 
 def _step(p: Column) -> Column:
     return F.least(F.greatest(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * STEPS), F.lit(0)), F.lit(STEPS * DECADES)).cast("int")
 
 
-def rejection_steps(candidates: DataFrame, fdr: float = 0.05) -> dict[int, int]:
-    """For each stratum the histogram step from which on Benjamini-Hochberg rejects randomness.
+def accepted_steps(candidates: DataFrame, fdr: float = 0.05) -> dict[int, int]:
+    """For each stratum the last histogram step (the least p-values) that is still reported as random.
 
     ``candidates`` has a column c of single candidates.  What reaches the driver is a table of at most
     strata x steps counts, whatever the number of documents.
     """
     rows = candidates.select(_stratum(F.col("c")).alias("stratum"), _step(F.col("c.p")).alias("step")).groupBy("stratum", "step").count().collect()
+    half = round(STEPS * 0.30103)  # p-values of one half and more
     out: dict[int, int] = {}
     for stratum in {r["stratum"] for r in rows}:
-        counts = sorted(((r["step"], r["count"]) for r in rows if r["stratum"] == stratum), reverse=True)
-        total, seen = sum(c for _, c in counts), 0
-        for step, count in counts:  # from the least p-values on; a step's p-values are at most 10^(-step / STEPS)
-            seen += count
-            if 10 ** (-step / STEPS) <= fdr * seen / total:
+        counts = dict((r["step"], r["count"]) for r in rows if r["stratum"] == stratum)
+        total = sum(counts.values())
+        upper = sum(c for step, c in counts.items() if step < half)
+        # one more than seen: a stratum of a few random tokens may have none above one half
+        random = min(total, (upper + 1) / (1 - 10 ** (-half / STEPS)))
+        seen = 0
+        for step in range(int(-STEPS * _log10(LEAST_P))):
+            seen += counts.get(step, 0)
+            if seen and 1 - random * (1 - 10 ** (-(step + 1) / STEPS)) / seen <= fdr:
                 out[stratum] = step
     return out
 
 
 def _random_spans(candidates: Column, steps: dict[int, int], min_bits: float) -> Column:
-    rejected = F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair]) if steps else None
+    accepted = F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair]) if steps else None
 
     def kept(c: Column) -> Column:
-        strong = c["bits"] >= min_bits
-        return strong if rejected is None else strong & (_step(c["p"]) < F.coalesce(F.element_at(rejected, _stratum(c)), F.lit(1 << 30)))
+        return F.lit(False) if accepted is None else (c["bits"] >= min_bits) & (_step(c["p"]) <= F.coalesce(F.element_at(accepted, _stratum(c)), F.lit(-1)))
 
     return F.transform(F.filter(candidates, kept), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
@@ -229,7 +309,7 @@ def scan(docs: DataFrame, *, fdr: float = 0.05, min_bits: float = 80.0, id_col:
     """
     found = _with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
     found = written(found.select("_id", _plain(F.col("_base")).alias("_base"), "_found"), "secrets")
-    steps = rejection_steps(found.select(F.explode("_found").alias("c")), fdr)
+    steps = accepted_steps(found.select(F.explode("_found").alias("c")), fdr)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
     extra = _random_spans(F.col("_found"), steps, min_bits)
     return found.select(
@@ -244,19 +324,12 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", fdr: float = 0.05, min_bi
     """The rows of ``docs`` with every span of the text replaced by ``mask``; texts without spans, nulls included, stay as they are.
 
     Overlapping spans give one mask.  All columns stay, whatever their names (but not names that begin with ``_``
-    and are used here: _base and _found).
+    and are used here: _base, _found and _spans).
     """
     found = _with_spans(docs.select(F.col(text_col)), text_col).select(F.explode("_found").alias("c"))
-    steps = rejection_steps(found, fdr)
+    steps = accepted_steps(found, fdr)
     spans = F.array_sort(F.concat(_plain(F.col("_base")), _random_spans(F.col("_found"), steps, min_bits)))
     text = F.col(text_col)
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return _with_spans(docs, text_col).withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text)).drop("_base", "_found")
+    found = _with_spans(docs, text_col).withColumn("_spans", spans)
+    whole = _replaced(text, F.col("_spans"), lambda start, end, fresh, last: F.when(fresh, F.array(F.lit(mask))).otherwise(F.expr("CAST(array() AS array<string>)")))
+    return found.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_base", "_found", "_spans")

@@ -234,3 +234,59 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {n: 0 for n in range(41)} | {100: 100, 101: 100}
     assert graph.components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    import random
+
+    draw = random.Random(3)
+    keys = ["".join(draw.choices("0123456789abcdef", k=32)) for _ in range(20_000)]
+    text = "é " + " ".join(keys) + " end"
+    frame = spark.createDataFrame([(1, text), (2, "no key"), (3, None)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in secrets.scan(frame).collect()}
+    assert rows[1].n_hex == 20_000 and rows[1].spans.split(",")[-1] == f"hex:{len(text) - 36}:{len(text) - 4}"
+    masked = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert masked == {1: "é " + " ".join(["[SECRET]"] * 20_000) + " end", 2: "no key", 3: None}
+
+
+def test_masks_over_pieces_and_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CUT", 7)
+    monkeypatch.setattr(secrets, "BLOCK", 2)
+    key = "0123456789abcdef" * 2
+    texts = [f"a password={key} b", f"{key}", f"x{key}y {key} {key}", f"token: AKIA{'Z' * 16}{key}!", "", "plain words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] for r in secrets.scan(frame).collect()}
+    for r in secrets.redact(frame).collect():
+        at, want, text = 0, "", texts[r.doc_id]
+        for start, end in found[r.doc_id]:
+            if start >= at:
+                want += text[at:start] + "[SECRET]"
+            at = max(at, end)
+        assert r.text == want + text[at:]
+    for n, t in enumerate(texts):
+        assert ",".join(f"{s.split(':')[0]}:{s.split(':')[1]}:{s.split(':')[2]}" for s in spans(t).split(",") if s) == spans(t)
+
+
+def test_error_control_of_random_tokens(spark):
+    """Random tokens of four encodings among identifiers made of words: most are found, few others are."""
+    import random
+    import string
+
+    draw = random.Random(11)
+    alphabets = ("0123456789abcdef", string.ascii_uppercase + "234567", string.digits + string.ascii_letters, string.ascii_letters + string.digits + "+/")
+    secret = ["".join(draw.choices(alphabets[n % 4], k=draw.choice((24, 30, 31, 40)))) for n in range(800)]
+    secret = [t for t in secret if len(t) < 32 or n_hex(t) < 32]
+    words = "user account data value index table result cache stream total order price header buffer client server event handler".split()
+    camel = lambda: "".join(w.title() for w in draw.choices(words, k=5)) + str(draw.randrange(100))
+    snake = lambda: "_".join(draw.choices(words, k=5)) + str(draw.randrange(10))
+    plain = [draw.choice((camel, snake, lambda: camel().upper(), lambda: "/".join(draw.choices(words, k=4)) + "/V2"))() for _ in range(3000)]
+    rows = [(n, f"see {t} there") for n, t in enumerate(secret)] + [(10_000 + n, f"call {t} now") for n, t in enumerate(plain)]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_random}
+    right = sum(d < 10_000 for d in found)
+    assert right / len(secret) > 0.9 and right / len(found) > 0.9, (right, len(secret), len(found))
+
+
+def n_hex(token):
+    import re
+
+    return max((len(m) for m in re.findall("[0-9a-f]+", token)), default=0)
