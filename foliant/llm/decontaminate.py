@@ -24,8 +24,8 @@ from .positions import at_positions, sized, with_words, word_hash
 
 #: Offsets that count, in spans of 8 words.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
-#: Items with fewer words are no evidence of a leak and overlap with nothing.
-LEAST_WORDS = 5
+#: Items with fewer words overlap with nothing: with none to leave out, empty ones alone.
+LEAST_WORDS = 1
 #: Masks of one short length at most, as each is hashed at every document position; and cases tried to find them.
 MOST_MASKS, MOST_CASES = 4, 5000
 

@@ -185,16 +185,15 @@ def read_back(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
         def read(place: tuple[str, int], length: int, digest: str) -> tuple:
             nonlocal last
             if last is None or last[0] != place:  # copies follow one another
-                member = read_range(*place, 512 + length)
-                media = member[512:]
-                width, height, _ = png_size(media[:33])
+                width, height, depth = png_size(read_range(*place, HEADER)[512:])  # the metadata columns: header bytes only
+                media = read_range(place[0], place[1] + 512, length)
                 payload = from_png(media)
                 if (sha := hashlib.sha256(payload).hexdigest()) != digest:
                     raise ValueError(f"{place}: the stored payload is not the one its name says")
-                last = (place, (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), _features(payload), width, height))
+                last = (place, (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), _features(payload), width, height, depth))
             return last[1]
 
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
         def step(batch: pa.RecordBatch):
             rows = [read((p, o), n, d) for p, o, n, d in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)])]
@@ -204,13 +203,14 @@ def read_back(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     kind = manifest.schema[id_col].dataType.simpleString()
     spread = _spread(manifest, (id_col, "n_bytes", "shard", "offset", "length", "digest"))
-    return map_arrow(spread, make, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int")
+    return map_arrow(spread, make, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, bit_depth int")
 
 
 def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, bit_depth.
 
-    Every text is stored and its stored bytes are read again, whole, whatever its length.  Null texts count
+    Every text is stored and its stored bytes are read again, whole, whatever its length; width, height and bit depth come
+    from range reads of the headers alone.  Null texts count
     as empty.  Repeated rows and null ids come back as they came; an empty table gives an empty result;
     other columns are not read.
     """

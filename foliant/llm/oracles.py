@@ -21,7 +21,7 @@ def _quoted(text: str) -> str:
 LICENSES = f"""
 WITH t(template_id, license, text) AS (VALUES {", ".join(f"({n}, {_quoted(a)}, {_quoted(b)})" for n, (a, b) in enumerate(TEMPLATES))}),
 tw AS (SELECT template_id, {_words("text")} AS w FROM t),
-ts AS (SELECT DISTINCT template_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g FROM tw, range(1, 200) r(i) WHERE i + {SHINGLE - 1} <= len(w)),
+ts AS (SELECT DISTINCT template_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g FROM tw, range(1, 3000) r(i) WHERE i + {SHINGLE - 1} <= len(w)),
 tc AS (SELECT template_id, count(*) AS n, CAST(ceil(log2(count(*))) AS INT) AS cls FROM ts GROUP BY template_id),
 d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
 p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 1))) AS i)),
@@ -31,13 +31,14 @@ hit AS (SELECT doc_id, win.cls, place, template_id, count(*) AS shared FROM win
 SELECT doc_id, template_id, license, max(shared / n) AS containment, count(*) AS n_windows FROM hit JOIN tc USING (template_id) JOIN t USING (template_id) WHERE shared / n >= 0.8 - 1e-9 GROUP BY ALL
 """
 
-#: Alignments from runs of four equal words: eleven of thirteen words hold such a run (items have 15 words or more).
+#: Alignments from runs of equal words: with d of n words unequal some run has the (d + 1)-th part of the equal ones (four of a window of 13).
 LEAKS = f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
-b AS (SELECT item_id, {_words("text")} AS w FROM benchmark WHERE len({_words("text")}) >= {LEAST_WORDS}),
-dp AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 3], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1))) AS i)),
-bp AS (SELECT item_id, i - 1 AS pos, array_to_string(w[i:i + 3], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1))) AS i)),
-s AS (SELECT DISTINCT doc_id, item_id, dp.pos - bp.pos AS shift FROM dp JOIN bp USING (g)),
+b0 AS (SELECT item_id, {_words("text")} AS w, least(13, len(w)) AS n, CAST(ceil(n * 0.8 - 1e-9) AS INT) AS eq FROM benchmark WHERE trim(coalesce(text, ''), {BLANK}) <> '' AND len(w) >= {LEAST_WORDS}),
+b AS (SELECT item_id, w, CAST(ceil(eq / (n - eq + 1)) AS INT) AS run FROM b0),
+dp AS (SELECT doc_id, run, i - 1 AS pos, array_to_string(w[i:i + run - 1], ' ') AS g FROM d, (SELECT DISTINCT run FROM b) r, LATERAL (SELECT unnest(range(1, greatest(len(w) - run + 2, 1))) AS i)),
+bp AS (SELECT item_id, run, i - 1 AS pos, array_to_string(w[i:i + run - 1], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - run + 2, 1))) AS i)),
+s AS (SELECT DISTINCT doc_id, item_id, dp.pos - bp.pos AS shift FROM dp JOIN bp USING (run, g)),
 e AS (SELECT doc_id, item_id, shift, len(b.w) AS n, list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + shift BETWEEN 1 AND len(d.w) AND d.w[i + shift] = b.w[i] THEN 1 ELSE 0 END) AS eq FROM s JOIN d USING (doc_id) JOIN b USING (item_id)),
 st AS (SELECT doc_id, item_id, shift, n, list_sum(eq) AS total, k, list_sum(eq[k + 1:k + least(13, n)]) AS part FROM e, LATERAL (SELECT unnest(range(0, n - least(13, n) + 1)) AS k)),
 best AS (SELECT doc_id, item_id, shift, any_value(n) AS n, any_value(total) AS total, max(part) AS part, arg_max(k, (part, -k)) AS k FROM st GROUP BY doc_id, item_id, shift HAVING max(part) >= ceil(least(13, any_value(n)) * 0.8 - 1e-9))

@@ -154,9 +154,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, see
     gives an empty result; other columns are not read.
     """
     prints = written(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    labels = components(links(nodes.filter("node IS NOT NULL"), distance=distance, hot_cell=hot_cell))
-    homes = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # fingerprints are the nodes, so that one whose rows have no id still links its neighbours
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    labels = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance=distance, hot_cell=hot_cell))
+    placed = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    homes = placed.join(least, "component").select("fp", "component_id")
     return prints.join(homes, "fp").select(id_col, hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow
 from .pretokens import Splitter
 
+_BLANK = regex.compile(r"\s+")
 #: Words whose counts a worker keeps; beyond that it starts afresh, so memory stays bounded.
 KEPT_WORDS = 800_000
 #: Words of the texts that are counted together.
@@ -205,17 +206,18 @@ class PrefixCounter:
         return int(out[start]) + sum(map(self.totals.__getitem__, self.words.findall(text[start:at] + begun)))
 
     def _fill(self, part: str, at: int, base: int, out: np.ndarray) -> None:
-        before, blank_from, blank_base = base, None, base
+        before, blank_from, blank_base, blanks = base, None, base, []
         for m in self.words.finditer(part):
             word = m[0]
             if word[0].isspace() and blank_from is None:
                 blank_from, blank_base = m.start(), before
+                blanks = self._within(_BLANK.match(part, blank_from)[0])
             counts = self._within(word)
             for cut in range(1, len(word) + 1):
                 stop = m.start() + cut
                 if blank_from is not None and word[cut - 1].isspace():
                     # white space at the end of a text is one pre-token from where the run began
-                    out[at + stop] = blank_base + self.totals[part[blank_from:stop]]
+                    out[at + stop] = blank_base + blanks[stop - blank_from]
                 else:
                     out[at + stop] = before + counts[cut]
             before += counts[-1]
@@ -224,7 +226,7 @@ class PrefixCounter:
 
     def _within(self, word: str) -> list[int]:
         """Counts at character prefixes of one pre-token."""
-        if word[0] == "'" and len(word) > 2:  # 're, 've and 'll begin as a quote and a letter
+        if len(word) == 3 and word[0] == "'" and word[1].isalpha():  # 're, 've and 'll begin as a quote and a letter
             return [0, *(sum(map(self.totals.__getitem__, self.words.findall(word[:k]))) for k in range(1, len(word) + 1))]
         data = word.encode()
         counts = self.table(data)
@@ -234,9 +236,30 @@ class PrefixCounter:
         return [counts[e] for e in ends]
 
     def fitting(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens (0 if even one token is too many)."""
-        fits = np.flatnonzero(self.prefixes(text) <= budget)
-        return int(fits[-1])
+        """Characters of the longest prefix with at most ``budget`` tokens (0 if even one token is too many).
+
+        The words' totals say in which word the budget ends; the prefix tables of it and its neighbours give the
+        place.  A prefix that ends in a later word has all tokens of the words before it, so none of those fits.
+        """
+        if self.split_special and self.split_special.search(text):
+            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        words = self.find(text)
+        counts = np.cumsum([0, *map(self.totals.__getitem__, words)])
+        if counts[-1] <= budget:
+            return len(text)
+        last = first = int(np.searchsorted(counts, budget, side="right")) - 1  # the first word that ends beyond the budget
+        while first and words[first - 1].isspace():
+            first -= 1
+        first = max(0, first - 1)
+        while first and words[first - 1].isspace():
+            first -= 1
+        while last + 1 < len(words) and (words[last].isspace() or counts[last] <= budget):
+            last += 1
+        part = "".join(words[first : last + 1])
+        found = np.zeros(len(part) + 1, np.int64)
+        found[0] = counts[first]
+        self._fill(part, 0, int(counts[first]), found)
+        return sum(map(len, words[:first])) + int(np.flatnonzero(found <= budget)[-1])
 
 
 class _Totals(dict):
@@ -267,9 +290,9 @@ def _vocabulary(name: str) -> tuple[str, str]:
 
 
 def token_counts(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row.
+    """doc_id, n_bytes, n_tokens, over_limit and limit_chars for each row.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids come back as they came;
+    ``limit_chars`` is the length of the longest prefix of at most ``limit`` tokens, read off the prefix tables.  Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids come back as they came;
     an empty table gives an empty result; other columns are not read, so their names can't clash.
     Texts are counted whole whatever their length.
     """
@@ -280,11 +303,12 @@ def token_counts(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", limi
         def step(batch: pa.RecordBatch):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = model.count_all(texts)
-            yield {id_col: batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [c > limit for c in counts]}
+            fits = [len(t) if c <= limit else model.fitting(t, limit) for t, c in zip(texts, counts)]
+            yield {id_col: batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [c > limit for c in counts], "limit_chars": fits}
 
         return step
 
-    return map_arrow(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_arrow(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean, limit_chars bigint")
 
 
 def prefix_token_counts(docs: DataFrame, *, vocabulary: str = "byte_bpe_50k.json", budget: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

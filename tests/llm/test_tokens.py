@@ -39,6 +39,9 @@ def test_counts_of_whole_table(spark, sf_dir, library):
     for r in rows:
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+        assert len(library.encode(texts[r.doc_id][: r.limit_chars], add_special_tokens=False).ids) <= 1024
+        if n > 1024:
+            assert all(len(library.encode(texts[r.doc_id][: r.limit_chars + k], add_special_tokens=False).ids) > 1024 for k in (1, 2, 5))
 
 
 @pytest.mark.parametrize("text", TRICKY)
@@ -56,6 +59,21 @@ def test_any_prefix(text):
     assert counter().count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+@given(WILD, st.integers(0, 25))
+@settings(max_examples=150, deadline=None)
+def test_budget_place_from_word_totals(text, budget):
+    assert counter().fitting(text, budget) == int(np.flatnonzero(counter().prefixes(text) <= budget)[-1])
+
+
+def test_runs_are_linear():
+    import time
+
+    start = time.time()
+    for text in (" " * 40_000 + "x", "'" * 40_000, "x" * 20_000):
+        assert len(counter().prefixes(text)) == len(text) + 1
+    assert time.time() - start < 20
+
+
 def test_budget(spark, library):
     docs = spark.createDataFrame([(1, "hello there, we're   here " * 30, "x"), (2, None, "y"), (None, "", "z")], "doc_id bigint, text string, n_tokens string")
     rows = {r.doc_id: r for r in token_counts.prefix_token_counts(docs, budget=50).collect()}
