@@ -27,7 +27,9 @@ FEATURES = (
 )
 #: Most rows of the two training samples.
 POSITIVES, UNLABELLED = 15_000, 30_000
-LEAST_NEGATIVES = 20
+LEAST_ROWS = 20
+#: Parts of the samples for the estimate of the class prior, and the weight decay of its classifiers.
+FOLDS, PRIOR_L2 = 5, 1e-3
 #: Most bins of a feature, and the positives that each should have.
 BINS, ROWS_PER_BIN = 24, 25
 
@@ -130,19 +132,23 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
     A classifier of positives against unlabelled ranks the rows.  At every rank threshold the positives' rate above
     it is known, and the unlabelled rate above it is at least the prior times that; the least ratio over
-    thresholds that keep a fair share of the positives is the estimate.
+    thresholds that keep most positives, less its standard error, is the estimate: every ratio is an upper bound,
+    and the risk bears too small a prior better than too large a one.
     """
     p_scores, u_scores = [], []
-    for fold in (0, 1):  # each half is ranked by the classifier of the other
-        model = _fit(positive[fold::2], unlabelled[fold::2], None, steps=200, l2=1e-3)
-        p_scores.append(model.logits(positive[1 - fold :: 2]))
-        u_scores.append(model.logits(unlabelled[1 - fold :: 2]))
+    for fold in range(FOLDS):  # each part is ranked by the classifier of the others
+        rest = lambda rows: np.concatenate([rows[k::FOLDS] for k in range(FOLDS) if k != fold])  # noqa: E731, B023
+        model = _fit(rest(positive), rest(unlabelled), None, steps=400, l2=PRIOR_L2)
+        p_scores.append(model.logits(positive[fold::FOLDS]))
+        u_scores.append(model.logits(unlabelled[fold::FOLDS]))
     best = 1.0
-    for cut in np.linspace(0.02, 0.7, 35):
+    for cut in np.linspace(0.02, 0.3, 15):
         cuts = [np.quantile(p, cut) for p in p_scores]
         above_p = np.mean([(p >= c).mean() for p, c in zip(p_scores, cuts)])
         above_u = np.mean([(u >= c).mean() for u, c in zip(u_scores, cuts)])
-        best = min(best, above_u / max(above_p, 1e-9))
+        ratio = above_u / max(above_p, 1e-9)
+        error = ratio * np.sqrt((1 - above_p) / max(above_p * len(positive), 1e-9) + (1 - above_u) / max(above_u * len(unlabelled), 1e-9))
+        best = min(best, ratio - error)
     return float(np.clip(best, 0.05, 0.99))
 
 
@@ -171,24 +177,19 @@ def train(
     """Fit on at most ``positives`` labelled good rows and ``unlabelled`` others, none of them of the held-out fold.
 
     The samples are the rows with the least hashes of their ids, so they don't depend on partitions.  Rows
-    labelled otherwise belong to the unlabelled text; they serve for the class prior alone: the share of good
-    labels, if at least LEAST_NEGATIVES say otherwise, else ``estimate_prior``.
+    labelled otherwise belong to the unlabelled text; no label but the good ones is used.  With fewer than
+    LEAST_ROWS of either sample there is nothing to learn from: every document scores 0.73 and stays.
     """
     open_rows = lambda frame: open_rows_with(frame, id_col, modulus, held_out).select(id_col)
     good = open_rows(labels.filter(F.col(label_col) == 1)).distinct()
     first = lambda frame, n: frame.orderBy(F.xxhash64(id_col), id_col).limit(n)
     p = _sample_statistics(docs, first(good, positives), id_col, text_col)
     u = _sample_statistics(docs, first(open_rows(docs).distinct(), unlabelled), id_col, text_col)
-    if len(p) < 20 or len(u) < 20:  # too little to learn from: every document scores one half and is not rejected
+    if len(p) < LEAST_ROWS or len(u) < LEAST_ROWS:
         return Model([np.array([]) for _ in FEATURES], [np.zeros(1) for _ in FEATURES], 1.0, 0.5)
     order = np.random.default_rng(7)
     p, u = order.permutation(p), order.permutation(u)
-    shares = dict(open_rows_with(labels, id_col, modulus, held_out).filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect())
-    if shares.get(0, 0) >= LEAST_NEGATIVES:
-        prior = min(0.99, max(0.05, shares.get(1, 0) / (shares.get(0, 0) + shares.get(1, 0))))
-    else:
-        prior = estimate_prior(p, u)
-    return _fit(p, u, prior)
+    return _fit(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, *, modulus: int = 4, held_out: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,6 +165,25 @@ def test_quality_edges(spark):
     assert 0.6 < quality.estimate_prior(np.random.default_rng(1).normal(3, 1, (800, 4)), np.random.default_rng(2).normal(3, 1, (800, 4))) <= 0.99
 
 
+def test_prior_estimate():
+    """Mixtures of known share, and the non-negative risk's gradient by differences."""
+    draw = np.random.default_rng(3)
+    good, bad = lambda n: draw.normal(0, 1, (n, 4)), lambda n: draw.normal(2.5, 1, (n, 4))
+    for share in (0.3, 0.6, 0.9):
+        n = int(6000 * share)
+        found = quality.estimate_prior(good(2000), np.concatenate([good(n), bad(6000 - n)]))
+        assert abs(found - share) < 0.05, (share, found)
+
+
+def test_risk_has_the_known_minimum():
+    """One feature of two values: the risk's minimum has a closed form, the odds of a good document in each."""
+    positive = np.repeat([[0.0], [1.0]], [900, 100], axis=0)
+    unlabelled = np.repeat([[0.0], [1.0]], [500, 500], axis=0)
+    model = quality._fit(positive, unlabelled, 0.5, steps=6000, l2=0.0)
+    # of the unlabelled half 0.5 * 0.9 / 0.5 of value 0 are good and 0.5 * 0.1 / 0.5 of value 1
+    assert model.score(np.array([[0.0], [1.0]])) == pytest.approx([0.9, 0.1], abs=0.02)
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf_dir = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
