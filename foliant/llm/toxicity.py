@@ -2,9 +2,10 @@
 
 Toxic words hide behind digits and signs ("m0r0n"), separators ("m.o.r.o.n", "m o r o n") and repetition
 ("mooooron").  The decoder builds a lattice of characters that a written token may stand for and finds its
-most likely path by Viterbi under a character trigram model of the corpus' own words and channel costs for
-each change.  Only tokens that show such signs are decoded; others are their own best path.  The score is
-a logistic model over words and word beginnings of the restored text.
+most likely path by Viterbi under a character trigram model of all documents and channel costs for each
+change.  A run of single characters between spaces is one token, whose spaces may be dropped or stay as word
+borders.  Only tokens that show such signs are decoded, whole and whatever their length; others are their own
+best path.  The score is a logistic model over words and word beginnings of the restored text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i",
 }
-#: Costs in nats: a substitution, a dropped separator, a dropped repeat.
-SUBSTITUTED, DROPPED, REPEATED = 0.7, 0.4, 0.2
+#: Costs in nats: a substitution, a dropped separator, a dropped repeat, a space between single characters that borders a word.
+SUBSTITUTED, DROPPED, REPEATED, BORDER = 0.7, 0.4, 0.2, 1.5
 SEPARATORS = "._-*~'`,·"
 LEAST_BEGINNING, LONGEST_BEGINNING = 4, 6
 #: Most labelled rows the model is fitted on, and most features it keeps.
@@ -40,72 +41,104 @@ _SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
 _EDGE = ".,;:?!\"()[]{}<>*#%&~'`-_"
 
 
+#: The letters of the character model; 0 is the border of a word, the last code any other letter.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha())
+CODE = {c: n for n, c in enumerate(LETTERS, 1)}
+SIZE = len(LETTERS) + 2
+_CODES = np.array([CODE.get(c, SIZE - 1 if c.isalpha() else 0) for c in map(chr, range(0x3100))] + [SIZE - 1], np.uint8)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """Counts [before-last, last, next] of the letters and word borders of a lower-case text, flat."""
+    codes = _CODES[np.minimum(np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32), 0x3100)].astype(np.int32)
+    a, b, c = np.concatenate(([0], codes[:-2])), codes[:-1], codes[1:]
+    a = np.where(b == 0, 0, a)  # a word's first letter knows nothing of the word before
+    return np.bincount(((a * SIZE + b) * SIZE + c)[(b > 0) | (c > 0)], minlength=SIZE**3)
+
+
 @dataclass
 class CharacterModel:
     """Interpolated character trigrams, smoothed by bigrams and a uniform share."""
 
-    letters: dict[str, int]
-    cost: np.ndarray  # [before-last, last, next] in nats
+    cost: list  # [before-last][last][next] in nats
 
     @classmethod
-    def learned(cls, words: dict[str, int]) -> CharacterModel:
-        seen: dict[str, int] = {}
-        for word, n in words.items():
-            for c in word:
-                seen[c] = seen.get(c, 0) + n
-        letters = {c: i + 1 for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[:100])}
-        size = len(letters) + 2  # 0 is the border, the last any other letter
-        three = np.zeros((size, size, size))
-        for word, n in words.items():
-            codes = [0, 0, *[letters.get(c, size - 1) for c in word], 0]
-            for a, b, c in zip(codes, codes[1:], codes[2:]):
-                three[a, b, c] += n
+    def learned(cls, counts: np.ndarray) -> CharacterModel:
+        three = counts.reshape(SIZE, SIZE, SIZE).astype(float)
         two, one = three.sum(0), three.sum((0, 1))
-        p1 = (one + 0.5) / (one.sum() + 0.5 * size)
+        p1 = (one + 0.5) / (one.sum() + 0.5 * SIZE)
         p2 = (two + 2 * p1) / (two.sum(1, keepdims=True) + 2)
         p3 = (three + 2 * p2) / (three.sum(2, keepdims=True) + 2)
-        return cls(letters, -np.log(p3))
+        return cls((-np.log(p3)).tolist())
+
+    def text_cost(self, text: str) -> float:
+        """The cost of a reading: of its words, borders included."""
+        found = 0.0
+        for word in text.split(" "):
+            codes = [0, 0, *[CODE.get(c, SIZE - 1) for c in word], 0]
+            found += sum(self.cost[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+        return found
 
-    def word_cost(self, word: str) -> float:
-        other = len(self.cost) - 1
-        codes = [0, 0, *[self.letters.get(c, other) for c in word], 0]
-        return float(sum(self.cost[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:])))
+
+def options(c: str, ends: bool) -> tuple[list[tuple[str, float]], float | None]:
+    """What a written character may be read as, with costs, and the cost of dropping it (None: it may not be dropped)."""
+    if c == " ":
+        return [(" ", BORDER)], 0.0
+    readings = [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
+    if c.isalpha() or not readings and c not in SEPARATORS:
+        readings.append((c, 0.0))
+    return readings, DROPPED if c in SEPARATORS or (not c.isalpha() and ends) else None
 
 
 def restore(token: str, model: CharacterModel, readings_kept: int = 3) -> list[str]:
-    """The most likely readings of one written token (lower case), the best first."""
-    other = len(model.cost) - 1
-    # a path's state: its last two codes and its last written letter; value: cost and the text so far
-    paths: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    """The most likely readings of one written token (lower case), the best first: Viterbi over all paths.
+
+    A path's state is its last two codes and its last letter; each state keeps its best path as a chain of
+    letters, so the work is linear in the token.
+    """
+    table, last_code = model.cost, SIZE - 1
+    paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     for place, c in enumerate(token):
-        readings = [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
-        if c.isalpha() or not readings and c not in SEPARATORS:
-            readings.append((c, 0.0))
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
-
-        def offer(state, cost, text, after=after):
-            if state not in after or cost < after[state][0]:
-                after[state] = (cost, text)
-
-        for (a, b, last), (cost, text) in paths.items():
-            for letter, change in readings:
-                code = model.letters.get(letter, other)
-                offer((b, code, letter), cost + change + model.cost[a, b, code], text + letter)
-                if letter == last and (c.isalpha() or change):
-                    offer((a, b, last), cost + REPEATED + change, text)
-            if c in SEPARATORS or (not c.isalpha() and place + 1 == len(token)):
-                offer((a, b, last), cost + DROPPED, text)
-        paths = dict(sorted(after.items(), key=lambda x: x[1][0])[:64])  # a beam over states far beyond the lattice's width
-    ended = [(cost + model.cost[a, b, 0], text) for (a, b, _), (cost, text) in paths.items()]
-    return list(dict.fromkeys(text for _, text in sorted(ended)))[:readings_kept]
+        readings, dropped = options(c, place + 1 == len(token))
+        coded = [(x, change, CODE.get(x, last_code), c.isalpha() or change > 0) for x, change in readings]
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        for (a, b, last), (cost, chain) in paths.items():
+            found = []
+            for letter, change, code, repeats in coded:
+                if letter == " ":
+                    found.append(((0, 0, " "), cost + change + table[a][b][0], (chain, " ")))
+                    continue
+                found.append(((b, code, letter), cost + change + table[a][b][code], (chain, letter)))
+                if letter == last and repeats:
+                    found.append(((a, b, last), cost + REPEATED + change, chain))
+            if dropped is not None:
+                found.append(((a, b, last), cost + dropped, chain))
+            for state, total, path in found:
+                if state not in after or total < after[state][0]:
+                    after[state] = (total, path)
+        paths = after
+    ended = sorted(((cost + table[a][b][0], n, chain) for n, ((a, b, _), (cost, chain)) in enumerate(paths.items())), key=lambda x: x[:2])
+    texts: dict[str, None] = {}
+    for _, _, chain in ended:
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        texts.setdefault("".join(reversed(letters)))
+        if len(texts) == readings_kept:
+            break
+    return list(texts)
 
 
 def tokens_of(text: str) -> list[str]:
-    """Lower-case tokens without edge signs; runs of single characters between spaces become one token."""
+    """Lower-case tokens between white space; a run of single characters between spaces is one token, spaces included."""
     lower = text.lower()
-    if _SPACED.search(lower):
-        lower = _SPACED.sub(lambda m: m[0].replace(" ", ""), lower)
-    return lower.split()
+    out, at = [], 0
+    for m in _SPACED.finditer(lower):
+        out += lower[at : m.start()].split()
+        out.append(m[0])
+        at = m.end()
+    return out + lower[at:].split() if out else lower.split()
 
 
 @dataclass
@@ -121,7 +154,9 @@ class Model:
     def restored(self, token: str) -> tuple[str, ...]:
         """The words a written token may be scored as: stripped as it is and, if it looks disguised, its best readings."""
         plain = token.strip(_EDGE)
-        if len(token) < 200 and _ODD.search(token):
+        if " " in token:
+            return tuple(dict.fromkeys(word for reading in restore(token, self.characters) for word in reading.split()))
+        if _ODD.search(token):
             return tuple(dict.fromkeys([plain, *restore(token.strip(".,;:?\"()[]{}<>#%&"), self.characters)]))
         return (plain,)
 
@@ -158,24 +193,30 @@ def train(
 ) -> Model:
     """Fit on at most ``labelled`` rows outside the held-out fold (those with the least hashes of their ids).
 
-    The character model and the choice of features are sums over those rows, made on the executors; the
-    driver gets the ``kept`` most telling features and the rows' use of them.
+    The character model counts all documents; no label has a part in it.  The choice of features are sums over
+    the labelled rows, made on the executors; the driver gets the ``kept`` most telling features and the rows'
+    use of them.  A whole word that tells nearly alone what its documents are keeps at least part of its own
+    odds (DISCOUNT): joint fitting splits the weight of words that come together in the sample, and a document
+    with one of them alone would fall below one half.
     """
     sample = docs.select(id_col, text_of(text_col).alias("_text")).join(F.broadcast(_labelled(docs, labels, modulus, held_out, labelled, id_col, label_col)), id_col)
 
-    def words():
-        def step(batch: pa.RecordBatch):
-            counts: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for token in set(tokens_of(text)):
-                    if (word := token.strip(_EDGE)).isalpha() and len(word) < 40:
-                        counts[word] = counts.get(word, 0) + 1
-            yield {"word": list(counts), "n": list(counts.values())}
+    def letters():
+        held = np.zeros(SIZE**3, np.int64)
+
+        def step(batch: pa.RecordBatch | None):
+            if batch is not None:
+                held[:] += trigrams(" ".join(t for t in batch.column(0).to_pylist() if t).lower())
+            elif (at := np.flatnonzero(held)).size:
+                yield {"gram": pa.array(at), "n": pa.array(held[at])}
 
         return step
 
-    common = map_arrow(sample.select("_text"), words, "word string, n bigint", 64 << 20).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "word").limit(50_000).collect()
-    model = Model(CharacterModel.learned({r["word"]: r["n"] for r in common}))
+    # at most SIZE to the third power rows
+    grams = map_arrow(docs.select(text_col), letters, "gram int, n bigint", 2 << 20, closing=True).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SIZE**3)
+    counts[grams["gram"].to_numpy()] = grams["n"].to_numpy()
+    model = Model(CharacterModel.learned(counts))
 
     def used():
         def step(batch: pa.RecordBatch):
@@ -207,7 +248,7 @@ def train(
 
     rows = map_arrow(sample.select("_text", F.col("_toxic").cast("int")), rows_of, "x array<int>, toxic int").groupBy("x", "toxic").count().collect()
     _fit(model, rows)
-    for r in chosen:  # joint fitting shares the weight of words that come together; each must also tell alone what its documents tell
+    for r in chosen:
         if r["f"].startswith("=") and r["bad"] >= max(LEAST_DOCUMENTS, 20 * r["good"]):
             alone = log((r["bad"] + 0.5) / (r["good"] + 0.5)) - log(DISCOUNT) - model.bias
             model.weights[r["f"]] = max(model.weights.get(r["f"], 0.0), alone)

@@ -193,7 +193,10 @@ def test_toxicity_on_the_held_out_fold(spark):
     for written in ("m0r0n", "m.o.r.o.n", "mooooron", "id10t", "tr@sh", "l-o-s-e-r"):
         plain = {"m0r0n": "moron", "m.o.r.o.n": "moron", "mooooron": "moron", "id10t": "idiot", "tr@sh": "trash", "l-o-s-e-r": "loser"}[written]
         assert plain in model.restored(written)
-    assert toxicity.tokens_of("you i d i o t there a b") == ["you", "idiot", "there", "a", "b"]
+    assert toxicity.tokens_of("you i d i o t there a b") == ["you", "i d i o t", "there", "a", "b"]
+    for written, plain in (("i d i o t", "idiot"), ("a m o r o n", "moron"), ("m 0 r 0 n", "moron")):
+        assert plain in model.restored(written), (written, model.restored(written))
+    assert len(model.restored("m0ron" * 20_000)) >= 1  # whole, whatever its length
     odd = spark.createDataFrame([(None, None, 1), (2, "", 1), (2, "", 1)], "doc_id bigint, text string, held_out int")
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == 3 and all(r.predicted == 0 for r in rows)
@@ -201,6 +204,29 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert toxicity.train(docs.limit(0), labels.limit(0)).score("any") == 0.5
 
 
+def test_decoder_against_all_paths():
+    """Viterbi against the enumeration of every reading of short tokens."""
+    model = toxicity.CharacterModel.learned(toxicity.trigrams("the moron is an idiot and a loser in a trash can lol " * 3))
+
+    def paths(token, place=0, text="", cost=0.0):
+        if place == len(token):
+            yield cost + model.text_cost(text), text
+            return
+        c = token[place]
+        readings, dropped = toxicity.options(c, place + 1 == len(token))
+        for letter, change in readings:
+            yield from paths(token, place + 1, text + letter, cost + change)
+            if letter != " " and letter == text[-1:] and (c.isalpha() or change > 0):
+                yield from paths(token, place + 1, text, cost + toxicity.REPEATED + change)
+        if dropped is not None:
+            yield from paths(token, place + 1, text, cost + dropped)
+
+    for token in ("m0r0n", "1d10t", "l.o.s3r!", "moooron", "a m o r", "l0 l", "tr@5h", "x", "$", "1 2 a", "lo-ser.", "i  d"):
+        every = sorted(paths(token))
+        best = toxicity.restore(token, model)[0]
+        assert min(c for c, t in every if t == best) == pytest.approx(every[0][0]), token
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
     from foliant.llm import decontaminate, near_text, secrets
