@@ -11,13 +11,16 @@ above them is a table of at most 65,536 x 255 nodes, made and summed on the exec
 that the driver gets at most 256 x 255 nodes.
 
 Documents are read in batches of about BATCH_BYTES.  Each batch has the distinct byte strings (depth + 1
-bytes) and words of its texts; these meet the model in joins, and what they find goes to one small file for
-the batch, which the scoring pass reads beside the batch's texts.  So every pass is linear in the documents and
-no task holds more than one batch.
+bytes) and words of its texts, as sorted arrays by bucket (a hash of the three context bytes, or of the word).
+A bucket's arrays of all batches meet in one task, which sums their counts, and again once the model is
+there, which then says what each batch's strings cost; that goes to one small file for the batch, which the
+scoring pass reads beside the batch's texts.  So every pass is linear in the documents, and a task holds one
+batch, or the distinct strings of one bucket.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,10 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import crc_remainder, map_arrow, new_path, written
-from .files import load_arrays, read_table, save_arrays
+from .files import read_table, save_table
 
 #: Bytes of context.
 DEPTH = 5
@@ -41,12 +43,12 @@ TOP = 3
 END = b"\xff"
 #: The key of the token that closes a document; a word's key is its hash.
 END_KEY = xxhash.xxh64_intdigest(b"", 1)
-#: Rows of one partition of the tree evaluation, and rows evaluated together (more only if one context has them).
-GRAM_PARTITION, CHUNK_ROWS = 250_000, 60_000
+#: Strings that are evaluated together (more only if one context has them).
+CHUNK_ROWS = 60_000
 #: Bytes that are coded at a time, and bytes of documents that share one file of code lengths.
-UNIT_BYTES, BATCH_BYTES = 2_000_000, 16_000_000
-#: Strings of one array in the written batches.
-ARRAY_ROWS = 50_000
+UNIT_BYTES, BATCH_BYTES = 2_000_000, 64_000_000
+#: Least and most buckets, and bytes of input for each between.
+BUCKETS, BUCKET_BYTES = (48, 4096), 16 << 20
 
 
 def _gammaln(x: np.ndarray) -> np.ndarray:
@@ -208,33 +210,62 @@ def _within(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(marks[:-1], dtype=np.int8) > 0
 
 
-def batched(docs: DataFrame, depth: int, id_col: str, out_col: str, text_col: str) -> DataFrame:
+def _packed(values: np.ndarray, sorted_values: bool) -> bytes:
+    """64-bit numbers as eight planes of bytes, of differences if they are sorted: the high planes are nearly all zeros and compress away."""
+    values = values.view(np.uint64)
+    return np.ascontiguousarray((np.diff(values, prepend=np.uint64(0)) if sorted_values else values).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes, sorted_values: bool) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if sorted_values else values
+
+
+def _bucket(kind: int, keys: np.ndarray, top: int, buckets: int) -> np.ndarray:
+    own = (keys >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1) if kind else keys
+    return (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
+
+
+def _bucket_count(docs: DataFrame) -> int:
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(BUCKETS[1], max(BUCKETS[0], size // BUCKET_BYTES))
+
+
+def batched(docs: DataFrame, depth: int, buckets: int, id_col: str, out_col: str, text_col: str) -> DataFrame:
     """The documents in batches, and each batch's distinct strings: a written table with rows of both kinds.
 
-    batch, ``id_col``, ``out_col`` and ``text_col`` of each document; batch, kind (0 words, 1 byte strings), keys and n (training
-    counts, 0 for strings of other documents alone) in arrays, in rows whose kind is not null.
+    batch, ``id_col``, ``out_col`` and ``text_col`` of each document; batch, kind (0 words, 1 byte strings), bucket, keys and
+    n (training counts, 0 for strings of other documents alone) in packed arrays, in rows whose kind is not null.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    top = min(TOP, depth)
 
     def make():
         held = {"batch": 0, "bytes": 0, "words": Counter(), "ends": 0, "parts": []}
 
-        def rows(texts: pa.RecordBatch | None, kind: int | None, keys, n) -> dict:
-            size = 1 if texts is None else texts.num_rows
-            nothing = [None] * size
-            docs = {name: nothing if texts is None else texts.column(i) for i, name in enumerate((id_col, out_col, text_col))}
-            array = lambda values: nothing if values is None else pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int64)))
-            return {"batch": [held["batch"]] * size, **docs, "kind": [kind] * size, "keys": array(keys), "n": array(n)}
+        def row_of(size: int, **given) -> dict:
+            return {name: given.get(name, [None] * size) for name in (id_col, out_col, text_col, "kind", "bucket", "keys", "n")} | {"batch": [held["batch"]] * size}
+
+        def merge() -> None:
+            held["parts"] = [_distinct(np.concatenate([k for k, _ in held["parts"]]), np.concatenate([n for _, n in held["parts"]]))]
 
         def closed() -> Iterator[dict]:
             words = held["words"]
             keys = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in words), np.uint64, len(words))
-            found = [(0, np.append(keys, np.uint64(END_KEY)), np.append(np.fromiter(words.values(), np.int64, len(words)), held["ends"]))]
+            found = [(0, *_distinct(np.append(keys, np.uint64(END_KEY)), np.append(np.fromiter(words.values(), np.int64, len(words)), held["ends"])))]
             if held["parts"]:
-                found.append((1, *_distinct(np.concatenate([k for k, _ in held["parts"]]), np.concatenate([n for _, n in held["parts"]]))))
+                merge()
+                found.append((1, *held["parts"][0]))
             for which, keys, n in found:
-                for at in range(0, len(keys), ARRAY_ROWS):
-                    yield rows(None, which, keys[at : at + ARRAY_ROWS].view(np.int64), n[at : at + ARRAY_ROWS])
+                at = _bucket(which, keys, top, buckets)
+                order = np.argsort(at, kind="stable")
+                keys, n, at = keys[order], n[order], at[order]
+                edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(keys)]
+                spans = list(zip(edges, edges[1:]))
+                yield row_of(
+                    len(spans), kind=[which] * len(spans), bucket=[int(at[i]) for i, _ in spans],
+                    keys=[_packed(keys[i:j], True) for i, j in spans], n=[_packed(n[i:j], False) for i, j in spans],
+                )
             held.update(batch=0, bytes=0, words=Counter(), ends=0, parts=[])
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict]:
@@ -243,8 +274,8 @@ def batched(docs: DataFrame, depth: int, id_col: str, out_col: str, text_col: st
                     yield from closed()
                 return
             if not held["batch"]:
-                held["batch"] = int.from_bytes(xxhash.xxh64_digest(_fresh()), "big") >> 1 | 1
-            yield rows(batch, None, None, None)
+                held["batch"] = uuid.uuid4().int >> 65 | 1
+            yield row_of(batch.num_rows, **{name: batch.column(i) for i, name in enumerate((id_col, out_col, text_col))})
             texts = [(t or b"").lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
             out = batch.column(1).to_pylist()
             for own in (True, False):
@@ -257,51 +288,58 @@ def batched(docs: DataFrame, depth: int, id_col: str, out_col: str, text_col: st
                     keys, n = _distinct(_chosen(*_grams(units, depth)))
                     held["parts"].append((keys, n if own else np.zeros(len(keys), np.int64)))
             if len(held["parts"]) > 8:
-                held["parts"] = [_distinct(np.concatenate([k for k, _ in held["parts"]]), np.concatenate([n for _, n in held["parts"]]))]
+                merge()
             held["bytes"] += batch.nbytes
             if held["bytes"] >= BATCH_BYTES:
                 yield from closed()
 
         return step
 
-    schema = f"batch bigint, `{id_col}` {kind}, `{out_col}` boolean, `{text_col}` string, kind tinyint, keys array<bigint>, n array<bigint>"
+    schema = f"batch bigint, `{id_col}` {kind}, `{out_col}` boolean, `{text_col}` string, kind tinyint, bucket int, keys binary, n binary"
     return written(map_arrow(docs.select(id_col, out_col, text_col), make, schema, UNIT_BYTES, closing=True), "batches")
 
 
-def _fresh() -> bytes:
-    import uuid
-
-    return uuid.uuid4().bytes
-
+def summed(strings: DataFrame, buckets: int) -> DataFrame:
+    """kind, bucket, keys, n, total and distinct (keys with a count): the sums over all batches, one row for each bucket."""
 
-def _in_parts(strings: DataFrame, top: int, make_rows, schema: str) -> DataFrame:
-    """``make_rows`` of the strings (key, n), all rows of a context at ``top`` in one partition and call."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def make():
+        held: dict[tuple[int, int], list] = {}
+
+        def step(batch: pa.RecordBatch | None):
+            if batch is not None:
+                for kind, bucket, keys, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    parts = held.setdefault((kind, bucket), [])
+                    parts.append((_unpacked(keys, True), _unpacked(n, False).view(np.int64)))
+                    if len(parts) > 16:
+                        parts[:] = [_distinct(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
+                return
+            for (kind, bucket), parts in sorted(held.items()):
+                keys, n = _distinct(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+                yield {"kind": [kind], "bucket": [bucket], "keys": [_packed(keys, True)], "n": [_packed(n, False)], "total": [int(n.sum())], "distinct": [int((n > 0).sum())]}
 
-    parts = max(4, strings.count() // GRAM_PARTITION)
-    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * top) - 1))
-    fields = T._parse_datatype_string(schema)
-    target = to_arrow_schema(fields)
+        return step
 
-    def run(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if held and sum(len(x[0]) for x in held):
-            for grams, n in _chunks(np.concatenate([x[0] for x in held]).view(np.uint64), np.concatenate([x[1] for x in held]), top):
-                for columns in make_rows(grams, n):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=target)
+    placed = strings.select("kind", "bucket", "keys", "n").repartition(buckets, "kind", "bucket")
+    return written(map_arrow(placed, make, "kind tinyint, bucket int, keys binary, n binary, total bigint, distinct bigint", UNIT_BYTES, closing=True), "counts")
 
-    return strings.select("key", "n").repartition(parts, context).mapInArrow(run, fields)
 
+def code_lengths(found: DataFrame, depth: int):
+    """A function from keys and counts of whole contexts to the keys' log10 probabilities, for executors.
 
-def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
-    """key, value: log10 probability of the last byte of each string (key, n: its training count)."""
+    ``found`` has all strings' counts (see ``summed``).
+    """
     top = min(TOP, depth)
-    spark = strings.sparkSession
+    spark = found.sparkSession
 
-    def sums(grams, n):
-        for place in range(8):
-            keys, *rest = evaluate(grams, n, depth, top, place, False)[0].sums(top)
-            yield keys.view(np.int64), *rest
+    def sums():
+        def step(batch: pa.RecordBatch):
+            for keys, n in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                for grams, counts in _chunks(_unpacked(keys, True), _unpacked(n, False).view(np.int64), top):
+                    for place in range(8):
+                        parents, *rest = evaluate(grams, counts, depth, top, place, False)[0].sums(top)
+                        yield {"key": pa.array(parents.view(np.int64)), **dict(zip(("zeros", "ones", "weighted"), map(pa.array, rest)))}
+
+        return step
 
     def nodes():
         def step(batch: pa.RecordBatch):
@@ -311,7 +349,7 @@ def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
         return step
 
     total = lambda frame: frame.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")])
-    parts = total(_in_parts(strings, top, sums, "key bigint, zeros double, ones double, weighted double"))
+    parts = total(map_arrow(found.filter("kind = 1").select("keys", "n"), sums, "key bigint, zeros double, ones double, weighted double"))
     path = new_path(spark, "nodes")
     # at most 65,536 contexts of two bytes and 255 decisions of each: a bound that no corpus passes
     map_arrow(parts, nodes, "key bigint, chance float, share float, zeros double, ones double, weighted double").write.parquet(path)
@@ -321,20 +359,23 @@ def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
         order = np.argsort(keys := rows["key"].to_numpy())
         above = join_top(keys[order].view(np.uint64), *[rows[c].to_numpy()[order] for c in ("zeros", "ones", "weighted")], top - 2)
 
-    def scores(grams, n):
-        keys, chance, share = _nodes(path)
-        out = np.zeros(len(grams))
-        for place in range(8):
-            prefixes, bit = _decision(grams, place)
-            _, mixed = evaluate(grams, n, depth, top, place, True)
-            at = np.searchsorted(keys, _keys(grams, prefixes, top - 1).view(np.int64))
-            mixed = _mixed(chance[at].astype(float), share[at].astype(float), bit, mixed)
-            for d, level in zip(range(top - 2, -1, -1), above):
-                mixed = level.step(np.searchsorted(level.keys, _keys(grams, prefixes, d)), bit, mixed)
-            out += np.log10(mixed)
-        yield grams.view(np.int64), out
-
-    return _in_parts(strings, top, scores, "key bigint, value double")
+    def scores(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        node_keys, chance, share = _nodes(path)
+        out = np.zeros(len(keys), np.float32)
+        for grams, n in _chunks(keys, counts, top):
+            logs = np.zeros(len(grams))
+            for place in range(8):
+                prefixes, bit = _decision(grams, place)
+                _, mixed = evaluate(grams, n, depth, top, place, True)
+                at = np.searchsorted(node_keys, _keys(grams, prefixes, top - 1).view(np.int64))
+                mixed = _mixed(chance[at].astype(float), share[at].astype(float), bit, mixed)
+                for d, level in zip(range(top - 2, -1, -1), above):
+                    mixed = level.step(np.searchsorted(level.keys, _keys(grams, prefixes, d)), bit, mixed)
+                logs += np.log10(mixed)
+            out[np.searchsorted(keys, grams)] = logs
+        return out
+
+    return scores
 
 
 @lru_cache(maxsize=1)
@@ -344,28 +385,57 @@ def _nodes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order], rows["chance"].to_numpy()[order], rows["share"].to_numpy()[order]
 
 
-def _batch_file(folder: str, batch: int) -> str:
-    return f"{folder}/{batch % 1000:03d}/{batch:x}.npz"
+def valued(strings: DataFrame, found: DataFrame, buckets: int, scores) -> DataFrame:
+    """batch, kind, keys and values of each batch's arrays: counts of words (64 bits), log10 probabilities of strings (32 bits)."""
+
+    def make():
+        own = {}
+
+        def step(batch: pa.RecordBatch):
+            for kind, bucket, number, keys, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if number is None:  # the bucket's sums come before its arrays
+                    all_keys, counts = _unpacked(keys, True), _unpacked(n, False).view(np.int64)
+                    own.update(place=(kind, bucket), keys=all_keys, values=scores(all_keys, counts) if kind else counts.astype(float))
+                    continue
+                if own["place"] != (kind, bucket):
+                    raise ValueError(f"no sums of bucket {bucket}")
+                values = own["values"][np.searchsorted(own["keys"], _unpacked(keys, True))]
+                yield {"batch": [number], "kind": [kind], "keys": [keys], "vals": [values.tobytes()]}
+
+        return step
+
+    both = strings.select("kind", "bucket", "batch", "keys", F.lit(None).cast("binary").alias("n")).union(found.select("kind", "bucket", F.lit(None).cast("bigint"), "keys", "n"))
+    placed = both.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("batch").asc_nulls_first())
+    return map_arrow(placed, make, "batch bigint, kind tinyint, keys binary, vals binary", UNIT_BYTES)
+
+
+def _batch_file(folder: str, batch: int, kind: int) -> str:
+    return f"{folder}/{batch % 1000:03d}/{batch:x}-{kind}.parquet"
 
 
 def _keep_batch(folder: str):
-    """Write one batch's words and strings with what the model says of them."""
+    """Write one batch's words and strings, sorted, with what the model says of them."""
 
     def keep(rows: pa.Table) -> pa.Table:
         batch = rows["batch"][0].as_py()
-        words = rows["kind"].to_numpy() == 0
-        keys, values = rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
-        arrays = {}
-        for name, mine, kind in (("word", words, np.float64), ("byte", ~words, np.float32)):
-            own = keys[mine]
+        kinds, keys, values = (rows[c].to_pylist() for c in ("kind", "keys", "vals"))
+        for kind, number in ((0, np.float64), (1, np.float32)):
+            mine = [i for i, k in enumerate(kinds) if k == kind]
+            own = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(keys[i], True) for i in mine)])
             order = np.argsort(own)
-            arrays |= {f"{name}_keys": own[order], f"{name}_values": values[mine][order].astype(kind)}
-        save_arrays(_batch_file(folder, batch), **arrays)
+            found = np.concatenate([np.zeros(0, number), *(np.frombuffer(values[i], number) for i in mine)])
+            save_table(_batch_file(folder, batch, kind), pa.table({"key": own[order].view(np.int64), "value": found[order]}))
         return pa.table({"batch": pa.array([batch], pa.int64())})
 
     return keep
 
 
+@lru_cache(maxsize=4)
+def _model_of(path: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = read_table(path, ["key", "value"])
+    return rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+
+
 def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_coded for each row.
 
@@ -377,17 +447,15 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (crc_remainder(id_col, modulus) == held_out).alias("_out"))
-    batches = batched(own, depth, "_id", "_out", "_text")
-    strings = batches.filter("kind IS NOT NULL").select("batch", "kind", F.inline(F.arrays_zip(F.col("keys").alias("key"), "n")))
-    found = written(strings.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    n_train, distinct = found.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    values = found.filter("kind = 0").select("kind", "key", F.col("n").cast("double").alias("value"))
-    if distinct or not found.isEmpty():
-        lengths = code_lengths(found.filter("kind = 1"), depth)
-        values = values.union(lengths.select(F.lit(1).cast("tinyint"), "key", "value"))
+    buckets = _bucket_count(docs)
+    batches = batched(own, depth, buckets, "_id", "_out", "_text")
+    strings = batches.filter("kind IS NOT NULL")
+    found = summed(strings, buckets)
+    n_train, distinct = found.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     folder = new_path(spark, "lengths")
-    met = strings.select("batch", "kind", "key").join(written(values, "values"), ["kind", "key"])
-    met.groupBy("batch").applyInArrow(_keep_batch(folder), "batch bigint").write.format("noop").mode("overwrite").save()
+    if not found.isEmpty():
+        met = valued(strings, found, buckets, code_lengths(found, depth))
+        met.groupBy("batch").applyInArrow(_keep_batch(folder), "batch bigint").write.format("noop").mode("overwrite").save()
     whole = log10(n_train + 0.1 * (distinct + 1))
 
     def make():
@@ -416,14 +484,15 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
             out[:-1][chosen] = part
             return out
 
-        def scored(batch: pa.RecordBatch, model: dict[str, np.ndarray]) -> dict:
+        def scored(batch: pa.RecordBatch, number: int) -> dict:
+            words, strings = (_model_of(_batch_file(folder, number, kind)) for kind in (0, 1))
             texts = [(t or b"").lower() for t in batch.column(2).cast(pa.binary()).to_pylist()]
             scores = np.zeros(len(texts))
             for units in _units(texts, depth):
                 grams, first, last = _grams(units, depth)
-                logs = lengths(grams, _within(len(grams), first, last), model["byte_keys"], model["byte_values"])
+                logs = lengths(grams, _within(len(grams), first, last), *strings)
                 np.add.at(scores, [n for n, _ in units], np.add.reduceat(logs, np.stack([first, last], 1).ravel())[::2])
-            sizes, known, base = tokens(texts, model["word_keys"], model["word_values"])
+            sizes, known, base = tokens(texts, *words)
             return {
                 id_col: batch.column(1),
                 "held_out": batch.column(3),
@@ -440,7 +509,7 @@ def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int =
             edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
             for start, stop in zip(edges, edges[1:]):
                 if stop > start:
-                    yield scored(batch.slice(start, stop - start), load_arrays(_batch_file(folder, int(numbers[start]))))
+                    yield scored(batch.slice(start, stop - start), int(numbers[start]))
 
         return step
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from functools import lru_cache
-
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -21,25 +17,17 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
 
 
-def save_arrays(path: str, **arrays: np.ndarray) -> None:
+def save_table(path: str, table: pa.Table) -> None:
+    """One Parquet file of sorted keys (key) and numbers (value)."""
     system, name = resolve(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    with system.open_output_stream(name) as out:
-        out.write(held.getbuffer())
-
-
-@lru_cache(maxsize=2)
-def load_arrays(path: str) -> dict[str, np.ndarray]:
-    system, name = resolve(path)
-    with system.open_input_file(name) as source:
-        found = np.load(io.BytesIO(source.read()))
-        return {k: found[k] for k in found.files}
+    pq.write_table(table, name, filesystem=system, compression="zstd", use_dictionary=False, column_encoding={"key": "DELTA_BINARY_PACKED", "value": "BYTE_STREAM_SPLIT"})
 
 
 def read_table(path: str, columns: list[str]) -> pa.Table:
-    """Columns of a Parquet folder that Spark has written."""
+    """Columns of a Parquet file, or of a folder that Spark has written."""
     system, name = resolve(path)
+    if name.endswith(".parquet"):
+        return pq.read_table(name, columns=columns, filesystem=system)
     parts = [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.base_name.endswith(".parquet")]
     return pa.concat_tables([pq.read_table(f.path, columns=columns, filesystem=system) for f in sorted(parts, key=lambda f: f.path)])

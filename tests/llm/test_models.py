@@ -102,6 +102,7 @@ def plain_ctw(texts, trained, depth):
 def test_context_tree_against_the_book(spark, depth, monkeypatch):
     monkeypatch.setattr(ctw, "BATCH_BYTES", 30)  # several batches in a task
     monkeypatch.setattr(ctw, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(ctw, "BUCKETS", (3, 3))
     texts = ["abracadabra", "ABRA kadabra abra", "", None, "the cat the cat the hat", "é è é"]
     rows = [(n, t, "x") for n, t in enumerate(texts * 2)] + [(None, "abra", "x")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
