@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
@@ -28,10 +29,19 @@ def collapse(found: DataFrame) -> DataFrame:
     return found.groupBy("overview_id", "marker", "total").agg(best.alias("b"), (F.count("*") - 1).alias("losers")).select("overview_id", "marker", "total", "b.*", "losers")
 
 
-def losers(found: DataFrame) -> DataFrame:
-    """overview_id, marker, path, kept_path of the parts that lost; all point to the final winner."""
-    kept = collapse(found).select("overview_id", "marker", F.col("part_id").alias("kept_id"), F.col("path").alias("kept_path"))
-    return found.join(kept, ["overview_id", "marker"]).filter("part_id <> kept_id").select("overview_id", "marker", "path", "kept_path")
+def losers(found: DataFrame, order: str = "part_id") -> DataFrame:
+    """overview_id, marker, path, kept_path of the parts that lost, in the order they were seen.
+
+    A part that comes second to the best so far loses to that one at once; a best one loses to the next that
+    beats it.  So the pointer is what was kept at the time of the loss, not the final winner.  One marker of one
+    overview is one window.
+    """
+    rank = F.struct((-F.col("pixels")).alias("p"), F.length("path").alias("n"), F.lower("path").alias("l"), F.col("path").alias("path"))
+    seen = W.partitionBy("overview_id", "marker").orderBy(order)
+    own = found.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(seen.rowsBetween(W.unboundedPreceding, 0)))
+    later = F.first(F.when(F.col("_best.path") == F.col("path"), F.col("path")), ignorenulls=True).over(seen.rowsBetween(1, W.unboundedFollowing))
+    held = own.withColumn("kept_path", F.when(F.col("_best.path") != F.col("path"), F.col("_best.path")).otherwise(later))
+    return held.filter("kept_path IS NOT NULL").select("overview_id", "marker", "path", "kept_path")
 
 
 def verdicts(overviews: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, web
@@ -37,24 +38,28 @@ def retention(status: Column, placed: Column, created: Column, cleaned: Column,
     return F.when((status == "placed") & ~F.coalesce(cleaned, F.lit(False)) & age(placed, keep_days), "recycle").when(status.isin("failed", "unplaced") & age(created, stale_days), "stale").otherwise("keep")
 
 
-def versions(rows: DataFrame, taken: DataFrame, dest: str = "dest", order: str = "id", mark: str = "_v") -> DataFrame:
+def versions(rows: DataFrame, taken: DataFrame, dest: str = "dest", order: str = "id", mark: str = "_v", most: int = 1000) -> DataFrame:
     """rows with ``final``: the first row of a destination that nothing holds keeps it, the others get the lowest free
-    ``_v2``, ``_v3``... in their order.
+    ``_v2``, ``_v3``... in their order; null beyond ``most``.
 
-    A destination's rows and the numbers already taken are ranked apart: the k-th row takes the k-th free number.
+    The k-th row of a destination takes its k-th free number.  Rows beyond ``most`` of one destination get none, so
+    the numbers already taken are at most so many for each.
     """
     stem, ext = paths.stem(F.col(dest)), paths.suffix(paths.file_name(F.col(dest)))
     held = taken.select(F.col(dest).alias("_held"))
     base = F.regexp_replace("_held", rf"{mark}(\d+)(\.[^./]*)?$", "$2")
-    number = F.coalesce(F.nullif(F.regexp_extract("_held", rf"{mark}(\d+)(?:\.[^./]*)?$", 1), F.lit("")).cast("int"), F.lit(1))
-    gone = held.select(base.alias(dest), number.alias("n")).groupBy(dest).agg(F.collect_set("n").alias("_taken"))
-    queue = rows.groupBy(dest).agg(F.array_sort(F.collect_list(F.col(order))).alias("_queue"))
-    joined = rows.join(queue, dest).join(gone, dest, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    place = F.array_position(F.col("_queue"), F.col(order)).cast("int")
-    free = F.filter(F.sequence(F.lit(1), F.size("_queue") + F.size("_taken")), lambda n: ~F.array_contains("_taken", n))
-    n = F.element_at(free, place)
+    number = F.coalesce(F.nullif(F.regexp_extract("_held", rf"{mark}(\d+)(?:\.[^./]*)?$", 1), F.lit("")).try_cast("int"), F.lit(1))
+    gone = held.select(base.alias(dest), number.alias("_n")).filter(F.col("_n") <= most).groupBy(dest).agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
+    # ranges of a destination's rows are ranked apart and offset by the counts before them: a crowded one is no single task
+    spread = rows.repartitionByRange(dest, order).withColumn("_part", F.spark_partition_id())
+    counts = spread.groupBy(dest, "_part").agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(W.partitionBy(dest).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    ranked = spread.withColumn("_k", F.row_number().over(W.partitionBy(dest, "_part").orderBy(order))).join(before, [dest, "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
+    joined = ranked.join(gone, dest, "left")
+    n = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k").cast("int"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     whole = F.left(F.col(dest), F.length(dest) - F.length(ext))
-    return joined.withColumn("final", F.when(n == 1, F.col(dest)).otherwise(F.concat(whole, F.lit(mark), n.cast("string"), ext))).drop("_queue", "_taken")
+    named = F.when(F.col("_v") == 1, F.col(dest)).when(F.col("_v") <= most, F.concat(whole, F.lit(mark), F.col("_v").cast("string"), ext))
+    return joined.withColumn("_v", n).withColumn("final", named).drop("_taken", "_part", "_k", "_before", "_v")
 
 
 def staging_plan(files: DataFrame, cap: int, target: str) -> DataFrame:

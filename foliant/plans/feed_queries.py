@@ -162,10 +162,10 @@ def http_gate(spark, sf_dir):
     return p.select(F.col("page_id").alias("id"), web.response_kind(s, ctype, F.when(k.isin(0, 1), "<p>Just a moment...").otherwise("{}"), url, F.when(k == 1, "https://own.example/login?x=1"), F.when(k == 4, "challenge")).alias("kind"))
 
 
-@query("""WITH c AS (SELECT c_name AS name, 'v' || CAST(c_custkey AS VARCHAR) AS value, CASE c_nationkey % 3 WHEN 0 THEN '.own.example' WHEN 1 THEN 'www.own.example' ELSE 'notown.example' END AS domain, c_acctbal AS expires FROM customer WHERE c_custkey <= 60)
+@query("""WITH c AS (SELECT c_name AS name, 'v' || CAST(c_custkey AS VARCHAR) AS value, CASE c_nationkey % 3 WHEN 0 THEN '.own.example' WHEN 1 THEN 'www.own.example' ELSE 'notown.example' END AS domain, c_acctbal AS expires FROM customer)
   SELECT string_agg(name || '=' || value, '; ' ORDER BY name, domain) AS header, count(*) AS count, min(expires) FILTER (expires > 0) AS earliest_expiry, CAST(NULL AS VARCHAR) AS error, length(string_agg(name || '=' || value, '; ' ORDER BY name, domain)) AS total_length FROM c WHERE domain <> 'notown.example'""")
 def cookie_select(spark, sf_dir):
-    c = views.table(spark, sf_dir, "customer").filter("c_custkey <= 60")
+    c = views.table(spark, sf_dir, "customer")
     k = F.col("c_nationkey") % 3
     cookies = c.select(F.col("c_name").alias("name"), F.concat(F.lit("v"), F.col("c_custkey")).alias("value"), F.when(k == 0, ".own.example").when(k == 1, "www.own.example").otherwise("notown.example").alias("domain"), F.lit("/").alias("path"), F.col("c_acctbal").alias("expires"))
     return staging.cookie_header(cookies, ["own.example"], None, [], 0.0)
@@ -187,10 +187,10 @@ def staging_plan(spark, sf_dir):
     return staging.staging_plan(f, 3000, "/t")
 
 
-@query("WITH r AS (SELECT event_id AS id, '/d/' || CAST(user_id AS VARCHAR) || '.txt' AS dest, user_id FROM events WHERE event_id % 10 < 3), n AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY id) + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS k FROM r), m AS (SELECT *, CASE WHEN user_id % 3 = 0 AND k >= 3 THEN k + 1 ELSE k END AS j FROM n) SELECT id, CASE WHEN j = 1 THEN dest ELSE '/d/' || CAST(user_id AS VARCHAR) || '_v' || CAST(j AS VARCHAR) || '.txt' END AS final FROM m")
+@query("WITH r AS (SELECT event_id AS id, '/d/' || CAST(user_id AS VARCHAR) || '.txt' AS dest, user_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY id) + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS k FROM r), m AS (SELECT *, CASE WHEN user_id % 3 = 0 AND k >= 3 THEN k + 1 ELSE k END AS j FROM n) SELECT id, CASE WHEN j = 1 THEN dest WHEN j > 1000 THEN NULL ELSE '/d/' || CAST(user_id AS VARCHAR) || '_v' || CAST(j AS VARCHAR) || '.txt' END AS final FROM m")
 def version_suffixes(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
-    rows = e.filter("event_id % 10 < 3").select(F.col("event_id").alias("id"), F.concat(F.lit("/d/"), F.col("user_id"), F.lit(".txt")).alias("dest"))
+    rows = e.select(F.col("event_id").alias("id"), F.concat(F.lit("/d/"), F.col("user_id"), F.lit(".txt")).alias("dest"))
     users = e.select("user_id").distinct()
     taken = users.filter("user_id % 2 = 0").select(F.concat(F.lit("/d/"), F.col("user_id"), F.lit(".txt")).alias("dest")).unionByName(users.filter("user_id % 3 = 0").select(F.concat(F.lit("/d/"), F.col("user_id"), F.lit("_v3.txt")).alias("dest")))
     return staging.versions(rows, taken).select("id", "final")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import dedupe, layout, report
+from ..operators import dedupe, layout, library, report
 from . import views
 from .registry import query
 
@@ -41,9 +41,18 @@ def hash_cascade_incremental(spark, sf_dir):
     return dedupe.cascade(every, prefix_bytes=64, known=views.files(spark, sf_dir).filter("id % 3 = 0").select("id", "sha256"))
 
 
-@query(f"WITH {V}, n AS (SELECT lower(stem || ext) AS name, size, CAST(trunc(mtime) AS BIGINT) // 100000 AS second FROM v_files) SELECT name, size, second, count(*) AS n, CAST((count(*) - 1) * size AS BIGINT) AS spare_bytes FROM n GROUP BY name, size, second HAVING count(*) > 1")
+def _crowded(spark, sf_dir):
+    """The inventory with few names, sizes and times, so that many rows collide."""
+    files = views.files(spark, sf_dir)
+    return files.withColumns({"stem": F.concat(F.lit("F"), F.col("id") % 40), "size": F.floor(F.col("size") / 1000) * 1000, "mtime": F.floor(F.col("mtime") / 5_000_000)})
+
+
+CROWDED_SQL = f"WITH {V}, n AS (SELECT lower('F' || CAST(id % 40 AS VARCHAR) || ext) AS name, CAST(size // 1000 * 1000 AS BIGINT) AS size, CAST(trunc(mtime) AS BIGINT) // 5000000 AS second, sha256 FROM v_files)"
+
+
+@query(CROWDED_SQL + " SELECT name, size, second, count(*) AS n, CAST((count(*) - 1) * size AS BIGINT) AS spare_bytes FROM n GROUP BY name, size, second HAVING count(*) > 1")
 def quick_collisions(spark, sf_dir):
-    return dedupe.quick_collisions(views.files(spark, sf_dir).withColumn("mtime", F.floor(F.col("mtime") / 100000)))
+    return dedupe.quick_collisions(_crowded(spark, sf_dir))
 
 
 @query(
@@ -101,9 +110,9 @@ def compare_grid(spark, sf_dir):
     return report.compare_grid(views.files(spark, sf_dir), ["src0", "src1", "src2"])
 
 
-@query(f"WITH {V} SELECT lower(stem || ext) AS name, size, CAST(trunc(mtime) AS BIGINT) // 100000 AS second, count(*) AS n, count(DISTINCT sha256) AS digests, count(DISTINCT sha256) > 1 AS mismatch FROM v_files GROUP BY ALL HAVING count(*) > 1")
+@query(CROWDED_SQL + " SELECT name, size, second, count(*) AS n, count(DISTINCT sha256) AS digests, count(DISTINCT sha256) > 1 AS mismatch FROM n GROUP BY ALL HAVING count(*) > 1")
 def meta_mismatch(spark, sf_dir):
-    return report.meta_mismatch(views.files(spark, sf_dir).withColumn("mtime", F.floor(F.col("mtime") / 100000)))
+    return report.meta_mismatch(_crowded(spark, sf_dir))
 
 
 @query(
@@ -176,6 +185,12 @@ def apply_outcomes(spark, sf_dir):
     return planned.join(there, "at", "left").select("file_id", "dest", F.when(F.col("held").isNull(), F.col("op")).when(F.col("held") == F.col("size"), "skipped").otherwise("error").alias("outcome"))
 
 
+@query(PLAN_SQL + " SELECT file_id, src, dest, op, CASE WHEN starts_with(dest, '/library/') THEN 'would ' || op ELSE 'error' END AS result, CASE WHEN starts_with(dest, '/library/') THEN '' ELSE 'outside the library' END AS note FROM plan")
+def apply_dry_run(spark, sf_dir):
+    """What the executing operator says of the plan without touching a file; quarantine is no root here."""
+    return library.apply_plan(_plan(spark, sf_dir), ["/library"])
+
+
 @query(f"WITH {V}, s AS (SELECT *, ext IN ('.txt','.pdf','.docx') AS is_side, regexp_replace(relpath, '/?[^/]*$', '') AS fld FROM v_files) SELECT s.id, min(p.id) AS parent_id FROM s LEFT JOIN s p ON s.source_name = p.source_name AND s.fld = p.fld AND s.stem = p.stem AND NOT p.is_side WHERE s.is_side GROUP BY s.id")
 def sidecar_parents(spark, sf_dir):
     return layout.attach_sidecars(views.files(spark, sf_dir))
@@ -202,9 +217,9 @@ def browse(spark, sf_dir):
     return files.groupBy(parts[0].alias("name"), (F.size(parts) > 1).alias("is_dir")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("is_dir"), F.lower("name")).limit(800)
 
 
-@query("SELECT l_orderkey AS archive_id, CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS inner_path, CAST(trunc(l_quantity) AS BIGINT) AS size, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 100 = 7 ORDER BY inner_path LIMIT 400")
+@query("SELECT l_orderkey AS archive_id, CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS inner_path, CAST(trunc(l_quantity) AS BIGINT) AS size, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey ORDER BY inner_path LIMIT 400")
 def zip_contents(spark, sf_dir):
-    orders = views.table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 7").select(F.col("o_orderkey").alias("archive_id"), "o_orderstatus")
+    orders = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("archive_id"), "o_orderstatus")
     return views.entries(spark, sf_dir).join(orders, "archive_id").orderBy("inner_path").limit(400)
 
 

@@ -171,6 +171,17 @@ def marker_collapse(spark, sf_dir):
     return parts.collapse(_parts(spark, sf_dir)[1])
 
 
+@query(
+    PARTS_SQL
+    + """, r AS (SELECT *, {'p': -pixels, 'n': length(path), 'l': lower(path), 'path': path} AS rk FROM x),
+    b AS (SELECT *, min(rk) OVER (PARTITION BY overview_id, marker ORDER BY part_id ROWS UNBOUNDED PRECEDING) AS best FROM r),
+    h AS (SELECT *, CASE WHEN best.path <> path THEN best.path ELSE first(CASE WHEN best.path = path THEN path END IGNORE NULLS) OVER (PARTITION BY overview_id, marker ORDER BY part_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS kept_path FROM b)
+    SELECT overview_id, marker, path, kept_path FROM h WHERE kept_path IS NOT NULL"""
+)
+def marker_losers(spark, sf_dir):
+    return parts.losers(_parts(spark, sf_dir)[1])
+
+
 @query(
     PARTS_SQL
     + """, k AS (SELECT overview_id, list_sort(list(marker)) AS m, sum(pixels) AS covered FROM w GROUP BY overview_id), j AS (SELECT o.id AS overview_id, coalesce(m, []) AS m, CASE WHEN px > 0 THEN coalesce(covered, 0) * 100.0 / px ELSE 0 END AS raw FROM o LEFT JOIN k ON k.overview_id = o.id)
@@ -218,35 +229,47 @@ def human_bytes(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), paths.human_bytes(F.col("p_retailprice")).alias("human"))
 
 
-@query("WITH r AS (SELECT l_orderkey AS sheet, CAST(l_linenumber * 7 % 20 AS BIGINT) AS x, CAST(l_partkey % 15 AS BIGINT) AS y, CAST(1 + l_suppkey % 9 AS BIGINT) AS w, CAST(1 + trunc(l_quantity) % 7 AS BIGINT) AS h FROM lineitem WHERE l_orderkey % 20 = 3) SELECT sheet, count(DISTINCT (cx, cy)) AS area FROM r, range(0, 40) a(cx), range(0, 40) b(cy) WHERE cx >= x AND cx < least(x + w, 25) AND cy >= y AND cy < least(y + h, 18) GROUP BY sheet")
+@query("WITH r AS (SELECT l_orderkey AS sheet, CAST(l_linenumber * 7 % 20 AS BIGINT) AS x, CAST(l_partkey % 15 AS BIGINT) AS y, CAST(1 + l_suppkey % 9 AS BIGINT) AS w, CAST(1 + trunc(l_quantity) % 7 AS BIGINT) AS h FROM lineitem), c AS (SELECT sheet, y, h, unnest(range(x, least(x + w, 25))) AS cx FROM r), d AS (SELECT DISTINCT sheet, cx, unnest(range(y, least(y + h, 18))) AS cy FROM c) SELECT sheet, count(*) AS area FROM d GROUP BY sheet")
 def union_area(spark, sf_dir):
-    l = views.table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 3")
+    l = views.table(spark, sf_dir, "lineitem")
     r = l.select(F.col("l_orderkey").alias("sheet"), (F.col("l_linenumber") * 7 % 20).cast("bigint").alias("x"), (F.col("l_partkey") % 15).alias("y"), (1 + F.col("l_suppkey") % 9).alias("w"), (1 + F.col("l_quantity").cast("bigint") % 7).alias("h"))
     return geometry.union_area(r, "sheet", 25, 18).filter("area > 0")
 
 
-@query("WITH r AS (SELECT l_orderkey AS sheet, l_linenumber AS id, CAST(l_linenumber * 7 % 20 AS BIGINT) AS x, CAST(l_partkey % 15 AS BIGINT) AS y, CAST(1 + l_suppkey % 9 AS BIGINT) AS w, CAST(1 + trunc(l_quantity) % 7 AS BIGINT) AS h FROM lineitem WHERE l_orderkey % 20 = 3) SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
+@query("WITH r AS (SELECT l_orderkey AS sheet, l_linenumber AS id, CAST(l_linenumber * 7 % 20 AS BIGINT) AS x, CAST(l_partkey % 15 AS BIGINT) AS y, CAST(1 + l_suppkey % 9 AS BIGINT) AS w, CAST(1 + trunc(l_quantity) % 7 AS BIGINT) AS h FROM lineitem) SELECT a.sheet, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sheet = b.sheet AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h")
 def overlaps(spark, sf_dir):
-    l = views.table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 3")
+    l = views.table(spark, sf_dir, "lineitem")
     r = l.select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 7 % 20).cast("bigint").alias("x"), (F.col("l_partkey") % 15).alias("y"), (1 + F.col("l_suppkey") % 9).alias("w"), (1 + F.col("l_quantity").cast("bigint") % 7).alias("h"))
     return geometry.overlapping(r, "sheet")
 
 
-@query("SELECT l_orderkey AS sheet, median(l_quantity) AS middle, max(abs(l_quantity - m) / m) AS spread FROM (SELECT l_orderkey, l_quantity, median(l_quantity) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey % 10 = 1) GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS sheet, median(l_quantity) AS middle, max(abs(l_quantity - m) / m) AS spread FROM (SELECT l_orderkey, l_quantity, median(l_quantity) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY l_orderkey")
 def median_spread(spark, sf_dir):
-    return geometry.median_spread(views.table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 1").select(F.col("l_orderkey").alias("sheet"), F.col("l_quantity").alias("v")), "sheet").withColumnRenamed("median", "middle")
+    return geometry.median_spread(views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_quantity").alias("v")), "sheet").withColumnRenamed("median", "middle")
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT l_orderkey AS sheet, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS i FROM lineitem),
+    c AS (SELECT sheet, i, v AS s, 1 AS n, 0 AS k FROM v WHERE i = 1
+      UNION ALL SELECT v.sheet, v.i, CASE WHEN v.v - s / n <= 3 THEN s + v.v ELSE v.v END, CASE WHEN v.v - s / n <= 3 THEN n + 1 ELSE 1 END, CASE WHEN v.v - s / n <= 3 THEN k ELSE k + 1 END FROM c JOIN v ON v.sheet = c.sheet AND v.i = c.i + 1)
+    SELECT sheet, list(m ORDER BY k) AS centers FROM (SELECT sheet, k, arg_max(s / n, n) AS m FROM c GROUP BY sheet, k) GROUP BY sheet"""
+)
 def running_clusters(spark, sf_dir):
-    """Running-mean clusters; tested against a loop."""
+    """Running-mean clusters."""
     l = views.table(spark, sf_dir, "lineitem")
     return geometry.clusters(l.select(F.col("l_orderkey").alias("sheet"), F.col("l_quantity").alias("v")), "sheet", 3.0)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT l_orderkey AS sheet, (l_linenumber - 1) % 3 AS x, (l_linenumber - 1) // 3 AS y, l_linenumber - 1 AS v FROM lineitem),
+    s AS (SELECT sheet, max(x) + 1 AS cols, max(y) + 1 AS rows, count(*) AS n FROM c GROUP BY sheet),
+    f AS (SELECT sheet, cols, rows, n, min(v - y * cols - x) AS lo_r, max(v - y * cols - x) AS hi_r, min(v - x * rows - y) AS lo_c, max(v - x * rows - y) AS hi_c FROM c JOIN s USING (sheet) GROUP BY ALL),
+    k AS (SELECT *, lo_r = hi_r AND lo_r >= 0 AND lo_r + cols * rows - 1 <= 25 AS r, lo_c = hi_c AND lo_c >= 0 AND lo_c + cols * rows - 1 <= 25 AS c FROM f),
+    o AS (SELECT *, CASE WHEN r AND c THEN CASE WHEN (cols = 1 OR rows = 1) AND n = cols * rows THEN 'row' END WHEN r THEN 'row' WHEN c THEN 'col' END AS "order" FROM k)
+    SELECT sheet, "order", CASE "order" WHEN 'row' THEN lo_r WHEN 'col' THEN lo_c END AS first FROM o"""
+)
 def lattice_cells(spark, sf_dir):
-    """Reading order of cells on a lattice; tested on small cases."""
+    """Reading order of cells on a lattice."""
     l = views.table(spark, sf_dir, "lineitem")
     cells = l.select(F.col("l_orderkey").alias("sheet"), ((F.col("l_linenumber") - 1) % 3).alias("col"), F.floor((F.col("l_linenumber") - 1) / 3).cast("int").alias("row"), F.char(F.lit(96) + F.col("l_linenumber")).alias("marker"))
     return geometry.reading_order(cells, "sheet")
