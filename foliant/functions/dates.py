@@ -34,3 +34,14 @@ def months_back(day: Column, months: int) -> Column:
 def older_than(at: Column, now: Column, days: int) -> Column:
     """Whether at least ``days`` whole days lie between; exactly so many count."""
     return now >= at + F.expr(f"INTERVAL {days} DAYS")
+
+
+def window_start(now: Column, zone: str, since: Column, last_months: Column) -> Column:
+    """Local midnight from which posts count: the day given, else as many months before today; null for all."""
+    today = F.to_date(F.from_utc_timestamp(now, zone))
+    return F.coalesce(since.try_cast("date"), F.when(last_months > 0, F.add_months(today, -last_months))).cast("timestamp")
+
+
+def window_end(now: Column, zone: str, until: Column) -> Column:
+    """Local midnight before which posts count: the day given, else tomorrow."""
+    return F.coalesce(until.try_cast("date"), F.date_add(F.to_date(F.from_utc_timestamp(now, zone)), 1)).cast("timestamp")

@@ -110,3 +110,11 @@ def combine(rule_bin: Column, rule_confidence: Column, first: Column, second: Co
         ],
         answer(rule_bin, "low"),
     )
+
+
+def response_label(raw: Column) -> Column:
+    """The label in a model's answer: of its message's text, itself JSON or plain, or of the answer; null without one."""
+    content = F.get_json_object(raw, "$.message.content")
+    of = lambda text: F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("bin", "label", "type")])
+    plain = F.when(~F.trim(content).rlike(r"^[{\[]"), F.nullif(F.trim(content), F.lit("")))
+    return F.coalesce(of(content), plain, of(raw))

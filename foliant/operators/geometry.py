@@ -103,3 +103,31 @@ def nearest_sibling(missing: DataFrame, located: DataFrame, key: str) -> DataFra
     """cell, sibling: the located part with the least index distance, the first of equals."""
     both = missing.join(located, key)
     return both.groupBy(key, "cell").agg(F.min_by("part", F.struct(F.abs(F.col("cell_index") - F.col("part_index")), "part_order")).alias("sibling"))
+
+
+def missing_cells(cells: DataFrame, located: DataFrame, key: str, slack: int = 2) -> DataFrame:
+    """Cells (key, cell, x, y) near which no part (key, x, y) was located: farther than ``slack`` in x or y from all of its sheet.
+
+    Both sides are put on a grid as wide as the slack; a cell looks into the nine squares about its own.
+    """
+    size = slack + 1
+    square = lambda x, y: F.struct(F.floor(x / size).alias("gx"), F.floor(y / size).alias("gy"))
+    parts = located.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"), square(F.col("x"), F.col("y")).alias("_g")).distinct()
+    near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda a: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda b: F.struct((F.floor(F.col("x") / size) + a).alias("gx"), (F.floor(F.col("y") / size) + b).alias("gy")))))
+    looks = cells.select(key, "cell", "x", "y", F.explode(near).alias("g"))
+    hit = looks.join(parts, (F.col(key) == F.col("_k")) & (F.col("g") == F.col("_g")) & (F.abs(F.col("x") - F.col("_x")) <= slack) & (F.abs(F.col("y") - F.col("_y")) <= slack)).select(key, "cell", "x", "y").distinct()
+    return cells.join(hit, [key, "cell", "x", "y"], "left_anti")
+
+
+def padding(rects: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """key, pixels, notes: flat strips between the sheet's edges and its parts (x, y, w, h), two pixels wide or more, corners once.
+
+    ``flat`` (a boolean for each of top, bottom, left, right, on any row of the sheet) says which strips are flat; without
+    these columns all are.
+    """
+    flat = lambda side: F.bool_and(side) if side in rects.columns else F.lit(True)
+    e = rects.groupBy(key).agg(F.min("y").alias("top"), (height - F.max(F.col("y") + F.col("h"))).alias("bottom"), F.min("x").alias("left"), (width - F.max(F.col("x") + F.col("w"))).alias("right"), *[flat(s).alias(f"flat_{s}") for s in ("top", "bottom", "left", "right")])
+    strip = {s: F.when(F.col(f"flat_{s}") & (F.col(s) >= 2), F.col(s)).otherwise(0) for s in ("top", "bottom", "left", "right")}
+    across, down = strip["top"] + strip["bottom"], strip["left"] + strip["right"]
+    notes = F.concat_ws(", ", *[F.when(strip[s] > 0, F.format_string(f"{s} %dpx", strip[s])) for s in strip])
+    return e.select(key, (across * width + down * height - across * down).alias("pixels"), F.when(notes == "", "none").otherwise(notes).alias("notes"))

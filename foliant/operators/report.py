@@ -69,3 +69,54 @@ def source_flags(files: DataFrame, duplicates: DataFrame, quick: DataFrame) -> D
     loose = keyed.join(quick.select("name", "size", "second"), ["name", "size", "second"], "left_semi").groupBy("source_name").agg(F.lit(True).alias("quick"))
     every = files.select("source_name").distinct()
     return every.join(exact, "source_name", "left").join(loose, "source_name", "left").select("source_name", F.coalesce("exact_files", F.lit(0)).alias("exact_files"), F.coalesce("quick", F.lit(False)).alias("has_quick"))
+
+
+def pairing_counts(pairs: DataFrame) -> DataFrame:
+    """One row: archives with and without an extracted folder."""
+    return pairs.agg(F.count_if("paired").alias("paired"), F.count_if(~F.col("paired")).alias("unpaired"))
+
+
+def payload_totals(files: DataFrame, key: str) -> DataFrame:
+    """key, members, bytes of what a pack would hold."""
+    return files.groupBy(key).agg(F.count("*").alias("members"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def run_tally(outcomes: DataFrame, ok: tuple[str, ...], skipped: tuple[str, ...]) -> DataFrame:
+    """One row: ok, skipped and failed outcomes of a run, zeros too."""
+    r = F.col("result")
+    return outcomes.agg(F.count_if(r.isin(*ok)).alias("ok"), F.count_if(r.isin(*skipped)).alias("skipped"), F.count_if(~r.isin(*ok, *skipped)).alias("failed"))
+
+
+def ungrouped(files: DataFrame, n: int = 200) -> DataFrame:
+    """The first ``n`` paths without a group."""
+    return files.filter("group_name IS NULL").select("path").orderBy("path").limit(n)
+
+
+def duplicate_flags(files: DataFrame, duplicates: DataFrame, quick: DataFrame) -> DataFrame:
+    """id, in_hash, in_meta of every file: whether it has an exact copy, and a quick collision."""
+    exact = duplicates.select("sha256", F.lit(True).alias("in_hash"))
+    loose = quick.select("name", "size", "second", F.lit(True).alias("in_meta"))
+    keyed = files.withColumn("name", F.lower(F.concat("stem", "ext"))).withColumn("second", F.col("mtime").cast("bigint"))
+    return keyed.join(exact, "sha256", "left").join(loose, ["name", "size", "second"], "left").select("id", F.coalesce("in_hash", F.lit(False)).alias("in_hash"), F.coalesce("in_meta", F.lit(False)).alias("in_meta"))
+
+
+def overview(files: DataFrame, duplicates: DataFrame, quick: DataFrame, scanned, now, duration: float) -> DataFrame:
+    """One row: files, bytes, bytes to spare by digest and by name, size and time, and whether the scan is older than a minute and than it took."""
+    a = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    b = duplicates.agg(F.coalesce(F.sum("wasted_bytes"), F.lit(0)).alias("deep_spare"))
+    c = quick.agg(F.coalesce(F.sum("spare_bytes"), F.lit(0)).alias("quick_spare"))
+    one = lambda frame: frame.withColumn("_one", F.lit(1))
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.lit(scanned).cast("timestamp"))
+    return one(a).join(one(b), "_one").join(one(c), "_one").drop("_one").withColumn("stale", age > max(60.0, duration))
+
+
+def pick_columns(preferred: DataFrame, every: DataFrame, key: str, n: int) -> DataFrame:
+    """number, key: the preferred names first, then the others, each once and ``n`` at most; both have an order column ``at``."""
+    both = preferred.select(key, F.struct(F.lit(0).alias("tier"), "at").alias("rank")).unionByName(every.select(key, F.struct(F.lit(1).alias("tier"), "at").alias("rank")))
+    first = both.groupBy(key).agg(F.min("rank").alias("rank"))
+    picked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", key))), 1, n), lambda x: x[key])
+    return first.orderBy("rank", key).limit(n).agg(picked.alias("p")).select(F.posexplode("p").alias("number", key))
+
+
+def register_order(entries: DataFrame, path: str = "path") -> DataFrame:
+    return entries.orderBy(F.lower(path), path)

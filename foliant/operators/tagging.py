@@ -78,12 +78,12 @@ def plan(items: DataFrame, destination: str) -> DataFrame:
     )
 
 
-def numbered_actions(planned: DataFrame) -> DataFrame:
+def numbered_actions(planned: DataFrame, kinds: tuple[str, ...] = ("move", "recycle")) -> DataFrame:
     """id, op, rel, dst of moves and recyclings, each numbered in the order of rel (``move-0001``).
 
     The numbers are global, so ranges of rel are numbered apart and offset by the counts before them.
     """
-    ops = planned.filter("proposal IN ('move', 'recycle')").repartitionByRange("proposal", "rel").withColumn("_part", F.spark_partition_id())
+    ops = planned.filter(F.col("proposal").isin(*kinds)).repartitionByRange("proposal", "rel").withColumn("_part", F.spark_partition_id())
     counts = ops.groupBy("proposal", "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("proposal").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = F.row_number().over(W.partitionBy("proposal", "_part").orderBy("rel"))
@@ -100,3 +100,10 @@ def eligible(level_bin: Column, confidence: Column, path: Column) -> Column:
         [(paths.in_folder_named(path, ".git"), answer(False, "refused: path under .git")), (confidence != "high", answer(False, "not high confidence")), (~level_bin.isin(*sniff.BINS), answer(False, "unknown bin"))],
         answer(True, ""),
     )
+
+
+def action_rows(planned: DataFrame) -> DataFrame:
+    """id, op, src, dst of a plan's actions: the folders to make, then moves and recyclings, each kind numbered."""
+    folders = planned.filter("proposal = 'move'").select(paths.parent(F.col("dst")).alias("rel")).distinct().select("rel", F.lit("mkdir").alias("proposal"), F.col("rel").alias("dst"))
+    numbered = numbered_actions(folders.unionByName(planned.select("rel", "proposal", "dst")), ("mkdir", "move", "recycle"))
+    return numbered.select("id", "op", F.when(F.col("op") != "mkdir", F.col("rel")).alias("src"), F.when(F.col("op") != "recycle", F.col("dst")).alias("dst"))
