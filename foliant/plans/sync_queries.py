@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import posts as post_columns
-from ..operators import dedupe, feed, geometry, layout, report, tagging
+from ..operators import dedupe, feed, geometry, layout, packing, report, tagging
+from ..sources import archives
 from . import tag_queries, views
 from .inventory_queries import CROWDED_SQL, GROUPS_SQL, V, _crowded
 from .registry import query
@@ -270,3 +271,42 @@ def sheet_padding(spark, sf_dir):
 def post_filters(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("post_id"), post_columns.before_day(F.col("o_orderdate").cast("timestamp"), "UTC", F.lit("1996-01-01")).alias("early"), post_columns.too_big(F.col("o_totalprice"), F.lit(2)).alias("big"))
+
+
+@query("SELECT 's' || source AS source, CAST(doc_id AS VARCHAR) || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS problem FROM documents")
+def pack_round_trip(spark, sf_dir):
+    """Documents packed by source in bounded volumes, the archives read again and held against the manifest."""
+    d = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), "source").alias("source"), F.concat("doc_id", F.lit(".txt")).alias("rel"), F.octet_length("text").alias("size"), F.col("text").cast("binary").alias("content"))
+    whole = packing.packed(packing.volumes(d, "source", 1 << 20))
+    members = archives.archive_members(whole.select(F.col("archive").alias("path"), "content"))
+    manifest = d.select("rel", "size", F.sha2("content", 256).alias("sha256"))
+    problems = packing.against_manifest(members, manifest)
+    return members.join(problems, F.col("name") == F.col("rel"), "left").select(F.regexp_replace("path", "-[0-9]+$", "").alias("source"), "name", "size", "sha256", "problem")
+
+
+@query("WITH e AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '.txt' AS name, strlen(text) AS size FROM documents) SELECT name, CASE WHEN doc_id % 10 = 1 THEN 'new' WHEN doc_id % 10 = 2 THEN 'unsafe' WHEN doc_id % 10 = 3 THEN 'conflict-backup' ELSE 'unchanged' END AS action FROM e")
+def unpack_plan(spark, sf_dir):
+    """What unpacking would do where some files are missing, are folders, or differ."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("rel"), F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("sha256"))
+    members = d.select(F.lit("a.zip").alias("path"), F.col("rel").alias("name"), "size", "sha256", F.lit(None).cast("string").alias("reason"), F.col("doc_id").cast("int").alias("ord"))
+    k = F.col("doc_id") % 10
+    there = d.filter(k != 1).select("rel", F.when(k == 2, "dir").otherwise("file").alias("kind"), "size", F.when(k == 3, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return packing.member_actions(members, there, "backup").select("name", "action")
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '*.tmp' WHEN 1 THEN 'cache' END AS excluded FROM documents")
+def walk_excludes(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "a/b.tmp").when(F.col("doc_id") % 3 == 1, "x/cache/y").otherwise("x/y.txt").alias("relpath"))
+    return packing.kept_and_excluded(d, ["*.tmp", "cache"]).select("id", "excluded")
+
+
+IMAGES = (
+    ("89504E470D0A1A0A0000000D49484452000000400000002008000000", 64, 32, "png"), ("4749463839610A001400", 10, 20, "gif"), ("524946461E000000574542505650385816000000" + "00000000" + "3F0000" + "1F0000", 64, 32, "webp"),
+    ("49492A000800000002000001030001000000400000000101030001000000200000000000", 64, 32, "tiff"), ("FFD8FFE000040000FFC0000B080020004001011100", 64, 32, "jpeg"), ("00010203", None, None, None),
+)
+
+
+@query("SELECT doc_id AS id, " + ", ".join(f"([{', '.join('NULL' if r[k] is None else repr(r[k]) for r in IMAGES)}])[doc_id % {len(IMAGES)} + 1] AS {n}" for k, n in ((1, "width"), (2, "height"), (3, "kind"))) + " FROM documents")
+def image_dimensions(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.unhex(F.element_at(F.array(*[F.lit(r[0]) for r in IMAGES]), (F.col("doc_id") % len(IMAGES) + 1).cast("int"))).alias("content"))
+    return archives.dimensions(d).select(F.col("path").cast("bigint").alias("id"), "width", "height", "kind")
