@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import keeps, map_arrow
 from .pretokens import Splitter
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
@@ -191,6 +191,9 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+keeps(__name__, coder.cache_clear)
+
+
 def _coder(vocabulary: str) -> Coder:
     import public_tokenizers
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The C library's call that returns free memory, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A to Z onto a to z; other letters keep their case.
@@ -41,6 +45,30 @@ def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+#: What the modules keep in a Python worker between tasks, by module: how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Say that ``module`` keeps things in a worker; tasks of other modules call ``clear`` first."""
+    _KEPT[module] = clear
+
+
+def begin_task(module: str) -> None:
+    """A worker serves many tasks: what other operators have kept in it (tokenizers, models) goes."""
+    for owner, clear in _KEPT.items():
+        if owner != module:
+            clear()
+
+
+def end_task() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def map_arrow(
     frame: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]],
@@ -60,11 +88,14 @@ def map_arrow(
     target = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(make.__module__)
         step = make()
         cells = lambda c, f: c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
         for part in _slices(batches, slice_bytes, closing):
             for columns in step(part):
                 yield pa.RecordBatch.from_arrays([cells(columns[f.name], f) for f in target], schema=target)
+        del step
+        end_task()
 
     return frame.mapInArrow(run, fields)
 

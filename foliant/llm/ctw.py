@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_arrow, new_path, written
+from .common import crc_remainder, keeps, map_arrow, new_path, written
 from .files import read_table, save_table
 
 #: Bytes of context.
@@ -436,6 +436,9 @@ def _model_of(path: str) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
 
 
+keeps(__name__, lambda: (_nodes.cache_clear(), _model_of.cache_clear()))
+
+
 def score(docs: DataFrame, *, modulus: int = 10, held_out: int = 0, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_coded for each row.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import keeps, map_arrow
 from .pretokens import Splitter
 
 _BLANK = regex.compile(r"\s+")
@@ -283,6 +283,9 @@ def counter(path: str, pattern: str) -> PrefixCounter:
     return PrefixCounter(path, pattern)
 
 
+keeps(__name__, counter.cache_clear)
+
+
 def _vocabulary(name: str) -> tuple[str, str]:
     import public_tokenizers
 
