@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Fixed value: the digest of no bytes.
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 PREFIX_BYTES = 65_536
@@ -28,10 +30,11 @@ def cascade(files: DataFrame, *, content: str = "content", prefix_bytes: int = P
     comparison, so a new copy of a known file is found, but are not hashed again.
     """
     same_size = colliding(files.filter("size > 0").select("id", "size"), "size")
-    prefixed = files.join(same_size.select("id"), "id", "left_semi").select("id", "size", content, F.sha2(F.substring(F.col(content).cast("binary"), 1, prefix_bytes), 256).alias("prefix"))
-    left = colliding(prefixed.select("id", "size", "prefix"), "size", "prefix")
+    # prefixes are read once; content is read again only for what still collides
+    prefixed = written(files.join(same_size.select("id"), "id", "left_semi").select("id", "size", F.sha2(F.substring(F.col(content).cast("binary"), 1, prefix_bytes), 256).alias("prefix")), "prefixes")
+    left = colliding(prefixed, "size", "prefix")
     if known is None:
-        whole = prefixed.join(left.select("id"), "id", "left_semi").select("id", "size", "prefix", F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+        whole = files.select("id", content).join(left, "id").select("id", "size", "prefix", F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
     else:
         old = left.join(known.select("id", F.col("sha256").alias("_known")), "id", "left")
         new = files.join(old.filter("_known IS NULL").select("id"), "id", "left_semi").select("id", F.sha2(F.col(content).cast("binary"), 256).alias("_new"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .tables import written
 
 # The named templates and the extension groups.
 LAYOUTS = {
@@ -75,12 +76,14 @@ def plan(files: DataFrame, duplicates: DataFrame, parents: DataFrame, *, library
     destination, or under _unsorted if it has none.  Destinations outside both roots fail the query.
     """
     known = duplicates.select("sha256", "canonical_id")
-    marked = files.join(known, "sha256", "left").withColumn("extra", F.col("canonical_id").isNotNull() & (F.col("canonical_id") != F.col("id")))
+    used = ("id", "path", "source_name", "priority", "layout", "relpath", "stem", "ext", "bundle", "pack", "from_pack", "year", "month", "group_name")
+    # the inventory is digested once; both passes read this table
+    marked = written(files.join(known, "sha256", "left").select(*used, "canonical_id", (F.col("canonical_id").isNotNull() & (F.col("canonical_id") != F.col("id"))).alias("extra")), "inventory")
     apart = F.concat_ws("/", F.lit(quarantine), F.col("source_name"), F.col("relpath"))
     values = tokens(library_root, quarantine)
     is_side = F.lower("ext").isin(*SIDECARS)
     main = marked.filter(~is_side).select(
-        "*",
+        "id", "path", "priority",
         F.when(F.col("extra"), apart).when(F.lower("ext").isin(*ARCHIVES), paths.render(LAYOUTS["zip_store"], values)).otherwise(destination(F.col("layout"), values)).alias("dest"),
         F.when(F.col("extra"), "quarantine").otherwise(default_op).alias("op"),
         F.when(F.col("extra"), F.concat(F.lit("exact duplicate; canonical file_id="), F.col("canonical_id")))
@@ -88,12 +91,12 @@ def plan(files: DataFrame, duplicates: DataFrame, parents: DataFrame, *, library
         F.lit(0).alias("pass"),
     )
     order = (F.col("pass"), -F.col("priority"))
-    placed = renamed_on_collision(main, *order)
+    placed = written(renamed_on_collision(main, *order), "placed")
     homes = placed.select(F.col("id").alias("parent_id"), paths.parent(F.col("dest")).alias("parent_dir"))
     side = marked.filter(is_side).join(parents.select("id", "parent_id"), "id", "left").join(homes, "parent_id", "left")
     orphan = F.col("parent_dir").isNull()
     side = side.select(
-        *main.columns[:-4],
+        "id", "path", "priority",
         F.when(F.col("extra"), F.concat_ws("/", F.lit(quarantine), F.col("source_name"), F.when(orphan, F.concat(F.lit("_unsorted/"), F.col("relpath"))).otherwise(F.col("relpath"))))
         .when(orphan, paths.render(LAYOUTS["keep_relpath"], tokens(library_root, quarantine, relpath=F.concat(F.lit("_unsorted/"), F.col("relpath")))))
         .otherwise(paths.render(LAYOUTS["sidecar_with_parent"], tokens(library_root, quarantine, F.col("parent_dir")))).alias("dest"),

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir
+
 
 def burst_stream(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     """parent_rel, first_second, members of each burst of two or more; gaps of exactly ``gap`` still join.
@@ -40,7 +42,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is, into a table of the shared folder."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    base = shared_dir(spark)
     at = f"{base}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
