@@ -100,6 +100,18 @@ def map_arrow(
     return frame.mapInArrow(run, fields)
 
 
+def filter_arrow(frame: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], slice_bytes: int = 8 << 20) -> DataFrame:
+    """Apply ``step``, which leaves out rows and keeps all columns by position, to slices of ``frame``; names may repeat."""
+    numbered = frame.toDF(*map(str, range(len(frame.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(step.__module__)
+        yield from map(step, _slices(batches, slice_bytes, False))
+        end_task()
+
+    return numbered.mapInArrow(run, numbered.schema).toDF(*frame.columns)
+
+
 def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int, closing: bool) -> Iterator[pa.RecordBatch | None]:
     for batch in batches:
         rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))

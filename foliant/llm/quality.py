@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_arrow, text_of
+from .common import crc_remainder, filter_arrow, map_arrow
 
 FEATURES = (
     "log_words", "word_length", "word_length_spread", "upper_share", "digit_share", "symbol_share", "white_share", "distinct_words", "distinct_pairs",
@@ -213,12 +213,10 @@ def score(docs: DataFrame, model: Model, *, modulus: int = 4, held_out: int = 2,
 
 def keep_good(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts score at least ``threshold``, in all their columns."""
-    from pyspark.sql.functions import pandas_udf
+    at = docs.columns.index(text_col)
 
-    @pandas_udf("double")
-    def judged(texts):
-        import pandas as pd
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+        return batch.filter(pa.array(model.score(rows) >= threshold))
 
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts]))) if len(texts) else pd.Series([], dtype=float)
-
-    return docs.filter(judged(text_of(text_col)) >= threshold)
+    return filter_arrow(docs, step)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import ctw, files, media, quality, queries, toxicity
 
@@ -161,7 +162,12 @@ def test_quality_edges(spark):
     rows = quality.score(odd, model).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(odd.limit(0), model).count() == 0
-    assert set(quality.keep_good(odd, model).columns) == set(odd.columns)
+    good = sorted(r.doc_id for r in quality.score(docs, model).filter("predicted = 1").collect())
+    assert 0 < len(good) < docs.count() and sorted(r.doc_id for r in quality.keep_good(docs, model).collect()) == good
+    assert quality.keep_good(odd, model, threshold=0.0).exceptAll(odd).count() == 0 and quality.keep_good(odd, model, threshold=0.0).count() == 4
+    assert quality.keep_good(odd.limit(0), model).count() == 0
+    twice = odd.select("text", F.col("doc_id").alias("n"), F.col("score").alias("n"))
+    assert quality.keep_good(twice, model, threshold=0.0).columns == twice.columns
     assert quality.train(docs.limit(0), labels.limit(0)).score(np.zeros((1, len(quality.FEATURES))))[0] >= 0.7
     assert 0.6 < quality.estimate_prior(np.random.default_rng(1).normal(3, 1, (800, 4)), np.random.default_rng(2).normal(3, 1, (800, 4))) <= 0.99
 
