@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, web
+from . import numbering
 
 
 def manifest_diff(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -50,16 +50,11 @@ def versions(rows: DataFrame, taken: DataFrame, dest: str = "dest", order: str =
     base = F.regexp_replace("_held", rf"{mark}(\d+)(\.[^./]*)?$", "$2")
     number = F.coalesce(F.nullif(F.regexp_extract("_held", rf"{mark}(\d+)(?:\.[^./]*)?$", 1), F.lit("")).try_cast("int"), F.lit(1))
     gone = held.select(base.alias(dest), number.alias("_n")).filter(F.col("_n") <= most).groupBy(dest).agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
-    # ranges of a destination's rows are ranked apart and offset by the counts before them: a crowded one is no single task
-    spread = rows.repartitionByRange(dest, order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy(dest, "_part").agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(W.partitionBy(dest).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    ranked = spread.withColumn("_k", F.row_number().over(W.partitionBy(dest, "_part").orderBy(order))).join(before, [dest, "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
-    joined = ranked.join(gone, dest, "left")
+    joined = numbering.numbered(rows, [dest], [order], "_k").join(gone, dest, "left")
     n = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k").cast("int"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     whole = F.left(F.col(dest), F.length(dest) - F.length(ext))
     named = F.when(F.col("_v") == 1, F.col(dest)).when(F.col("_v") <= most, F.concat(whole, F.lit(mark), F.col("_v").cast("string"), ext))
-    return joined.withColumn("_v", n).withColumn("final", named).drop("_taken", "_part", "_k", "_before", "_v")
+    return joined.withColumn("_v", n).withColumn("final", named).drop("_taken", "_k", "_v")
 
 
 def staging_plan(files: DataFrame, cap: int, target: str) -> DataFrame:

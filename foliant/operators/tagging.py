@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, sniff
+from . import numbering
 
 
 def bursts(items: DataFrame, *, seconds: float = 300, parent: str = "parent_rel", at: str = "mtime", order: str = "rel") -> DataFrame:
@@ -81,14 +82,11 @@ def plan(items: DataFrame, destination: str) -> DataFrame:
 def numbered_actions(planned: DataFrame, kinds: tuple[str, ...] = ("move", "recycle")) -> DataFrame:
     """id, op, rel, dst of moves and recyclings, each numbered in the order of rel (``move-0001``).
 
-    The numbers are global, so ranges of rel are numbered apart and offset by the counts before them.
+    Each kind is numbered over its sorted ranges; rows of equal rel are in no defined order.
     """
-    ops = planned.filter(F.col("proposal").isin(*kinds)).repartitionByRange("proposal", "rel").withColumn("_part", F.spark_partition_id())
-    counts = ops.groupBy("proposal", "_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("proposal").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(W.partitionBy("proposal", "_part").orderBy("rel"))
-    number = (F.col("_before") + F.col("_inner")).cast("string")
-    return ops.withColumn("_inner", inner).join(before, ["proposal", "_part"]).select(
+    ops = numbering.numbered(planned.filter(F.col("proposal").isin(*kinds)), ["proposal"], ["rel"], "_number")
+    number = F.col("_number").cast("string")
+    return ops.select(
         F.concat("proposal", F.lit("-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("id"), F.col("proposal").alias("op"), "rel", "dst"
     )
 
