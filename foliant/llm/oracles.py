@@ -46,4 +46,67 @@ SELECT doc_id, item_id, CAST(arg_max(shift + k, (total, part, -shift)) AS INT) A
 FROM best GROUP BY doc_id, item_id
 """
 
-ORACLES: dict[str, str] = {"op2_license_scan": LICENSES, "op7_decontamination": LEAKS}
+#: All pairs of a label, without the lattice.
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, len(embedding) AS dims, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b USING (label, dims) WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(u, v) AS (SELECT u, v FROM p UNION SELECT r.u, p.v FROM reach r JOIN p ON r.v = p.u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM p GROUP BY u),
+c AS (SELECT u AS vec_id, min(v) AS low FROM reach GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+#: Every kept term of every pair of sources, without the sketch and without sparse sums.
+DIVERGENCE = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT lang, source, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 10),
+lv AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(c) AS HUGEINT) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 2) // (gn.n + 2 * lv.v) AS p, 1 + 1000000000 * (k.c + 2) // (lv.n + 2 * lv.v) AS q
+  FROM gn JOIN k ON gn.lang = k.lang JOIN lv ON gn.lang = lv.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM every UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+#: crc32 of the decimal id, a byte and then a bit at a time.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for x in range(8)]), lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)))"""
+
+#: Level by level over all nodes, then each document's way up.
+MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(':' || lang, '-') AS g, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="low")} AS low
+  FROM (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low FROM (SELECT *, {_CRC} AS crc FROM documents))),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t(g, lvl, i, n, x) AS (SELECT g, 0, i, n, leaf FROM o UNION ALL SELECT g, any_value(lvl) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(x, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, i // 8),
+s AS (SELECT g, x AS subroot, row_number() OVER (ORDER BY g) - 1 AS li, count(*) OVER () AS ln FROM t WHERE n = 1),
+u(lvl, i, n, x) AS (SELECT 0, li, ln, subroot FROM s UNION ALL SELECT any_value(lvl) + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(x, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 8),
+h AS (SELECT g, max(lvl) AS h FROM t GROUP BY g),
+tr AS (SELECT g, lvl, i // 8 AS run, list(x ORDER BY i) AS xs FROM t WHERE n > 1 GROUP BY ALL),
+ur AS (SELECT lvl, i // 8 AS run, list(x ORDER BY i) AS xs FROM u WHERE n > 1 GROUP BY ALL),
+w AS (
+  SELECT o.g, o.i, tr.lvl AS lvl, xs, (o.i // CAST(pow(8, tr.lvl) AS BIGINT)) % 8 AS k FROM o JOIN tr ON tr.g = o.g AND tr.run = o.i // CAST(pow(8, tr.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT o.g, o.i, h.h + ur.lvl, xs, (s.li // CAST(pow(8, ur.lvl) AS BIGINT)) % 8 FROM o JOIN s USING (g) JOIN h USING (g) JOIN ur ON ur.run = s.li // CAST(pow(8, ur.lvl + 1) AS BIGINT)),
+y AS (SELECT g, i, lvl, array_to_string(xs[1:k], '') AS a, array_to_string(xs[k + 2:], '') AS b FROM w),
+proof AS (SELECT g, i, sha256(string_agg(a || b, '' ORDER BY lvl)) AS proof_sha256 FROM y GROUP BY g, i),
+f(g, i, lvl, x) AS (SELECT g, i, 0, low FROM o UNION ALL SELECT f.g, f.i, f.lvl + 1, sha256(a || x || b) FROM f JOIN y ON y.g = f.g AND y.i = f.i AND y.lvl = f.lvl),
+top AS (SELECT g, i, arg_max(x, lvl) AS folded_root FROM f GROUP BY g, i)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified, CASE WHEN o.g <> '-' THEN substr(o.g, 2) END AS lang, o.i AS position
+FROM o JOIN s USING (g) LEFT JOIN proof USING (g, i) JOIN top USING (g, i), (SELECT x AS root FROM u WHERE n = 1)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_license_scan": LICENSES, "op7_decontamination": LEAKS, "op11_lattice_near_duplicates": NEAR_VECTORS, "op12_source_divergence": DIVERGENCE, "op13_merkle_manifest": MANIFEST}

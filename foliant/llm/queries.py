@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontaminate, licenses, media, quality, secrets, simhash, token_counts, toxicity
+from . import bpe, ctw, decontaminate, divergence, lattice, licenses, media, merkle, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -52,6 +52,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op11_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -63,4 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_lattice_near_duplicates": op11_lattice_near_duplicates,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
