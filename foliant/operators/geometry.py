@@ -100,9 +100,17 @@ def reading_order(cells: DataFrame, key: str) -> DataFrame:
 
 
 def nearest_sibling(missing: DataFrame, located: DataFrame, key: str) -> DataFrame:
-    """cell, sibling: the located part with the least index distance, the first of equals."""
-    both = missing.join(located, key)
-    return both.groupBy(key, "cell").agg(F.min_by("part", F.struct(F.abs(F.col("cell_index") - F.col("part_index")), "part_order")).alias("sibling"))
+    """cell, sibling: the located part with the least index distance, the first of equals.
+
+    Parts without an index (below 0) are as far as their corner is from the cell's, in x and y together; without the
+    columns x and y on both sides there are none such.
+    """
+    placed = {"x", "y"} <= set(missing.columns) & set(located.columns)
+    other = located.withColumnsRenamed({"x": "_x", "y": "_y"}) if placed else located
+    far = F.abs(F.col("cell_index") - F.col("part_index"))
+    if placed:
+        far = F.when(F.col("part_index") < 0, F.abs(F.col("x") - F.col("_x")) + F.abs(F.col("y") - F.col("_y"))).otherwise(far)
+    return missing.join(other, key).groupBy(key, "cell").agg(F.min_by("part", F.struct(far, F.col("part_order"))).alias("sibling"))
 
 
 def missing_cells(cells: DataFrame, located: DataFrame, key: str, slack: int = 2) -> DataFrame:

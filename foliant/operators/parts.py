@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,3 +83,51 @@ def fit_within(width: Column, height: Column, most: int) -> Column:
 
 def set_of(path: Column, levels: int = 1) -> Column:
     return paths.set_directory(path, levels)
+
+
+# Long sides that are tried below the one asked for, and qualities from the best on.
+STANDIN_EDGES = (8000, 4000, 2000, 1600, 1200, 800, 400, 200, 100, 64, 32)
+STANDIN_QUALITIES = (90, 70, 50, 30, 15, 5)
+
+
+def first_fit(cap: Column, edges: Column, qualities: Column, size: Callable[[Column, Column], Column]) -> Column:
+    """struct<edge, quality, bytes> of the first stand-in of at most ``cap`` bytes: edges from the largest, each with all qualities; null if none fits.
+
+    ``size`` says what an edge and a quality come to, never more for less of either.  So the first edge that has a fit is the first
+    whose last quality fits, and both places are found by halving: no grid is tried.
+    """
+    last = F.element_at(qualities, -1)
+    fits = lambda edge, quality: F.coalesce(size(edge, quality) <= cap, F.lit(False))
+    at = first_true(F.size(edges), lambda n: fits(F.get(edges, n), last))
+    edge = F.get(edges, at)
+    quality = F.get(qualities, first_true(F.size(qualities), lambda n: fits(edge, F.get(qualities, n))))
+    return F.when(at < F.size(edges), F.struct(edge.alias("edge"), quality.alias("quality"), size(edge, quality).alias("bytes")))
+
+
+def first_true(count: Column, test: Callable[[Column], Column], halvings: int = 7) -> Column:
+    """The least n from 0 to ``count`` - 1 for which ``test`` is true (``count`` if none), where it stays true from there on; up to 2 ** ``halvings`` - 1 places."""
+    low_high = F.struct(F.lit(0).alias("low"), count.cast("int").alias("high"))
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        return F.when(at["low"] >= at["high"], at).when(test(middle), F.struct(at["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), at["high"].alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), low_high, halved, lambda at: at["low"])
+
+
+def standin_choice(files: DataFrame, max_dim: int = 8000, quality: int = 90) -> DataFrame:
+    """Files (size, width, height, ext, cap) with edge, quality, bytes of their stand-in; nulls where none fits or a size is unknown.
+
+    Its size is that of the file, less by the share of pixels and, but for PNG, by quality over one hundred, rounded down.
+    """
+    edges = F.array(*[F.lit(e) for e in dict.fromkeys([max_dim, *[e for e in STANDIN_EDGES if e < max_dim]])])
+    few = [q for q in STANDIN_QUALITIES if q <= quality] or [quality]
+    png = F.lower("ext") == ".png"
+    levels = F.when(png, F.array(F.lit(quality))).otherwise(F.array(*map(F.lit, few)))
+    long = F.greatest("width", "height")
+
+    def size(edge: Column, level: Column) -> Column:
+        shrink = F.least(F.lit(1.0), edge / long)
+        return F.floor(F.col("size") * shrink * shrink * F.when(png, 1.0).otherwise(level / 100.0)).cast("bigint")
+
+    return files.withColumn("_fit", first_fit(F.col("cap"), edges, levels, size)).select("*", "_fit.edge", "_fit.quality", "_fit.bytes").drop("_fit")

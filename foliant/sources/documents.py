@@ -107,7 +107,9 @@ def schema_errors(value, schema: dict, root: dict | None = None, path: str = "$"
         target = root
         for part in schema["$ref"].lstrip("#/").split("/"):
             target = target[part]
-        return schema_errors(value, target, root, path)
+        # what stands beside a reference holds as well
+        rest = {k: v for k, v in schema.items() if k != "$ref"}
+        return schema_errors(value, target, root, path) + (schema_errors(value, rest, root, path) if rest else [])
     out: list[str] = []
     kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 

@@ -17,6 +17,8 @@ from . import runs
 #: Statuses that an event may give; anything else (``new``) only opens a job.
 OUTCOMES = ("placed", "failed", "unplaced", "cleaned")
 TRANSITIONS = "job string, at timestamp, status string"
+#: Stands for a null job, whose rows move the watermark and nothing else (a filter would be pushed below the watermark).
+_NOBODY = "\0"
 _DAY = 86_400_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,6 +40,9 @@ class JobLife(StatefulProcessor):
         self.life = handle.getValueState("life", "opened bigint, status string, due bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == _NOBODY:
+            yield self._table(key, [])
+            return
         events = pd.concat(list(rows)).sort_values(["at", "status"])
         opened, status, due = self.life.get() if self.life.exists() else (None, None, None)
         if due is not None:
@@ -84,7 +89,7 @@ def job_stream(events: DataFrame, *, keep_days: int = 14, stale_days: int = 30,
 
     Rows of null job or time are left out; timers go off when the newest time, less ``delay``, has passed them.
     """
-    sound = events.withWatermark("at", delay).filter("job IS NOT NULL AND at IS NOT NULL")
+    sound = events.withColumn("job", F.coalesce("job", F.lit(_NOBODY))).filter("at IS NOT NULL").withWatermark("at", delay)
     return sound.groupBy("job").transformWithStateInPandas(JobLife(keep_days, stale_days), TRANSITIONS, "Append", "EventTime")
 
 
