@@ -3,24 +3,24 @@
 Everything is built from column expressions.  A kind's matches come from ``regexp_extract_all`` and their
 places from the gaps that ``split`` leaves between the same matches.
 
-The battery looks at every token-like run that no fixed kind covers and that is not plain lower-case letters.
-Its encoding is the smallest alphabet that holds it (hex, base32, base36, base62, base64).  Against that
-alphabet three tests are made of whether the token could be random: chi-squared uniformity of its letters,
-runs above and below the middle of the alphabet, and lag-one serial correlation.  Fisher's method joins
-their p-values.
-
-A random token's p-value is uniform, an ordinary identifier's is mostly tiny; so in each stratum of encoding,
-length and presence of digits the p-values above one half tell how many random tokens there are, and
-everything beyond that many is identifiers.  Tokens are reported as kind ``random`` from the least p-value on
-at which the share of identifiers among the reported ones stays within ``fdr``.  Strata keep short tokens,
-whose tests are weak, from setting the bar for long ones.  All texts have a say in these counts.
+The battery looks at every token-like run that no fixed kind touches.  Its encoding is the smallest alphabet that
+holds it (hex, base32, base36, base62, base64).  Against that alphabet three tests are made of whether the token
+could be random: chi-squared uniformity of its letters, runs above and below the middle of the alphabet, and
+lag-one serial correlation.  Fisher's method joins their p-values; what fails them is no random token.
+
+What passes could still be an ordinary identifier, and that is the null hypothesis whose errors are controlled.
+Identifiers are modelled letter by letter: how they go on from lower case, capitals, digits and separators, and
+which letter follows which within the words of all texts.  A proper model gives a likelihood ratio against the
+uniform one, and its inverse bounds the p-value of "this is an identifier" whatever the token's length.  In
+each stratum of encoding, length and presence of digits tokens are reported by Benjamini and Hochberg's rule, so
+that the expected share of identifiers among them stays within ``fdr``.  All candidates of all texts count.
 
 Every step is linear in the number of matches, or nearly: arrays are filled in blocks.
 """
 
 from __future__ import annotations
 
-from math import log10 as _log10
+from math import log as _log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-#: A maximal run of token letters, 20 or more, and padding; COVERED stands for what a fixed kind has taken.
-COVERED = "\ufdd0"  # no character of any text
+#: A maximal run of token letters, 20 or more, and padding; COVERED stands for what a fixed kind has taken (a text's own are put aside first).
+COVERED = "\ufdd0"
 CANDIDATE = r"(?<![A-Za-z0-9+/_\x{FDD0}-])[A-Za-z0-9+/_\x{FDD0}-]{20,}={0,2}"
 #: Alphabets from the smallest on: name, pattern of tokens that fit, letters in order of their values.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,11 +45,17 @@ ALPHABETS = (
     ("base64", "^[0-9A-Za-z+/_-]+$", UPPER + LOWER + DIGITS + "+/"),
 )
 #: Steps of the p-value histogram from which the thresholds are read: 40 for each power of ten.
-STEPS, DECADES = 40, 20
+STEPS, DECADES = 40, 30
 #: Letters of a stratum's length band; tokens above the last band share it.
 BAND, BANDS = 8, 16
-#: A token of lesser p is no random one, whatever its stratum holds: a thousandth of all random tokens has less.
+#: A token whose battery gives less is no random one: a thousandth of all random tokens has less.
 LEAST_P = 1e-3
+#: How identifiers go on: rows from lower case, capital, digit, separator to the same; a token without lower case counts as written in it.
+GOES_ON = ((0.88, 0.05, 0.03, 0.04), (0.50, 0.40, 0.05, 0.05), (0.12, 0.12, 0.56, 0.20), (0.50, 0.22, 0.22, 0.06))
+#: Letters of words are counted in runs of so many; each pair counts as seen PRIOR times, so that small tables say little.
+WORD, PRIOR = "^[a-z]{2,24}$", 20
+#: Ways to see a token that the p-value pays for: six alphabets, with its own case or without.
+WAYS = 12
 #: Matches that are placed together, and code points of a text that are cut together.
 BLOCK, CUT = 128, 16_384
 
@@ -176,10 +182,52 @@ def _stages(rows: Column, names: tuple[str, ...], *stages) -> Column:
     return rows
 
 
+def letter_pairs(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """How often one letter follows another in the words of all texts (what stands between spaces and is letters alone); at most 676 numbers."""
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), " ")).alias("w")).filter(F.octet_length("w").between(2, 24))
+    # patterns are matched once for each different word
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("w").rlike(WORD))
+    pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+
+_CODES = LOWER + UPPER + DIGITS + "+/-_"
+
+
+def _class(code: int) -> int:
+    return 0 if code < 26 else 1 if code < 52 else 2 if code < 62 else 3
+
+
+def identifier_table(pairs: dict[str, int]) -> list[float]:
+    """Log probability of each letter of _CODES after each, row by row."""
+    totals = {a: sum(pairs.get(a + b, 0) for b in LOWER) for a in LOWER}
+    follows = lambda a, b: 0.9 * (pairs.get(a + b, 0) + PRIOR) / (totals[a] + 26 * PRIOR) + 0.1 / 26
+    out = []
+    for i, a in enumerate(_CODES):
+        for j, b in enumerate(_CODES):
+            x, y = _class(i), _class(j)
+            within = y < 2 and x < 2 and not (x == 0 and y == 1)
+            letter = (follows(a.lower(), b.lower()) if within else 1 / 26) if y < 2 else 0.1 if y == 2 else 0.25
+            out.append(_log(GOES_ON[x][y] * letter))
+    return out
+
+
+def _identifier_p(token: Column, encoding: Column, logs: Column) -> Column:
+    """Bound of the probability that an identifier looks as random as this token; ``logs`` is the table as an array."""
+    size = len(_CODES)
+    own = F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token))
+    spread = F.array(*[F.lit(_log(len(a[2]))) for a in ALPHABETS])
+    uniform = F.when(token.rlike("^(?:[a-z]+|[A-Z]+)$"), _log(26)).otherwise(F.element_at(spread, encoding + 1))
+    codes = F.transform(F.split(own, ""), lambda c: F.position(c, F.lit(_CODES)) - 1)
+    steps = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda x, y: F.get(logs, x * size + y))
+    likely = _let(codes, lambda c: F.aggregate(steps(c), F.lit(0.0), lambda acc, x: acc + x))
+    return F.least(F.lit(1.0), WAYS * F.exp(F.least(F.lit(0.0), likely + (F.length(token) - 1) * uniform)))
+
+
 def randomness(tokens: Column) -> Column:
-    """From array<struct<start, end, token>> the array with encoding, length, bits and p.
+    """From array<struct<start, end, token, encoding, id_p>> the array with length, bits, plain, id_p and p.
 
-    p is Fisher's joint p-value of "random over its alphabet"; tokens that fit no alphabet go.
+    p is Fisher's joint p-value of "random over its alphabet".
     """
     total = lambda values, of=lambda x: x: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
     two_sided = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(F.abs(z)))
@@ -199,9 +247,8 @@ def randomness(tokens: Column) -> Column:
 
     rows = _stages(
         tokens,
-        ("start", "end", "token"),
-        lambda s: {"token": F.regexp_replace(s["token"], "=+$", "")},
-        lambda s: {"encoding": _encoding(s["token"]), "length": F.length(s["token"]), "plain": ~s["token"].rlike("[0-9]")},
+        ("start", "end", "token", "encoding", "id_p"),
+        lambda s: {"length": F.length(s["token"]), "plain": ~s["token"].rlike("[0-9]")},
         lambda s: {
             "token": F.when(s["encoding"].isin(0, 2), F.lower(s["token"])).otherwise(F.translate(s["token"], "-_", "+/")),
             "letters": F.element_at(letters, s["encoding"] + 1),
@@ -221,29 +268,39 @@ def randomness(tokens: Column) -> Column:
         },
         lambda s: {"fisher": -2 * (F.log(F.greatest(chi_squared(s), tiny)) + F.log(F.greatest(runs(s), tiny)) + F.log(F.greatest(serial(s), tiny)))},
     )
-    judged = F.transform(
-        rows,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["encoding"].alias("encoding"),
-            s["length"].alias("length"),
-            s["plain"].alias("plain"),
-            (s["n"] * F.log2(s["k"])).alias("bits"),
-            (F.exp(-s["fisher"] / 2) * (1 + s["fisher"] / 2 + s["fisher"] * s["fisher"] / 8)).alias("p"),
-        ),
-    )
-    return F.filter(judged, lambda c: c["encoding"].isNotNull())
+    p = lambda s: F.exp(-s["fisher"] / 2) * (1 + s["fisher"] / 2 + s["fisher"] * s["fisher"] / 8)
+    return F.transform(rows, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), s["length"].alias("length"), s["plain"].alias("plain"), s["id_p"].alias("id_p"), p(s).alias("p")))
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Token-like runs that no fixed kind touches: array<struct<start, end, encoding, length, bits, p, plain>>.
+def _candidates(text: Column, base: Column, table: list[float], fdr: float) -> Column:
+    """Token-like runs that no fixed kind touches: array<struct<start, end, stratum, step, bits>>.
 
-    Runs of lower-case letters and separators alone are words, runs without any letter are numbers or rules.
+    Runs without any letter are numbers or rules.  ``step`` is the p-value's place in the histogram, 0 for what can't be
+    reported: the battery is spared tokens that an identifier may well be.
     """
-    free = F.when(F.size(base) > 0, _replaced(text, base, _filler)).otherwise(text)
-    found = _let(free, lambda t: F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, "random", lambda token: ~token.contains(COVERED) & token.rlike("[A-Za-z]") & token.rlike("[A-Z0-9]"))).otherwise(F.expr(_NO_SPANS)))
-    return randomness(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))))
+    clean = F.when(text.contains(COVERED), F.translate(text, COVERED, " ")).otherwise(text)
+    free = _let(clean, lambda t: F.when(F.size(base) > 0, _replaced(t, base, _filler)).otherwise(t))
+    found = _let(free, lambda t: F.when(t.rlike(CANDIDATE), _spans(t, CANDIDATE, "random", lambda token: ~token.contains(COVERED) & token.rlike("[A-Za-z]"))).otherwise(F.expr(_NO_SPANS)))
+    # one string: a literal of thousands of numbers takes longer to plan than the search takes
+    logs = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
+
+    def named(logs: Column) -> Column:
+        return _stages(
+            F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["token"], "=+$", "").alias("token"))),
+            ("start", "end", "token"),
+            lambda s: {"encoding": _encoding(s["token"])},
+            lambda s: {"id_p": _identifier_p(s["token"], s["encoding"], logs)},
+        )
+
+    size = F.array(*[F.lit(_log(len(a[2]), 2)) for a in ALPHABETS])
+    judged = lambda c, step: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c).alias("stratum"), step.alias("step"), (c["length"] * F.element_at(size, c["encoding"] + 1)).alias("bits"))
+
+    def split(every: Column) -> Column:
+        tested = F.transform(randomness(F.filter(every, lambda s: s["id_p"] <= fdr)), lambda c: judged(c, F.when(c["p"] >= LEAST_P, _step(c["id_p"])).otherwise(0)))
+        other = _stages(F.filter(every, lambda s: ~(s["id_p"] <= fdr)), ("start", "end", "token", "encoding", "id_p"), lambda s: {"length": F.length(s["token"]), "plain": ~s["token"].rlike("[0-9]")})
+        return F.concat(tested, F.transform(other, lambda c: judged(c, F.lit(0))))
+
+    return F.when(F.size(found) > 0, _let(_let(logs, named), split)).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:int,step:int,bits:double>>)"))
 
 
 def _stratum(c: Column) -> Column:
@@ -255,24 +312,20 @@ def _step(p: Column) -> Column:
 
 
 def accepted_steps(candidates: DataFrame, fdr: float = 0.05) -> dict[int, int]:
-    """For each stratum the last histogram step (the least p-values) that is still reported as random.
+    """For each stratum the histogram step (the largest p-values) from which on tokens are reported.
 
-    ``candidates`` has a column c of single candidates.  What reaches the driver is a table of at most
-    strata x steps counts, whatever the number of documents.
+    ``candidates`` has a column c of single candidates.  A step's tokens have p-values of at most 10 ** (-step / STEPS);
+    of m candidates of which r reach it, m times that many are expected to be identifiers.  What reaches the driver is
+    a table of at most strata x steps counts, whatever the number of documents.
     """
-    rows = candidates.select(_stratum(F.col("c")).alias("stratum"), _step(F.col("c.p")).alias("step")).groupBy("stratum", "step").count().collect()
-    half = round(STEPS * 0.30103)  # p-values of one half and more
+    rows = candidates.select("c.stratum", "c.step").groupBy("stratum", "step").count().collect()
     out: dict[int, int] = {}
     for stratum in {r["stratum"] for r in rows}:
         counts = dict((r["step"], r["count"]) for r in rows if r["stratum"] == stratum)
-        total = sum(counts.values())
-        upper = sum(c for step, c in counts.items() if step < half)
-        # one more than seen: a stratum of a few random tokens may have none above one half
-        random = min(total, (upper + 1) / (1 - 10 ** (-half / STEPS)))
-        seen = 0
-        for step in range(int(-STEPS * _log10(LEAST_P))):
-            seen += counts.get(step, 0)
-            if seen and 1 - random * (1 - 10 ** (-(step + 1) / STEPS)) / seen <= fdr:
+        total, reached = sum(counts.values()), 0
+        for step in sorted(counts, reverse=True):
+            reached += counts[step]
+            if step and total * 10 ** (-step / STEPS) <= fdr * reached:
                 out[stratum] = step
     return out
 
@@ -281,7 +334,7 @@ def _random_spans(candidates: Column, steps: dict[int, int], min_bits: float) ->
     accepted = F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair]) if steps else None
 
     def kept(c: Column) -> Column:
-        return F.lit(False) if accepted is None else (c["bits"] >= min_bits) & (_step(c["p"]) <= F.coalesce(F.element_at(accepted, _stratum(c)), F.lit(-1)))
+        return F.lit(False) if accepted is None else (c["bits"] >= min_bits) & (c["step"] >= F.coalesce(F.element_at(accepted, c["stratum"]), F.lit(STEPS * DECADES + 1)))
 
     return F.transform(F.filter(candidates, kept), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
@@ -295,9 +348,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_spans(docs: DataFrame, text_col: str, table: list[float], fdr: float) -> DataFrame:
     """Columns _base and _found; the search runs once for each row."""
-    return docs.withColumn("_base", base_spans(text_of(text_col))).withColumn("_found", _candidates(text_of(text_col), F.col("_base")))
+    return docs.withColumn("_base", base_spans(text_of(text_col))).withColumn("_found", _candidates(text_of(text_col), F.col("_base"), table, fdr))
 
 
 def scan(docs: DataFrame, *, fdr: float = 0.05, min_bits: float = 80.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +360,8 @@ def scan(docs: DataFrame, *, fdr: float = 0.05, min_bits: float = 80.0, id_col:
     and null ids come back as they came; an empty table gives an empty result; other columns are not read.
     Texts are searched whole.  Spans, not texts, are written between the two passes.
     """
-    found = _with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
+    table = identifier_table(letter_pairs(docs, text_col))
+    found = _with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", table, fdr)
     found = written(found.select("_id", _plain(F.col("_base")).alias("_base"), "_found"), "secrets")
     steps = accepted_steps(found.select(F.explode("_found").alias("c")), fdr)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
@@ -326,10 +380,11 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", fdr: float = 0.05, min_bi
     Overlapping spans give one mask.  All columns stay, whatever their names (but not names that begin with ``_``
     and are used here: _base, _found and _spans).
     """
-    found = _with_spans(docs.select(F.col(text_col)), text_col).select(F.explode("_found").alias("c"))
+    table = identifier_table(letter_pairs(docs, text_col))
+    found = _with_spans(docs.select(F.col(text_col)), text_col, table, fdr).select(F.explode("_found").alias("c"))
     steps = accepted_steps(found, fdr)
     spans = F.array_sort(F.concat(_plain(F.col("_base")), _random_spans(F.col("_found"), steps, min_bits)))
     text = F.col(text_col)
-    found = _with_spans(docs, text_col).withColumn("_spans", spans)
+    found = _with_spans(docs, text_col, table, fdr).withColumn("_spans", spans)
     whole = _replaced(text, F.col("_spans"), lambda start, end, fresh, last: F.when(fresh, F.array(F.lit(mask))).otherwise(F.expr("CAST(array() AS array<string>)")))
     return found.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(text)).drop("_base", "_found", "_spans")

@@ -286,6 +286,45 @@ def test_error_control_of_random_tokens(spark):
     assert right / len(secret) > 0.9 and right / len(found) > 0.9, (right, len(secret), len(found))
 
 
+IDENTIFIERS = ("tableXmlColumnQueryId77", "getUserAccountByIdAndName", "HttpRequestHandlerFactory2", "user_account_table_index_v2", "src/main/resources/templates/V2", "release-2024-01-15-build-7731", "MAX_CONNECTION_RETRY_COUNT_3", "MAXCONNECTIONRETRYCOUNT3", "rechtsschutzversicherungsgesellschaften")
+
+
+@pytest.mark.parametrize("name", IDENTIFIERS)
+def test_a_lone_identifier_is_no_secret(spark, name):
+    frame = spark.createDataFrame([(1, f"call {name} now")], "doc_id bigint, text string")
+    assert secrets.scan(frame).first().spans == ""
+
+
+def test_many_identifiers_and_no_secret(spark):
+    """Camel case, snake case, paths, versions and capitals in bulk, of words the texts hold and of others."""
+    import random
+
+    draw = random.Random(5)
+    words = "table xml column query id http url json key path file name list node map set user account data value index result cache stream".split()
+    made = lambda n, join, form=str: join.join(form(w) for w in draw.choices(words, k=n))
+    kinds = [lambda: made(1, "") + made(5, "", str.title) + str(draw.randrange(99)), lambda: made(5, "_") + str(draw.randrange(9)), lambda: made(5, "/") + "/V2", lambda: f"{made(2, '-')}-{draw.randrange(2000, 2030)}-{draw.randrange(99)}-{draw.randrange(99)}-build{draw.randrange(9999)}", lambda: made(6, "").upper() + str(draw.randrange(9))]
+    for told in ("", " ".join(words) * 3):
+        rows = [(n, f"see {draw.choice(kinds)()} there {told}") for n in range(1500)]
+        found = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).agg({"n_random": "sum"}).first()[0]
+        assert found <= 3
+
+
+def test_lower_case_tokens_and_own_marks(spark):
+    """Random lower-case letters are found where the texts tell what words look like; U+FDD0 in a text hides nothing."""
+    import random
+
+    draw = random.Random(2)
+    words = "the quick brown fox jumps over lazy dogs while several other animals watch from behind their fences and wonder about everything that happens there".split()
+    tokens = {n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for n in range(20)}
+    rows = [(n, f"{' '.join(draw.choices(words, k=60))} {tokens.get(n, 'incomprehensibilitiesandsoon')} end") for n in range(400)]
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_random}
+    assert len(found & set(tokens)) >= 18 and not found - set(tokens)
+    key = "Zq8Rt2Lx9Vb4Nm7Kp3Ws6Yd1Hc5"
+    marked = spark.createDataFrame([(1, f"\ufdd0 password=abcdefgh1 {key} \ufdd0{key}\ufdd0"), (1, f"\ufdd0 password=abcdefgh1 {key} \ufdd0{key}\ufdd0"), (None, None)], "doc_id bigint, text string")
+    got = [r.spans for r in secrets.scan(marked).collect()]
+    assert sorted(got) == ["", *["assign:2:20,random:21:48,random:50:77"] * 2]
+
+
 def n_hex(token):
     import re
 
