@@ -183,10 +183,14 @@ def _stages(rows: Column, names: tuple[str, ...], *stages) -> Column:
 
 
 def letter_pairs(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """How often one letter follows another in the words of all texts (what stands between spaces and is letters alone); at most 676 numbers."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), " ")).alias("w")).filter(F.octet_length("w").between(2, 24))
-    # patterns are matched once for each different word
-    counts = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("w").rlike(WORD))
+    """How often one letter follows another in the words of all texts: at most 676 numbers.
+
+    Words are the runs of letters in what stands between blanks (up to 100 bytes of it), parted where capitals begin.
+    """
+    runs = docs.select(F.explode(F.split(text_of(text_col), " ")).alias("run")).filter(F.octet_length("run").between(2, 100))
+    # patterns are matched once for each different run
+    words = runs.groupBy("run").agg(F.count("*").alias("n")).select("n", F.explode(F.split("run", "(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")).alias("w"))
+    counts = words.select("n", F.lower("w").alias("w")).filter(F.col("w").rlike(WORD))
     pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
