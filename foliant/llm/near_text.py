@@ -114,7 +114,7 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     weight = large.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = large.join(weight, "node")
     centres = weighed.groupBy("band", "value").agg(
-        F.array_distinct(F.array(F.max_by("node", F.struct("weight", -F.col("node"))), F.min("node"), F.min_by("node", F.struct(F.xxhash64("node", "band"), "node")))).alias("centres")
+        F.array_distinct(F.array(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))), F.min("node"), F.min_by("node", F.struct(F.xxhash64("node", "band"), "node")))).alias("centres")
     )
     stars = large.join(centres, ["band", "value"]).select("node", F.explode("centres").alias("centre")).filter("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v"))
     close, packed = _close(nodes.select("node", "fp"))

@@ -2,10 +2,11 @@
 
 A fingerprint's 64 bits fall into segments; their bit counts are its place in a small space.  Flipping a
 bit moves that place by one, so the Manhattan distance of two places never exceeds the Hamming distance.
-With more segments than the allowed distance some segments must agree: the grid has one cell for each
-choice of agreeing segments and their contents (which fix their counts), two fingerprints within the
-distance share a cell, the Manhattan bound over the other segments drops most chance meetings there, and
-the exact Hamming distance decides.
+With more segments than the allowed distance some segments must agree, and so must their counts: the grid has
+one cell for each choice of agreeing segments and their counts, and two fingerprints within the distance share
+a cell.  A crowded cell is refined by the contents of its agreeing segments, which pairs within the distance
+share as well.  The Manhattan bound over the other segments drops most chance meetings, and the exact Hamming
+distance decides.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.tables import sized
+
 from .common import map_arrow, written
 from .graph import components
 
@@ -25,6 +28,8 @@ from .graph import components
 BLOCK = 60_000
 #: Distinct fingerprints of one cell up to which all its pairs are compared; larger cells link through hubs.
 HOT_CELL = 512
+#: Fingerprints of a cell of equal counts from which on it is refined by contents.
+CROWDED = 64
 
 
 def fingerprint_all(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -100,30 +105,48 @@ def cells(nodes: DataFrame, distance: int = 3) -> DataFrame:
     return nodes.select("node", "fp", F.explode(F.array(*each)).alias("cell")).select("node", "fp", "cell.choice", "cell.bits")
 
 
-def links(nodes: DataFrame, *, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
+def grid(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """node, fp, choice, refined, bits: a row for each cell of each fingerprint; bits are the counts of the choice's segments, or where many share these its contents."""
+    segments = _segments(distance)
+    packed = []
+    for choice in combinations(range(len(segments)), 3):
+        counts = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(segments[i])))) for i in choice]
+        packed.append(sum((F.shiftleft(c.cast("bigint"), 8 * n) for n, c in enumerate(counts)), F.lit(0).cast("bigint")))
+    placed = cells(nodes, distance).withColumn("counts", F.element_at(F.array(*packed), F.col("choice").cast("int") + 1))
+    # a choice has at most the product of its segments' lengths plus one as many cells: some thousands for distance 3
+    crowded = written(placed.groupBy("choice", "counts").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED).select("choice", "counts", F.lit(True).alias("refined")), "crowded-cells")
+    own = placed.join(sized(crowded), ["choice", "counts"], "left").withColumn("refined", F.coalesce("refined", F.lit(False)))
+    return own.select("node", "fp", "choice", "refined", F.when(F.col("refined"), F.col("bits")).otherwise(F.col("counts")).alias("bits"))
+
+
+def links(nodes: DataFrame, *, distance: int = 3, hot_cell: int | None = HOT_CELL) -> DataFrame:
     """u, v: ids of distinct fingerprints (node, fp) whose components are those of all pairs within ``distance``.
 
     Cells up to ``hot_cell`` give all their verified pairs.  In larger ones each fingerprint reaches the
     points around it instead, and all that are near a point link to one fingerprint there: the number of
-    rows is linear in the cell's size and no connection is lost (see ``_through_hubs``).
+    rows is linear in the cell's size and no connection is lost (see ``_through_hubs``).  That is worked out for
+    a distance of 3; for another give ``hot_cell`` None, and all cells give their pairs.
     """
+    if distance != 3 and hot_cell is not None:
+        raise ValueError("crowded cells are linked through hubs for a distance of 3 only; give hot_cell=None")
     segments = _segments(distance)
     choices = list(combinations(range(len(segments)), 3))
-    placed = cells(nodes, distance)
-    shared = placed.groupBy("choice", "bits").agg(F.count("*").alias("members")).filter("members > 1")
+    placed = grid(nodes, distance)
+    key = ["choice", "refined", "bits"]
+    shared = placed.groupBy(*key).agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(shared, "cells")
-    near = placed.join(shared, ["choice", "bits"])
+    near = placed.join(shared, key)
+    if hot_cell is None:
+        hot_cell = (1 << 63) - 1
     small = near.filter(F.col("members") <= hot_cell).drop("members")
     left, right = small.alias("a"), small.alias("b")
     bound = sum((F.abs(F.bit_count(F.col("a.fp").bitwiseAND(F.lit(_signed(m)))) - F.bit_count(F.col("b.fp").bitwiseAND(F.lit(_signed(m))))) for m in segments), F.lit(0))
     found = left.join(
         right,
-        (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & (bound <= distance)
+        (F.col("a.choice") == F.col("b.choice")) & (F.col("a.refined") == F.col("b.refined")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & (bound <= distance)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance),
     ).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     if shared.filter(F.col("members") > hot_cell).limit(1).count():
-        if distance != 3:
-            raise ValueError("cells above hot_cell are linked for a distance of 3 only; raise hot_cell")
         found = found.union(_through_hubs(near.filter(F.col("members") > hot_cell), [sum(segments[i] for i in range(len(segments)) if i not in c) for c in choices]))
     return found
 
@@ -145,7 +168,7 @@ def _through_hubs(members: DataFrame, free: list[int]) -> DataFrame:
     return near.union(far).join(hubs, ["choice", "point"]).filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", hot_cell: int = HOT_CELL) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", hot_cell: int | None = HOT_CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable over links) for each row.
 
     Null and empty texts have the fingerprint zero and link like any other.  Equal fingerprints are one

@@ -158,8 +158,9 @@ def test_simhash_of_whole_table(spark, sf_dir):
         assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", want[r.doc_id])
 
 
-@pytest.mark.parametrize("hot_cell", [512, 2])
-def test_links_within_three_bits(spark, hot_cell):
+@pytest.mark.parametrize("hot_cell, crowded", [(512, 64), (2, 64), (512, 1), (None, 10**9)])
+def test_links_within_three_bits(spark, monkeypatch, hot_cell, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     draw = random.Random(5)
     centre = draw.getrandbits(64)
     prints = {n: centre ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 5))) for n in range(60)} | {100 + n: draw.getrandbits(64) for n in range(40)}
@@ -370,3 +371,29 @@ def test_short_items_in_sql(spark):
     db.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     want = {tuple(r) for r in db.sql(oracles.LEAKS).select("doc_id, item_id, doc_start, n_equal").fetchall()}
     assert {(r.doc_id, r.item_id, r.doc_start, r.n_equal) for r in decontaminate.overlaps(d, b).collect()} == want and want
+
+
+def test_another_distance_is_compared_in_full_or_refused(spark):
+    prints = [0, 0b11111, 0b1111111111, (1 << 63) | 1]
+    nodes = spark.createDataFrame([(n, p - (1 << 64) if p >> 63 else p) for n, p in enumerate(prints)], "node bigint, fp bigint")
+    with pytest.raises(ValueError, match="hot_cell"):
+        simhash.links(nodes, distance=5)
+    labels = {r.node: r.component for r in graph.components(simhash.links(nodes, distance=5, hot_cell=None)).collect()}
+    assert labels == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_near_copies_with_text_ids(spark):
+    """Crowded buckets of near copies whose ids are strings."""
+    import random
+
+    draw = random.Random(8)
+    words = [f"w{n}" for n in range(400)]
+    base = draw.choices(words, k=120)
+    rows = []
+    for n in range(60):
+        text = list(base)
+        text[draw.randrange(120)] = f"new{n}"
+        rows.append((f"d{n:03d}", " ".join(text)))
+    rows += [("z", " ".join(draw.choices(words, k=120))), ("n", None)]
+    got = {r.id: r.group_id for r in near_text.groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {got[f"d{n:03d}"] for n in range(60)} == {"d000"} and got["z"] == "z" and got["n"] == "n"
