@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import guards
-from . import geometry
+from . import geometry, numbering
+from .tables import written
 
 # Least score, margin and coverage that count, long side of the coarse search, and steps of the two scale grids.
 LEAST_SCORE, LEAST_MARGIN, LEAST_COVERAGE, COARSE = 0.90, 0.05, 0.97, 192
 COARSE_STEPS, FINE_STEPS = 9, 9
-HITS = "sheet string, part string, x int, y int, w int, h int, score double, margin double"
+HITS = "sheet string, part string, x int, y int, w int, h int, score double, margin double, tries int"
 
 
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -77,35 +78,70 @@ def peak(surface: np.ndarray, width: int, height: int) -> tuple[int, int, float,
     return int(x), int(y), score, score - float(rest.max())
 
 
-def search(image: np.ndarray, part: np.ndarray, low: float, high: float) -> tuple[int, int, int, int, float, float]:
-    """x, y, w, h, score and margin of a part in an image: coarse scales on a small copy, fine ones about the best, then full size."""
+def refined(image: np.ndarray, template: np.ndarray, x: float, y: float, margin: int) -> tuple[int, int, float, int]:
+    """x, y and score of a template near a guess, and the pixels that were searched.
+
+    Only a window of ``margin`` about the guess is correlated.  A peak at an edge of the window that is none of the
+    image says that the guess was farther off: the margin is tripled until it isn't, or the window is the image.
+    """
+    h, w = template.shape
+    spent = 0
+    while True:
+        left, top = max(0, min(int(x - margin), image.shape[1] - w)), max(0, min(int(y - margin), image.shape[0] - h))
+        right, bottom = min(image.shape[1], int(x + w + margin) + 1), min(image.shape[0], int(y + h + margin) + 1)
+        window = image[top : max(bottom, top + h), left : max(right, left + w)].astype(float)
+        spent += window.size
+        surface = correlation(window, template)
+        py, px = np.unravel_index(int(surface.argmax()), surface.shape)
+        at_edge = (
+            (px < 2 and left > 0) or (py < 2 and top > 0)
+            or (px > surface.shape[1] - 3 and left + window.shape[1] < image.shape[1]) or (py > surface.shape[0] - 3 and top + window.shape[0] < image.shape[0])
+        )
+        if not at_edge:
+            return left + int(px), top + int(py), float(surface[py, px]), spent
+        margin *= 3
+
+
+def search(image: np.ndarray, part: np.ndarray, low: float, high: float) -> tuple[int, int, int, int, float, float, int]:
+    """x, y, w, h, score and margin of a part in an image, and the scales that were tried.
+
+    Coarse scales on a small copy, fine ones about the best; their peak is then refined in a window at full size.
+    The margin is that of the small copy, where the whole surface is known.
+    """
     long = max(image.shape)
     shrink = min(1.0, COARSE / long)
     small = resized(image, max(1, round(image.shape[1] * shrink)), max(1, round(image.shape[0] * shrink)))
+    tries = 0
 
-    def tried(scales) -> tuple[tuple, float]:
-        best, at = (-1.0, False), float(scales[0])
+    def tried(scales) -> tuple[float, int, int, float]:
+        nonlocal tries
+        best, at = (False, -1.0), (float(scales[0]), 0, 0, 0.0)
         for s in scales:
             w, h = round(part.shape[1] * s * shrink), round(part.shape[0] * s * shrink)
             if 4 <= w <= small.shape[1] and 4 <= h <= small.shape[0]:
-                _, _, score, margin = peak(correlation(small, resized(part, w, h)), w, h)
+                tries += 1
+                x, y, score, margin = peak(correlation(small, resized(part, w, h)), w, h)
                 # a peak that stands clear beats a higher one that does not
-                if (margin >= LEAST_MARGIN, score) > (best[1], best[0]):
-                    best, at = (score, margin >= LEAST_MARGIN), float(s)
-        return best, at
-
-    _, rough = tried(np.geomspace(low, high, COARSE_STEPS)) if high > low else (None, low)
-    step = (high / low) ** (1 / (COARSE_STEPS - 1)) if high > low else 1.0
-    _, fine = tried(np.geomspace(rough / step, rough * step, FINE_STEPS)) if high > low else (None, low)
+                if (margin >= LEAST_MARGIN, score) > best:
+                    best, at = (margin >= LEAST_MARGIN, score), (float(s), x, y, margin)
+        return at
+
+    if high > low:
+        rough = tried(np.geomspace(low, high, COARSE_STEPS))[0]
+        step = (high / low) ** (1 / (COARSE_STEPS - 1))
+        fine, sx, sy, margin = tried(np.geomspace(rough / step, rough * step, FINE_STEPS))
+    else:
+        fine, sx, sy, margin = tried([low])
     found = (0, 0, 0, 0, -1.0, 0.0)
     for dw in (0, -1, 1) if high > low else (0,):
         w = round(part.shape[1] * fine) + dw
         h = round(part.shape[0] * w / part.shape[1])
         if 1 <= w <= image.shape[1] and 1 <= h <= image.shape[0]:
-            x, y, score, margin = peak(correlation(image.astype(float), resized(part, w, h)), w, h)
+            tries += 1
+            x, y, score, _ = refined(image, resized(part, w, h), sx / shrink, sy / shrink, max(8, int(long / COARSE) + 4))
             if score > found[4]:
                 found = (x, y, w, h, score, margin)
-    return found
+    return *found, tries
 
 
 def score_at(image: np.ndarray, part: np.ndarray, x: int, y: int, w: int, h: int) -> float:
@@ -119,11 +155,13 @@ def _pixels(data, width: int, height: int) -> np.ndarray:
 
 
 def located(overviews: DataFrame, parts: DataFrame, *, low: float = 1.0, high: float = 1.0) -> DataFrame:
-    """sheet, part, x, y, w, h, score, margin of every part (sheet, part, width, height, pixels) in its overview (sheet, width, height, pixels).
+    """sheet, part, x, y, w, h, score, margin, tries of every part (sheet, part, width, height, pixels) in its overview (sheet, width, height, pixels).
 
-    ``low`` and ``high`` bound the scale of parts in the overview.  A pair that can't be searched gives score -1, never an error.
+    ``low`` and ``high`` bound the scale of parts in the overview; columns of these names of the overviews do it for each.
+    A pair that can't be searched gives score -1, never an error.
     """
-    o = overviews.select("sheet", F.col("width").alias("ow"), F.col("height").alias("oh"), F.col("pixels").alias("op"))
+    own = [F.col(c) if c in overviews.columns else F.lit(v).alias(c) for c, v in (("low", low), ("high", high))]
+    o = overviews.select("sheet", F.col("width").alias("ow"), F.col("height").alias("oh"), F.col("pixels").alias("op"), *own)
     pairs = parts.select("sheet", F.col("part").cast("string").alias("part"), "width", "height", "pixels").join(o, "sheet")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,15 +169,47 @@ def located(overviews: DataFrame, parts: DataFrame, *, low: float = 1.0, high: f
             rows = []
             for r in b.itertuples():
                 try:
-                    found = search(_pixels(r.op, r.ow, r.oh), _pixels(r.pixels, r.width, r.height), low, high)
+                    found = search(_pixels(r.op, r.ow, r.oh), _pixels(r.pixels, r.width, r.height), r.low, r.high)
                 except ValueError:
-                    found = (0, 0, 0, 0, -1.0, 0.0)
+                    found = (0, 0, 0, 0, -1.0, 0.0, 0)
                 rows.append((r.sheet, r.part, *found))
-            yield pd.DataFrame(rows, columns=["sheet", "part", "x", "y", "w", "h", "score", "margin"])
+            yield pd.DataFrame(rows, columns=["sheet", "part", "x", "y", "w", "h", "score", "margin", "tries"])
 
     return pairs.mapInPandas(run, HITS)
 
 
+def located_by_family(overviews: DataFrame, parts: DataFrame, *, low: float, high: float) -> DataFrame:
+    """``located`` over families of overviews (family, ord, sheet, width, height, pixels): the first sheet of a family, by ``ord``,
+    with a sure hit tells the scale of all that follow, which are searched at that scale alone.
+
+    Sheets before it, and families without one, are searched at all scales.  The first is found in rounds over twice as many
+    sheets of each open family, so a family is no single task and at most about twice the sheets that a walk in order would
+    search are searched in full; what lies behind the first is then searched again at its scale.
+    """
+    order = numbering.numbered(overviews.select("family", "ord", "sheet"), ["family"], ["ord", "sheet"], "rank")
+    order = written(order.select("family", "sheet", "rank"), "family-order")
+    sizes = parts.select("sheet", F.col("part").cast("string").alias("part"), F.col("width").alias("part_width"))
+    spark, done, hints, first = overviews.sparkSession, None, None, 1
+    most = order.agg(F.max("rank")).first()[0] or 0
+    while first <= most:
+        due = order.filter(F.col("rank").between(first, 2 * first - 1))
+        due = due if hints is None else due.join(hints, "family", "left_anti")
+        hits = written(located(overviews.join(due.select("sheet"), "sheet"), parts, low=low, high=high), "family-hits")
+        done = hits if done is None else done.union(hits)
+        sure = hits.filter(is_sure(F.col("score"), F.col("margin"))).join(order, "sheet").join(sizes, ["sheet", "part"])
+        # of the first sheet's sure parts the best one's scale
+        found = sure.groupBy("family").agg(F.min_by(F.struct("rank", (F.col("w") / F.col("part_width")).alias("scale")), F.struct("rank", -F.col("score"), "part")).alias("hint")).select("family", "hint.*")
+        found = written(found, "family-hints")
+        hints = found if hints is None else hints.union(found)
+        first *= 2
+    if done is None:
+        return spark.createDataFrame([], HITS)
+    behind = order.join(hints.withColumnRenamed("rank", "at"), "family").filter("rank > at").select("sheet", "scale")
+    behind = written(behind, "family-rest")
+    rest = located(overviews.drop("low", "high").join(behind.select("sheet", F.col("scale").alias("low"), F.col("scale").alias("high")), "sheet"), parts)
+    return done.join(behind, "sheet", "left_anti").unionByName(rest)
+
+
 def is_sure(score: Column, margin: Column) -> Column:
     return (score >= LEAST_SCORE) & (margin >= LEAST_MARGIN)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import json_schema
-from ..operators import containment, geometry, parts
+from ..operators import containment, geometry, locate, parts
 from . import views
 from .registry import query
 
@@ -119,3 +119,18 @@ def nearest_siblings(spark, sf_dir):
     index = F.when(F.col("part") % 3 == 0, -1).otherwise(F.col("n"))
     located = l.filter("l_returnflag <> 'R'").select("sheet", "part", index.alias("part_index"), (F.col("n") * 1_000_000 + F.col("part")).alias("part_order"), "x", "y")
     return geometry.nearest_sibling(l.filter("l_returnflag = 'R'").select("sheet", F.col("n").alias("cell"), F.col("n").alias("cell_index"), "x", "y"), located, "sheet")
+
+
+@query("SELECT doc_id AS sheet, doc_id % 21 AS x, doc_id % (15 + doc_id % 40) AS y, 12 AS w, 10 AS h, true AS sure FROM documents")
+def located_parts(spark, sf_dir):
+    """A sheet of pixels for each document (digests of its id, a row each) and a piece of it, found again."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", (24 + F.col("doc_id") % 40).cast("int").alias("height"))
+    row = lambda n: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), n.cast("string")), 256)
+    x, y = F.col("doc_id") % 21, (F.col("doc_id") % (F.col("height") - 9)).cast("int")
+    joined = lambda first, last, cut: F.unhex(F.array_join(F.transform(F.sequence(first, last), cut), ""))
+    sheet = F.col("doc_id").cast("string").alias("sheet")
+    whole = d.select(sheet, F.lit(32).alias("width"), "height", joined(F.lit(0), F.col("height") - 1, row).alias("pixels"))
+    cut = joined(y, y + 9, lambda n: F.substring(row(n), (2 * x + 1).cast("int"), F.lit(24)))
+    piece = d.select(sheet, F.lit("p").alias("part"), F.lit(12).alias("width"), F.lit(10).alias("height"), cut.alias("pixels"))
+    hits = locate.located(whole, piece)
+    return hits.select(F.col("sheet").cast("bigint").alias("sheet"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "w", "h", locate.is_sure(F.col("score"), F.col("margin")).alias("sure"))

@@ -200,7 +200,7 @@ def test_scaled_part_and_wrong_sheet(spark):
     draw = np.random.default_rng(2)
     sheets = {n: np.kron(draw.integers(0, 255, (20, 20)), np.ones((10, 10))).astype(np.uint8) for n in "ab"}
     big = np.kron(sheets["b"][50:150, 20:120], np.ones((2, 2))).astype(np.uint8)  # twice the overview's size
-    x, y, w, h, score, _ = locate.search(sheets["b"], big, 0.25, 1.0)
+    x, y, w, h, score, _, _ = locate.search(sheets["b"], big, 0.25, 1.0)
     assert abs(x - 20) <= 2 and abs(y - 50) <= 2 and abs(w - 100) <= 3 and score > 0.9
     o = spark.createDataFrame([(n, 200, 200, bytearray(s.tobytes())) for n, s in sheets.items()], "sheet string, width int, height int, pixels binary")
     part = bytearray(sheets["b"][50:150, 20:120].tobytes())
