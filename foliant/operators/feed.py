@@ -196,9 +196,9 @@ def outside_rows(links: DataFrame) -> DataFrame:
 
 
 def selected_media(media: DataFrame, types: list[str]) -> DataFrame:
-    """Media (with source_kind) of the chosen types, attachments before images."""
+    """Media (with source_kind) of the chosen types, with their ``rank`` within a post: attachments (0) before images (1), then by pos."""
     kind = F.when(F.col("source_kind") == "image", "image").otherwise("attachment")
-    return media.withColumn("_rank", F.when(kind == "image", 1).otherwise(0)).filter(kind.isin(*types)).orderBy("post_id", "_rank", "pos").drop("_rank")
+    return media.filter(kind.isin(*types)).withColumn("rank", F.when(kind == "image", 1).otherwise(0))
 
 
 def post_tally(found: DataFrame, key: str) -> DataFrame:

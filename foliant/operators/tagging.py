@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, sniff
 from . import numbering
+from .tables import written
 
 
 def bursts(items: DataFrame, *, seconds: float = 300, parent: str = "parent_rel", at: str = "mtime", order: str = "rel") -> DataFrame:
@@ -58,6 +59,8 @@ def plan(items: DataFrame, destination: str) -> DataFrame:
     """
     git = paths.in_folder_named(F.col("abs"), ".git")
     judged = items.withColumn("confidence", F.when(git, "refused").otherwise(F.col("confidence"))).withColumn("bin", F.when(F.col("bin").isin(*sniff.BINS), F.col("bin")))
+    # votes, keepers and rows read it: what it took to judge the items is done once
+    judged = written(judged, "judged")
     voted = judged.join(batch_votes(judged), "batch")
     keepers = judged.filter("copy_group IS NOT NULL").groupBy("copy_group").agg(F.min_by("rel", F.struct(F.length("abs"), "mtime", F.lower("abs"))).alias("keeper"))
     own = voted.join(keepers, "copy_group", "left")
@@ -68,6 +71,7 @@ def plan(items: DataFrame, destination: str) -> DataFrame:
         "proposal",
         F.when(~F.col("approved"), "review").when(F.col("keeper").isNotNull() & (F.col("keeper") != F.col("rel")), "recycle").when(F.lower("abs") == F.lower("dst"), "review").otherwise("move"),
     ).withColumn("reason", F.when(~F.col("approved"), held).when(F.col("proposal") == "review", "already in place"))
+    first = written(first, "proposals")
     crowded = first.filter("proposal = 'move'").groupBy(F.lower("dst").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1")
     second = first.join(crowded, F.lower("dst") == F.col("_key"), "left").withColumn("_clash", (F.col("proposal") == "move") & F.col("_n").isNotNull())
     second = second.withColumn("reason", F.when(F.col("_clash"), "destination collision in plan").otherwise(F.col("reason"))).withColumn("proposal", F.when(F.col("_clash"), "review").otherwise(F.col("proposal"))).drop("_key", "_n", "_clash")
