@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, paths, posts, records, sniff, web
-from ..operators import feed, library, parts
-from ..sources import documents
+from ..functions import dates, names, posts, records
+from ..operators import parts
 from . import views
 from .registry import ORACLES, QUERIES
 
@@ -62,29 +61,14 @@ def cases(name: str, function: Callable[..., Column], *rows: tuple) -> None:
 
 
 cases("cookie_headers", lambda raw: posts.cookie_header(raw)["header"], ("abc", "session_id=abc"), ("'a=b; c=d'", "a=b; c=d"), ("Cookie: x=1", "x=1"), ("a\nb", None), ("  ", ""), (None, ""), ('"tok"', "session_id=tok"))
-cases("published_cutoffs", lambda at, day: posts.before_day(at.cast("timestamp"), "America/New_York", day), ("2024-03-05 04:59:59Z", "2024-03-05", True), ("2024-03-05 05:00:00Z", "2024-03-05", False), (None, "2024-03-05", False), ("2020-01-01 00:00:00Z", None, False), ("2020-01-01 00:00:00Z", "soon", False))
-cases("family_keys", records.family_key, (["a", "b", "c"], ["a", "b"]), (["a"], ["a"]), (["x", "y"], ["x"]))
 cases("display_sizes", records.display_bytes, (None, "—"), (12, "12 B"), (1536, "1.5 KB"), (1048576, "1.0 MB"), (1073741824, "1.0 GB"))
-cases("parsed_times", lambda t: F.date_format(dates.parsed(t), "yyyy-MM-dd HH:mm:ss"), ("2024-03-05T04:05:06Z", "2024-03-05 04:05:06"), ("2024-03-05T04:05:06+02:00", "2024-03-05 02:05:06"), ("not-a-date", None), ("", None), (None, None), ("2024-03-05", "2024-03-05 00:00:00"))
 cases(
     "window_starts", lambda now, since, months: F.date_format(dates.window_start(now.cast("timestamp"), "America/New_York", since, months.cast("int")), "yyyy-MM-dd HH:mm"),
     ("2026-03-31 12:00:00", None, 1, "2026-02-28 00:00"), ("2026-03-31 12:00:00", "2025-01-05", 1, "2025-01-05 00:00"), ("2026-03-31 12:00:00", None, None, None), ("2026-01-01 03:00:00", None, 1, "2025-11-30 00:00"),
 )
 cases("window_ends", lambda now, until: F.date_format(dates.window_end(now.cast("timestamp"), "America/New_York", until), "yyyy-MM-dd HH:mm"), ("2026-03-31 12:00:00", None, "2026-04-01 00:00"), ("2026-01-01 03:00:00", None, "2026-01-01 00:00"), ("2026-03-31 12:00:00", "2025-07-01", "2025-07-01 00:00"))
-cases("part_token_lists", names.part_tokens, ("Map_A Day_HD", ["map", "aday"]), ("King's_Hall__grid", ["kings", "hall"]), ("x", ["x"]))
-cases("part_markers", names.marker, ("a", "a"), ("12", None), ("pt12", "12"), ("7", "7"), ("ptx", None), ("ab", None))
 cases(
     "part_evidence", lambda c, n, m, a, f: parts.evidence(c, n, m, a.cast("int"), f), (True, 2, "ab", 100, "yes", "name/folder says Combined; 2 part maps of same variant in set; rule=area>=80; letters=ab; area=100%"),
     (False, 0, "-", 0, "no", "no Combined in name; no lettered/pt part maps of this map in set; rule=no parts; letters=-; area=0%"), (True, 1, "f", 10, "partial", "name/folder says Combined; 1 part maps of same variant in set; rule=parts present, area under 80, run incomplete; letters=f; area=10%"),
 )
-cases("retargeted_paths", lambda p: library.retargeted(p, "f", "m"), ("Sets_F/Map_F_Day.png", "Sets_M/Map_M_Day.png"), ("x/map_f.png", "x/map_m.png"), ("x/map_ptf.png", "x/map_ptm.png"), ("x/off.png", "x/off.png"))
 cases("kind_lint", lambda p, k: F.concat_ws(",", names.lint(p, k)), ("note.txt", "generic", ""), ("Dnd_5e_Phandelver.pdf", "game-book", ""), ("a b?.pdf", "generic", "spaces,illegal"), ("x_4k.png", "map", "resized"), ("Tolkien_1954_Fellowship.pdf", "fiction", ""), ("CON.txt", "generic", "reserved"), ("bad.txt", "game-book", "game-book"))
-cases("member_reasons", paths.archive_member_reason, ("a/b", None), ("", "empty"), ("/a", "absolute"), ("c:/x", "drive"), ("a/../b", "traversal"), ("a?b", "illegal"), ("a\\..\\b", "traversal"))
-cases("canonical_members", paths.canonical_member, ("a//b/./c", "a/b/c"), ("./x", "x"), ("a\\b", "a/b"))
-cases("archive_file_names", lambda n: paths.zip_archive_name(n, (".png", ".jpg")), ("A map.png", "A_map.zip"), ("a  b_.jpg", "a_b.zip"), ("x.tif", "x.tif.zip"))
-cases("document_links", web.document_hrefs, ('{"a":{"href":"https://x.example/1"},"b":[{"href":"/rel"},{"href":"http://y.example"}]}', ["https://x.example/1", "http://y.example"]), ("{}", []))
-cases("response_labels", sniff.response_label, ('{"message":{"content":"{\\"bin\\": \\"_Maps\\"}"}}', "_Maps"), ('{"bin":"_Docs"}', "_Docs"), ('{"message":{"content":" _Images "}}', "_Images"), ('{"message":{"content":"{\\"label\\":\\"x\\"}"}}', "x"), ("no json", None), (None, None))
-cases("secret_keys", documents.redacted, ('{"token":"abc","n":1}', '{"token":"[redacted]","n":1}'), ('{"a":"session_id=q; b=c"}', '{"a":"session_id=[redacted]; b=c"}'), ('{"my_password":"x"}', '{"my_password":"[redacted]"}'))
-cases("pledge_signals", feed.pledge_signal, ('{"data":{"relationships":{"current_user_pledge":{"data":{"id":"1"}}}}}', "present"), ('{"data":{"relationships":{"current_user_pledge":{"data":null}}}}', "explicit_none"), ('{"data":{"relationships":{}}}', "missing"), ('{"data":{"relationships":{"current_user_pledge":{"data":[{"id":"2"}]}}}}', "present"), ('{"data":{"relationships":{"current_user_pledge":{}}}}', "missing"), ("{}", "missing"))
-cases("tier_gates", lambda p, f, c: feed.tier_gated(p, f, c), (True, False, 0, False), (False, None, None, True), (None, True, None, True), (None, None, 500, True), (None, None, None, None), (None, False, 0, False))
-cases("include_lists", lambda t: feed.access_label(t, F.lit(True), F.lit(1), F.lit(0), ["(?i)poll"], ["(?i)map", "^Set"]), ("A map", "accessible"), ("Set 3", "accessible"), ("Poll: map?", "excluded"), ("News", "excluded"), (None, "excluded"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import guards, names, numbers, paths, posts, records, web
-from ..operators import parts, staging, tagging
+from ..functions import dates, guards, names, numbers, paths, posts, records, sniff, web
+from ..operators import feed, library, parts, staging, tagging
+from ..sources import documents
 from . import views
 from .registry import ORACLES, QUERIES
 
@@ -98,3 +99,19 @@ rule("done_filter", "orders", "o_orderkey", {"s": "CASE WHEN o_orderkey % 2 = 0
 rule("single_places", "orders", "o_orderkey", {"e": "o_orderkey % 3 > 0", "c": "CASE WHEN o_orderkey % 3 > 0 THEN lower(o_orderstatus) END", "s": "CASE o_custkey % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'o' ELSE 'x' END", "x": "CASE o_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'F' ELSE 'O' END", "n": "o_custkey % 5 < 2", "d": "o_orderkey % 2 = 0"}, lambda e, c, s, x, n, d: staging.single_status(e, c, s, x, n, d), "string", "CASE WHEN n AND e THEN 'exists' WHEN NOT n AND NOT e THEN 'missing' WHEN e AND c = s THEN 'unchanged' WHEN NOT n AND c <> lower(x) THEN 'stale' WHEN d THEN 'would-place' ELSE 'placed' END")
 rule("log_snippets", "conversations", "conv_id * 100 + turn", {"t": "CASE WHEN turn = 0 THEN NULL ELSE text END"}, lambda t: posts.snippet(t), "string", "left(replace(replace(coalesce(t, ''), chr(13), ' '), chr(10), ' '), 200)")
 rule("redacted_texts", "conversations", "conv_id * 100 + turn", {"t": "text", "s": "CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substring(text, 2, 3) END"}, lambda t, s: posts.without_secret(t, s), "string", "CASE WHEN s <> '' THEN replace(t, s, '<redacted>') ELSE t END")
+
+part("part_markers", {"t": "CASE p_partkey % 4 WHEN 0 THEN chr(CAST(97 + p_size % 26 AS INT)) WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN 'pt' || p_size ELSE p_type END", "k": "p_partkey % 4", "s": "p_size"}, lambda t, k, s: names.marker(t), "string", "CASE k WHEN 0 THEN t WHEN 1 THEN CASE WHEN s < 10 THEN t END WHEN 2 THEN CAST(s AS VARCHAR) END")
+part("part_token_lists", {"v": "upper(p_name) || '__' || p_type || chr(39) || 's_' || p_size"}, lambda v: F.array_join(names.part_tokens(v), "|"), "string", "array_to_string(list_filter(string_split(replace(replace(lower(v), ' ', ''), chr(39), ''), '_'), lambda t: t <> ''), '|')")
+part("family_keys", {"v": "p_name || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' || p_size END"}, lambda v: F.array_join(records.family_key(F.split(v, " ")), "|"), "string", "CASE WHEN len(string_split(v, ' ')) > 1 THEN array_to_string(string_split(v, ' ')[1:len(string_split(v, ' ')) - 1], '|') ELSE v END")
+part("canonical_members", {"v": f"CASE p_size % 3 WHEN 0 THEN './' WHEN 1 THEN 'a//' ELSE '/./' END || {REL} || CASE WHEN p_partkey % 2 = 0 THEN '/' ELSE '' END", "r": REL, "k": "p_size % 3"}, lambda v, r, k: paths.canonical_member(v), "string", "CASE k WHEN 1 THEN 'a/' ELSE '' END || r")
+part("archive_file_names", {"v": f"replace(CASE WHEN p_size % 2 = 0 THEN '  _' ELSE '' END || {NAME}, ' ', '  ')", "n": NAME, "k": "p_partkey % 6"}, lambda v, n, k: paths.zip_archive_name(v, (".png", ".jpg")), "string", "replace(CASE k WHEN 0 THEN n[:-5] WHEN 1 THEN n[:-5] ELSE n END, ' ', '_') || '.zip'")
+part("member_reasons", {"v": f"CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN '/' || p_name WHEN 2 THEN 'c:/' || p_name WHEN 3 THEN p_type || '/../' || p_name WHEN 4 THEN p_name || '?' ELSE {NAME} END", "k": "p_size % 6"}, lambda v, k: paths.archive_member_reason(v), "string", "CASE k WHEN 0 THEN 'empty' WHEN 1 THEN 'absolute' WHEN 2 THEN 'drive' WHEN 3 THEN 'traversal' WHEN 4 THEN 'illegal' END")
+part("retargeted_paths", {"v": "'Sets_' || CASE p_size % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'f' ELSE 'ptf' END || '/' || p_type || '_f_' || p_partkey || '.png'", "t": "p_type", "i": "p_partkey", "k": "p_size % 3"}, lambda v, t, i, k: library.retargeted(v, "f", "m"), "string", "'Sets_' || CASE k WHEN 0 THEN 'M' WHEN 1 THEN 'm' ELSE 'ptm' END || '/' || t || '_m_' || i || '.png'")
+part("response_labels", {"v": "CASE p_size % 5 WHEN 0 THEN '{\"message\":{\"content\":\" ' || p_type || ' \"}}' WHEN 1 THEN '{\"bin\":\"' || p_brand || '\"}' WHEN 2 THEN '{\"type\":\"' || p_type || '\",\"label\":\"' || p_name || '\"}' WHEN 3 THEN p_name END", "t": "p_type", "b": "p_brand", "n": "p_name", "k": "p_size % 5"}, lambda v, t, b, n, k: sniff.response_label(v), "string", "CASE k WHEN 0 THEN t WHEN 1 THEN b WHEN 2 THEN n END")
+part("secret_keys", {"v": "'{\"' || CASE p_size % 4 WHEN 0 THEN 'my_Token' WHEN 1 THEN 'password' WHEN 2 THEN 'note' ELSE 'a' END || '\":\"' || CASE WHEN p_size % 4 = 3 THEN 'session_id=' || p_type || '; b' ELSE p_name END || '\",\"n\":' || p_size || '}'", "k": "p_size % 4", "n": "p_name", "s": "p_size"}, lambda v, k, n, s: documents.redacted(v), "string", "CASE k WHEN 0 THEN '{\"my_Token\":\"[redacted]\",\"n\":' WHEN 1 THEN '{\"password\":\"[redacted]\",\"n\":' WHEN 2 THEN '{\"note\":\"' || n || '\",\"n\":' ELSE '{\"a\":\"session_id=[redacted]; b\",\"n\":' END || s || '}'")
+part("pledge_signals", {"v": "'{\"data\":{\"relationships\":{' || CASE p_size % 5 WHEN 0 THEN '\"current_user_pledge\":{\"data\":{\"id\":\"' || p_partkey || '\"}}' WHEN 1 THEN '\"current_user_pledge\":{\"data\":null}' WHEN 2 THEN '\"current_user_pledge\":{\"data\":[{\"id\":\"1\"}]}' WHEN 3 THEN '\"current_user_pledge\":{}' ELSE '' END || '}}}'", "k": "p_size % 5"}, lambda v, k: feed.pledge_signal(v), "string", "CASE k WHEN 0 THEN 'present' WHEN 1 THEN 'explicit_none' WHEN 2 THEN 'present' ELSE 'missing' END")
+part("include_lists", {"t": "CASE p_size % 4 WHEN 0 THEN 'A map of ' || p_name WHEN 1 THEN 'Set ' || p_size WHEN 2 THEN 'POLL: map?' WHEN 3 THEN p_type END", "k": "p_size % 4"}, lambda t, k: feed.access_label(t, F.lit(True), F.lit(1), F.lit(0), ["(?i)poll"], ["(?i)map", "^Set"]), "string", "CASE WHEN k < 2 THEN 'accessible' ELSE 'excluded' END")
+rule("document_links", "pages", "page_id", {"v": "'{\"a\":{\"href\":\"' || url || '\"},\"b\":[{\"href\":\"/rel\"},{\"c\":{\"href\":\"http://y.example/' || page_id || '\"}}]}'", "u": "url", "i": "page_id"}, lambda v, u, i: F.array_join(web.document_hrefs(v), " "), "string", "u || ' http://y.example/' || i")
+rule("tier_gates", "orders", "o_orderkey", {"p": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "f": "CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "c": "CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN CAST(o_totalprice AS BIGINT) END"}, lambda p, f, c: feed.tier_gated(p, f, c), "boolean", "CASE WHEN f OR NOT p OR c > 0 THEN true WHEN p OR NOT f THEN false END")
+rule("parsed_times", "orders", "o_orderkey", {"t": "CASE o_orderkey % 4 WHEN 0 THEN substring(CAST(o_orderdate AS STRING), 1, 10) || 'T04:05:06Z' WHEN 1 THEN substring(CAST(o_orderdate AS STRING), 1, 10) || 'T04:05:06+02:00' WHEN 2 THEN o_orderpriority ELSE substring(CAST(o_orderdate AS STRING), 1, 10) END", "d": "substring(CAST(o_orderdate AS STRING), 1, 10)", "k": "o_orderkey % 4"}, lambda t, d, k: F.date_format(dates.parsed(t), "yyyy-MM-dd HH:mm:ss"), "string", "CASE k WHEN 0 THEN d || ' 04:05:06' WHEN 1 THEN d || ' 02:05:06' WHEN 3 THEN d || ' 00:00:00' END")
+rule("published_cutoffs", "orders", "o_orderkey", {"t": "o_orderdate", "d": "CASE o_orderkey % 3 WHEN 0 THEN '1998-03-05' WHEN 1 THEN 'soon' END", "k": "o_orderkey % 3"}, lambda t, d, k: posts.before_day(t.cast("timestamp"), "America/New_York", d), "boolean", "k = 0 AND t < TIMESTAMP '1998-03-05 05:00:00'")
