@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.operators import tables
+
 #: The C library's call that returns free memory, where there is one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
@@ -122,9 +124,8 @@ def _slices(batches: Iterator[pa.RecordBatch], slice_bytes: int, closing: bool)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without the setting (tests) one beside the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = spark._jvm.org.apache.hadoop.fs.Path(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    """The folder that driver and executors share; without the setting one beside the warehouse on one machine, an error on a cluster."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables.shared_dir(spark))
     # with its file system in the address, so that executors read it where Spark does
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 

@@ -256,3 +256,26 @@ def test_pipeline_keeps_clean_documents(spark):
             assert not [r for r in secrets.scan(docs).collect() if r.spans]
             assert all(r.n_chars == len(r.text) for r in docs.collect())
     assert corpus_pipeline.run(spark, SMALL).count() == kept["byte-level BPE"]
+
+
+def test_pipeline_over_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty and repeated rows, columns named like the stages' own; then no documents at all."""
+    import corpus_pipeline
+
+    good = "The quick brown fox jumps over the lazy dog near the river bank. " * 6
+    rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (2, None, "en", None, None), (3, "", None, "s", 0), (None, good + "other words", "en", "s", 9), (None, None, None, None, None), (4, "x" * 60_000, "en", "s", 60_000)]
+    wide = [(*r, 1.5, 7, "w", [1], 2) for r in rows]
+    docs = spark.createDataFrame(wide, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, fp int, words string, bands array<int>, id int")
+    for name, frame in (("odd", docs), ("none", docs.limit(0))):
+        at = str(tmp_path / name)
+        frame.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (9, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "some words that no document holds in this order at all really not one"), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at)
+        ids = [r.doc_id for r in got.collect()]
+        assert got.columns[:2] == ["doc_id", "n_tokens"]
+        assert len([i for i in ids if i == 1]) <= 1 and set(ids) <= {1, 2, 3, 4, None}
+        if name == "none":
+            assert ids == []
+        else:
+            assert 1 in ids
