@@ -72,9 +72,13 @@ def expected_place(target: str, rel: Column, role: Column) -> Column:
 
 
 def backup_name(name: Column, old_sha: Column, held: Column) -> Column:
-    """``name.sha.bak``, or with the least free number from 2 to 999 where ``held`` (array of names) has it; null if all are taken."""
+    """``name.sha.bak``, or with the least free number from 2 to 999 where ``held`` (array of names) has it; null if all are taken.
+
+    One name more than are held is always enough to find a free one, so no more are made.
+    """
+    last = F.least(F.lit(999), F.size(held) + 2)
     names = F.concat(
         F.array(F.concat(name, F.lit("."), old_sha, F.lit(".bak"))),
-        F.transform(F.sequence(F.lit(2), F.lit(999)), lambda k: F.concat(name, F.lit("."), old_sha, F.lit("."), k.cast("string"), F.lit(".bak"))),
+        F.transform(F.sequence(F.lit(2), last), lambda k: F.concat(name, F.lit("."), old_sha, F.lit("."), k.cast("string"), F.lit(".bak"))),
     )
-    return F.get(F.filter(names, lambda x: ~F.array_contains(held, x)), F.lit(0))
+    return F.get(F.array_except(names, held), F.lit(0))

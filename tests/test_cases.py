@@ -115,3 +115,12 @@ def test_cases(spark, name):
     given = [function(*[_lit(v, k) for v, k in zip(r[:-1], kinds)]).cast(_kind([r[-1] for r in rows])).alias(f"c{n}") for n, r in enumerate(rows)]
     got = spark.range(1).select(*given).first()
     assert list(got) == [r[-1] for r in rows]
+
+
+def test_backup_names_are_free_up_to_the_last(spark):
+    """Numbers go on to 999, and nulls among the held names hide nothing."""
+    taken = lambda last: ["a.ff.bak", *[f"a.ff.{k}.bak" for k in range(2, last + 1)]]
+    rows = [(taken(998), "a.ff.999.bak"), (taken(999), None), (["a.ff.bak", None], "a.ff.2.bak"), ([], "a.ff.bak"), (["a.ff.2.bak", "a.ff.bak", "x"], "a.ff.3.bak"), (None, None)]
+    frame = spark.createDataFrame(rows, "held array<string>, want string")
+    name = records.backup_name(F.lit("a"), F.lit("ff"), F.col("held"))
+    assert [(r.got, r.want) for r in frame.select(name.alias("got"), "want").collect() if r.got != r.want] == []
