@@ -14,11 +14,14 @@ from . import views
 from .registry import ORACLES, QUERIES
 
 
-def rule(name: str, table: str, key: str, given: dict[str, str], function: Callable[..., Column], kind: str, sql: str) -> None:
-    """Register ``function`` of the columns ``given`` (name to expression over the table) under ``name``; ``sql`` is its value in DuckDB."""
+def rule(name: str, table: str, key: str, given: dict[str, str], function: Callable[..., Column], kind: str, sql: str, spark_given: dict[str, str] | None = None) -> None:
+    """Register ``function`` of the columns ``given`` (name to expression over the table) under ``name``; ``sql`` is its value in DuckDB.
+
+    ``spark_given`` replaces those expressions that Spark reads otherwise: its casts from double to whole numbers cut, DuckDB's round half to even.
+    """
 
     def run(spark, sf_dir):
-        rows = views.table(spark, sf_dir, table).select(F.expr(key).alias("id"), *[F.expr(e).alias(n) for n, e in given.items()])
+        rows = views.table(spark, sf_dir, table).select(F.expr(key).alias("id"), *[F.expr(e).alias(n) for n, e in (given | (spark_given or {})).items()])
         return rows.select("id", function(*[F.col(n) for n in given]).cast(kind).alias("out"))
 
     QUERIES[name] = run
@@ -88,7 +91,7 @@ rule("backoffs", "lineitem", "l_orderkey * 8 + l_linenumber", {"a": "l_linenumbe
 rule("rounded_megabytes", "lineitem", "l_orderkey * 8 + l_linenumber", {"s": "l_partkey * 123457"}, lambda s: numbers.megabytes(s), "double", "round_even(s / 1048576.0::DOUBLE, 3)")
 rule("rounded_megapixels", "lineitem", "l_orderkey * 8 + l_linenumber", {"s": "l_partkey * 1237 * l_linenumber + 1"}, lambda s: numbers.megapixels(s), "double", "round_even(s / 1000000.0::DOUBLE, 3)")
 rule("finite_values", "orders", "o_orderkey", {"v": "CASE o_orderkey % 4 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE o_totalprice END"}, lambda v: numbers.finite(v), "double", "CASE WHEN isfinite(v) THEN v ELSE 0 END")
-rule("size_caps", "orders", "o_orderkey", {"s": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS BIGINT) * 10 END", "m": "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 3 END"}, lambda s, m: posts.too_big(s, m), "boolean", "coalesce(s > m * 1048576, false)")
+rule("size_caps", "orders", "o_orderkey", {"s": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS BIGINT) * 10 END", "m": "CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 3 END"}, lambda s, m: posts.too_big(s, m), "boolean", "coalesce(s > m * 1048576, false)", {"s": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(bround(o_totalprice) AS BIGINT) * 10 END"})
 rule("kinds_or_other", "orders", "o_orderkey", {"k": "CASE o_orderkey % 5 WHEN 0 THEN 'zip' WHEN 1 THEN 'loose-media' WHEN 2 THEN 'other' WHEN 3 THEN o_orderpriority END", "n": "o_orderkey % 5"}, lambda k, n: posts.kind_or_other(k), "string", "CASE n WHEN 0 THEN 'zip' WHEN 1 THEN 'loose-media' ELSE 'other' END")
 rule("statuses_or_failed", "orders", "o_orderkey", {"s": "CASE o_orderkey % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'locked' WHEN 2 THEN o_orderstatus END", "n": "o_orderkey % 4"}, lambda s, n: posts.status_or_failed(s), "string", "CASE n WHEN 0 THEN 'planned' WHEN 1 THEN 'locked' ELSE 'failed' END")
 rule("summary_lines", "orders", "o_orderkey", {"c": "o_orderpriority", "a": "o_custkey % 3", "l": "o_orderkey % 4", "e": "o_custkey % 2", "d": "o_orderkey % 2"}, lambda c, a, l, e, d: posts.summary_line(c, a, l, e, d, a + l + e + d), "string", "CASE WHEN a + l + e + d = 0 THEN c || ': 0 posts in window' WHEN a = 0 AND e + d = 0 THEN c || ': 0 accessible posts in window (' || l || ' listed, ' || l || ' locked for your tier)' ELSE c || ': ' || a || ' accessible, ' || l || ' locked, ' || e || ' excluded, ' || d || ' deferred (' || (a + l + e + d) || ' listed)' END")
@@ -112,6 +115,6 @@ part("secret_keys", {"v": "'{\"' || CASE p_size % 4 WHEN 0 THEN 'my_Token' WHEN
 part("pledge_signals", {"v": "'{\"data\":{\"relationships\":{' || CASE p_size % 5 WHEN 0 THEN '\"current_user_pledge\":{\"data\":{\"id\":\"' || p_partkey || '\"}}' WHEN 1 THEN '\"current_user_pledge\":{\"data\":null}' WHEN 2 THEN '\"current_user_pledge\":{\"data\":[{\"id\":\"1\"}]}' WHEN 3 THEN '\"current_user_pledge\":{}' ELSE '' END || '}}}'", "k": "p_size % 5"}, lambda v, k: feed.pledge_signal(v), "string", "CASE k WHEN 0 THEN 'present' WHEN 1 THEN 'explicit_none' WHEN 2 THEN 'present' ELSE 'missing' END")
 part("include_lists", {"t": "CASE p_size % 4 WHEN 0 THEN 'A map of ' || p_name WHEN 1 THEN 'Set ' || p_size WHEN 2 THEN 'POLL: map?' WHEN 3 THEN p_type END", "k": "p_size % 4"}, lambda t, k: feed.access_label(t, F.lit(True), F.lit(1), F.lit(0), ["(?i)poll"], ["(?i)map", "^Set"]), "string", "CASE WHEN k < 2 THEN 'accessible' ELSE 'excluded' END")
 rule("document_links", "pages", "page_id", {"v": "'{\"a\":{\"href\":\"' || url || '\"},\"b\":[{\"href\":\"/rel\"},{\"c\":{\"href\":\"http://y.example/' || page_id || '\"}}]}'", "u": "url", "i": "page_id"}, lambda v, u, i: F.array_join(web.document_hrefs(v), " "), "string", "u || ' http://y.example/' || i")
-rule("tier_gates", "orders", "o_orderkey", {"p": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "f": "CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "c": "CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN CAST(o_totalprice AS BIGINT) END"}, lambda p, f, c: feed.tier_gated(p, f, c), "boolean", "CASE WHEN f OR NOT p OR c > 0 THEN true WHEN p OR NOT f THEN false END")
+rule("tier_gates", "orders", "o_orderkey", {"p": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "f": "CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END", "c": "CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN CAST(o_totalprice AS BIGINT) END"}, lambda p, f, c: feed.tier_gated(p, f, c), "boolean", "CASE WHEN f OR NOT p OR c > 0 THEN true WHEN p OR NOT f THEN false END", {"c": "CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN CAST(bround(o_totalprice) AS BIGINT) END"})
 rule("parsed_times", "orders", "o_orderkey", {"t": "CASE o_orderkey % 4 WHEN 0 THEN substring(CAST(o_orderdate AS STRING), 1, 10) || 'T04:05:06Z' WHEN 1 THEN substring(CAST(o_orderdate AS STRING), 1, 10) || 'T04:05:06+02:00' WHEN 2 THEN o_orderpriority ELSE substring(CAST(o_orderdate AS STRING), 1, 10) END", "d": "substring(CAST(o_orderdate AS STRING), 1, 10)", "k": "o_orderkey % 4"}, lambda t, d, k: F.date_format(dates.parsed(t), "yyyy-MM-dd HH:mm:ss"), "string", "CASE k WHEN 0 THEN d || ' 04:05:06' WHEN 1 THEN d || ' 02:05:06' WHEN 3 THEN d || ' 00:00:00' END")
 rule("published_cutoffs", "orders", "o_orderkey", {"t": "o_orderdate", "d": "CASE o_orderkey % 3 WHEN 0 THEN '1998-03-05' WHEN 1 THEN 'soon' END", "k": "o_orderkey % 3"}, lambda t, d, k: posts.before_day(t.cast("timestamp"), "America/New_York", d), "boolean", "k = 0 AND t < TIMESTAMP '1998-03-05 05:00:00'")
