@@ -26,3 +26,40 @@ def test_size_caps_round_as_their_sql(spark, tmp_path):
 def test_tier_gates_round_as_their_sql(spark, tmp_path):
     rows = [(1 + 4 * k, 1, "F", p) for k, p in enumerate([0.4, 0.5, 0.6, 1.4, -0.5, -0.6, None])]
     same_as_sql(spark, tmp_path, "tier_gates", orders=spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double"))
+
+
+def test_parts_of_copies_need_no_pairs(spark, tmp_path):
+    """Few names, many copies, all totals: the rows are those of the SQL over all pairs."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Red "), F.element_at(F.array(*map(F.lit, ("bolt", "ring"))), (F.col("id") % 3 % 2 + 1).cast("int"))).alias("p_name"), (F.hash("id") % 25 + 25).cast("int").alias("p_size"))
+    rows = rows.unionByName(spark.createDataFrame([(900, None, 5), (904, "red bolt", 0), (906, "red", 50)], "p_partkey bigint, p_name string, p_size int"))
+    folder = tmp_path / "few"
+    folder.mkdir()
+    for name in ("marker_collapse", "marker_losers", "parts_found", "part_matches"):
+        same_as_sql(spark, folder, name, part=rows.withColumn("p_size", F.col("p_size").cast("int")))
+
+
+def test_collapse_makes_no_pairs(spark):
+    """The rows that reach the shuffles of 3,000 copies of one name stay far below their two million pairs."""
+    from foliant.operators import parts
+
+    def made(frame):
+        frame.collect()
+        plan, most, todo = frame._jdf.queryExecution().executedPlan(), 0, []
+        todo.append(plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan)
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.finalPhysicalPlan())
+            elif "QueryStage" in node.nodeName():
+                todo.append(node.plan())
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+
+    over = spark.range(0, 3000, 2).selectExpr("id", "'' AS set_dir", "array('red', 'bolt') AS tokens", "CAST(10 + id % 40 AS int) AS pixels")
+    cand = spark.range(3000).selectExpr("id", "'' AS set_dir", "array('red', 'a', 'bolt') AS tokens", "CAST(id % 25 AS int) AS pixels", "concat('p/', id) AS path")
+    assert made(parts.collapse(over, cand)) < 100_000 < made(parts.matches(over, cand))
+    assert made(parts.verdicts(over, cand)) < 100_000
