@@ -146,3 +146,21 @@ def test_slices_hold_every_timed_row(spark):
     frame = spark.range(1000).select(F.timestamp_seconds(F.col("id") * F.col("id")).alias("at"), "id").unionByName(spark.createDataFrame([(None, 1)], "at timestamp, id bigint"))
     parts = runs.slices(frame, "at", 7)
     assert sum(p.count() for p in parts) == 1000 and runs.slices(frame.limit(0), "at", 3) == []
+
+
+def test_jobs_share_the_state_of_their_bucket(spark, tmp_path):
+    """5,000 open jobs are at most a value and a timer for each bucket, and every one of them falls due."""
+    events = spark.range(5000).select(F.concat(F.lit("j"), "id").alias("job"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7).alias("at"), F.when(F.col("id") % 2 == 0, "placed").otherwise("failed").alias("status"))
+    base, made = str(tmp_path / "s"), []
+    commit = lambda batch, number: made.extend(batch.collect())
+    before = spark.conf.get(jobs._PROVIDER)
+    spark.conf.set(jobs._PROVIDER, jobs._ROCKS)
+    try:
+        runs.arrive(events, base)
+        progress = runs.advance_each(spark, base, lambda rows: jobs.job_stream(rows, keep_days=10, stale_days=20), commit, "append")
+        assert 0 < max(p["held"] for p in progress) <= 4 * jobs.BUCKETS
+        runs.arrive(runs.marker(events, "at", START + timedelta(days=30)), base)
+        runs.advance_each(spark, base, lambda rows: jobs.job_stream(rows, keep_days=10, stale_days=20), commit, "append")
+    finally:
+        spark.conf.set(jobs._PROVIDER, before)
+    assert sorted((r.job, r.status) for r in made) == sorted((f"j{k}", s) for k in range(5000) for s in ("new", *(("placed", "recycle") if k % 2 == 0 else ("failed", "stale"))))
