@@ -1,7 +1,8 @@
 """Paged feeds as a streaming source: the offset of a feed is the cursor of the page that comes next.
 
-Pages lie in a store, a folder of Parquet files partitioned by feed with the columns cursor ('' for the first
-page), next ('' for none), payload.  The driver only follows links; executors read the pages of their partition.
+Pages lie in a store, a folder of Parquet files partitioned by a bucket of the feed's name, with the columns feed, cursor
+('' for the first page), next ('' for none), payload.  The driver only follows links, a bucket at a time; executors read the
+pages of a bucket.
 Every read is tried again after growing waits, as a feed's server would be.
 """
 
@@ -9,14 +10,15 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators.tables import shared_dir
@@ -27,6 +29,8 @@ SCHEMA = "feed string, number int, cursor string, next string, payload string"
 ATTEMPTS, LONGEST_WAIT = 3, 120.0
 #: Pages of one feed that are ever read.
 PAGES = 40
+#: Folders of a store, and tasks of a batch.
+BUCKETS = 64
 
 
 def retried(call: Callable, attempts: int = ATTEMPTS, first_wait: float = 1.0):
@@ -41,38 +45,50 @@ def retried(call: Callable, attempts: int = ATTEMPTS, first_wait: float = 1.0):
 
 
 class PageStore:
-    """The pages of feeds in a folder that driver and executors share."""
+    """The pages of feeds in a folder that driver and executors share; feeds lie together by bucket."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def _folders(self) -> dict[str, str]:
-        """Folder of each feed; the writer escapes what paths can't hold."""
+    def _rows(self, bucket: int, columns: list[str], only: list[str] | None = None) -> Iterator[dict]:
+        """Rows of a bucket, the pages of ``only`` these cursors; a batch of them at a time is in memory."""
         system, name = resolve(self.path)
-        found = system.get_file_info(pa.fs.FileSelector(name))
-        return {unquote(f.base_name.split("=", 1)[1]): f.path for f in found if f.base_name.startswith("feed=")}
-
-    def feeds(self) -> list[str]:
-        return sorted(self._folders())
-
-    def _rows(self, feed: str, columns: list[str], only: list[str]) -> list[dict]:
-        pages = ds.dataset(self._folders()[feed], filesystem=resolve(self.path)[0], format="parquet")
-        return pages.to_table(columns, filter=ds.field("cursor").isin(only)).to_pylist()
+        folder = f"{name.rstrip('/')}/bucket={bucket}"
+        if system.get_file_info(folder).type == pa.fs.FileType.NotFound:
+            return
+        pages = ds.dataset(folder, filesystem=system, format="parquet")
+        for batch in pages.to_batches(columns=columns, filter=None if only is None else ds.field("cursor").isin(only), batch_size=4096):
+            yield from batch.to_pylist()
+
+    def links(self, bucket: int) -> dict[str, dict[str, str]]:
+        """For each feed of a bucket the cursor after every page, '' at the end; the first of pages with one cursor counts."""
+        found: dict[str, dict[str, str]] = {}
+        for row in self._rows(bucket, ["feed", "cursor", "next"]):
+            found.setdefault(row["feed"], {}).setdefault(row["cursor"], row["next"] or "")
+        return found
+
+    def pages(self, bucket: int, wanted: set[tuple[str, str]]) -> list[dict]:
+        """The pages (feed, cursor) of a bucket, each once."""
+        left, out = set(wanted), []
+        for row in self._rows(bucket, ["feed", "cursor", "next", "payload"], sorted({cursor for _, cursor in wanted})):
+            if (row["feed"], row["cursor"]) in left:
+                left.discard((row["feed"], row["cursor"]))
+                out.append(row)
+        if left:
+            raise KeyError(f"pages are gone: {sorted(left)[:5]}")
+        return out
 
-    def following(self, feed: str, cursor: str) -> str | None:
-        """The cursor after a page: '' at the end, None if there is no such page (yet)."""
-        rows = self._rows(feed, ["next"], [cursor])
-        return (rows[0]["next"] or "") if rows else None
 
-    def pages(self, feed: str, cursors: list[str]) -> list[dict]:
-        return self._rows(feed, ["cursor", "next", "payload"], cursors)
+def bucket_of(feed: str) -> int:
+    return zlib.crc32(feed.encode()) % BUCKETS
 
 
 @dataclass
 class Pages(InputPartition):
-    feed: str
-    cursors: list[str]
-    first: int
+    """Pages to read of one bucket: feed, cursors, number of the first."""
+
+    bucket: int
+    feeds: list[tuple[str, list[str], int]]
 
 
 class FeedReader(DataSourceStreamReader):
@@ -102,14 +118,14 @@ class FeedReader(DataSourceStreamReader):
         system.move(f"{name}.new", name)
 
     def initialOffset(self) -> dict:
-        return {feed: ["", []] for feed in retried(self.store.feeds, first_wait=self.wait)}
+        return {feed: ["", []] for bucket in range(BUCKETS) for feed in retried(lambda: self.store.links(bucket), first_wait=self.wait)}
 
-    def _step(self, feed: str, cursor: str | None, seen: list[str]) -> list:
+    def _step(self, links: dict[str, str], cursor: str | None, seen: list[str]) -> list:
         seen = list(seen)
         for _ in range(self.per_batch):
             if cursor is None or len(seen) >= self.most:
                 break
-            after = retried(lambda: self.store.following(feed, cursor), first_wait=self.wait)
+            after = links.get(cursor)
             if after is None:  # not there yet: asked for again with the next batch
                 break
             seen.append(cursor)
@@ -117,27 +133,28 @@ class FeedReader(DataSourceStreamReader):
         return [cursor, seen]
 
     def latestOffset(self) -> dict:
-        at = self.now or (self.position and self._noted()) or self.initialOffset()
-        for feed in retried(self.store.feeds, first_wait=self.wait):
-            at.setdefault(feed, ["", []])
-        self.now = {feed: self._step(feed, *state) for feed, state in at.items()}
+        """One reading of each bucket's links moves all of its feeds on."""
+        at = dict(self.now or (self.position and self._noted()) or {})
+        for bucket in range(BUCKETS):
+            for feed, links in retried(lambda: self.store.links(bucket), first_wait=self.wait).items():
+                at[feed] = self._step(links, *at.get(feed, ["", []]))
+        self.now = at
         if self.position:
             self._note()
         return self.now
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
-        out = []
+        out: dict[int, list] = {}
         for feed, (_, seen) in end.items():
             before = len(start.get(feed, ["", []])[1])
             if len(seen) > before:
-                out.append(Pages(feed, seen[before:], before))
-        return out
+                out.setdefault(bucket_of(feed), []).append((feed, seen[before:], before))
+        return [Pages(bucket, feeds) for bucket, feeds in sorted(out.items())]
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        found = {p["cursor"]: p for p in retried(lambda: self.store.pages(partition.feed, partition.cursors), first_wait=self.wait)}
-        for n, cursor in enumerate(partition.cursors):
-            page = found[cursor]
-            yield partition.feed, partition.first + n, cursor, page["next"], page["payload"]
+        numbers = {(feed, cursor): first + n for feed, cursors, first in partition.feeds for n, cursor in enumerate(cursors)}
+        for page in retried(lambda: self.store.pages(partition.bucket, set(numbers)), first_wait=self.wait):
+            yield page["feed"], numbers[page["feed"], page["cursor"]], page["cursor"], page["next"], page["payload"]
 
     def commit(self, end: dict) -> None:
         pass
@@ -175,8 +192,9 @@ def feed_stream(spark: SparkSession, path: str, source: type[FeedSource] = FeedS
 
 
 def save_pages(pages: DataFrame, path: str) -> None:
-    """Write pages (feed, cursor, next, payload) as a store; null cursors and links are ''."""
-    pages.selectExpr("feed", "coalesce(cursor, '') AS cursor", "coalesce(next, '') AS next", "payload").write.mode("append").partitionBy("feed").parquet(path)
+    """Write pages (feed, cursor, next, payload) as a store; null cursors and links are '', a feed without a name has the writer's name for none."""
+    named = pages.selectExpr("coalesce(nullif(feed, ''), '__HIVE_DEFAULT_PARTITION__') AS feed", "coalesce(cursor, '') AS cursor", "coalesce(next, '') AS next", "payload")
+    named.withColumn("bucket", F.crc32(F.col("feed").cast("binary")) % BUCKETS).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_feed(spark: SparkSession, path: str, *, source: type[FeedSource] = FeedSource, at: str | None = None, **options) -> DataFrame:

@@ -164,3 +164,15 @@ def test_jobs_share_the_state_of_their_bucket(spark, tmp_path):
     finally:
         spark.conf.set(jobs._PROVIDER, before)
     assert sorted((r.job, r.status) for r in made) == sorted((f"j{k}", s) for k in range(5000) for s in ("new", *(("placed", "recycle") if k % 2 == 0 else ("failed", "stale"))))
+
+
+def test_many_feeds_cost_a_reading_of_each_bucket(spark, tmp_path, monkeypatch):
+    """800 feeds: the folders and tasks are those of the buckets, whatever the number of feeds."""
+    path = str(tmp_path / "store")
+    store(spark, path, [f"f{k}" for k in range(800)], 3)
+    folders = [p for p in (tmp_path / "store").iterdir() if p.is_dir()]
+    assert len(folders) <= feed_source.BUCKETS
+    reader = feed_source.FeedReader(feed_source.PageStore(path), 2, 40, 0.01, "")
+    end = reader.latestOffset()
+    assert len(end) == 800 and len(reader.partitions({}, end)) <= feed_source.BUCKETS
+    assert len(read(feed_source.read_feed(spark, path, at=str(tmp_path / "at"), pages_per_batch=2))) == 2400
