@@ -36,21 +36,17 @@ def posts_of(pages: DataFrame, json: str = "payload") -> DataFrame:
 def media_of(pages: DataFrame, json: str = "payload") -> DataFrame:
     """post_id, media_id, name, url, kind, size of every file a post refers to; the first of equal addresses counts.
 
-    References find included resources by type and id; where no resource has both, by id alone.
+    References find included resources by type and id; where no resource has both, by id alone.  A page is one row that
+    holds both sides, so they meet in that row and only the files found are shuffled.
     """
-    own = pages.select("page", F.from_json(json, PAGE).alias("p"))
+    own = pages.select(F.from_json(json, PAGE).alias("p"))
     refs = (
-        own.select("page", F.explode("p.data").alias("d")).select("page", F.col("d.id").alias("post_id"), F.explode("d.relationships").alias("rel", "r"))
-        .select("page", "post_id", "rel", F.posexplode("r.data").alias("pos", "ref")).filter(F.col("rel").isin(*FILE_RELATIONSHIPS, "images", "media"))
-    )
-    found = own.select("page", F.posexplode("p.included").alias("n", "i")).select("page", "n", F.col("i.id").alias("id"), F.col("i.type").alias("type"), F.col("i.attributes").alias("a"))
-    typed = found.groupBy("page", "id", "type").agg(F.min_by("a", "n").alias("typed"))
-    loose = found.groupBy("page", "id").agg(F.min_by("a", "n").alias("loose"))
-    joined = (
-        refs.join(typed, (refs["page"] == typed["page"]) & (F.col("ref.id") == typed["id"]) & (F.col("ref.type") == typed["type"]), "left").drop(typed["page"], typed["id"])
-        .join(loose, (refs["page"] == loose["page"]) & (F.col("ref.id") == loose["id"]), "left").drop(loose["page"], loose["id"])
-        .withColumn("a", F.coalesce("typed", "loose")).filter("a IS NOT NULL")
+        own.select(F.col("p.included").alias("inc"), F.explode("p.data").alias("d")).select("inc", F.col("d.id").alias("post_id"), F.explode("d.relationships").alias("rel", "r"))
+        .select("inc", "post_id", "rel", F.posexplode("r.data").alias("pos", "ref")).filter(F.col("rel").isin(*FILE_RELATIONSHIPS, "images", "media"))
     )
+    first = lambda test: F.get(F.filter("inc", test), F.lit(0))["attributes"]
+    typed = first(lambda i: (i["id"] == F.col("ref.id")) & (i["type"] == F.col("ref.type")))
+    joined = refs.withColumn("a", F.coalesce(typed, first(lambda i: i["id"] == F.col("ref.id")))).drop("inc").filter("a IS NOT NULL")
     filled = lambda *names: F.coalesce(*[F.nullif(F.col(f"a.{n}"), F.lit("")) for n in names], F.lit(""))
     made = joined.select(
         "post_id", "rel", "pos", F.col("ref.id").alias("media_id"), filled("name", "file_name").alias("name"),
