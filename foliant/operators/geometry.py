@@ -116,15 +116,12 @@ def nearest_sibling(missing: DataFrame, located: DataFrame, key: str) -> DataFra
 def missing_cells(cells: DataFrame, located: DataFrame, key: str, slack: int = 2) -> DataFrame:
     """Cells (key, cell, x, y) near which no part (key, x, y) was located: farther than ``slack`` in x or y from all of its sheet.
 
-    Both sides are put on a grid as wide as the slack; a cell looks into the nine squares about its own.
+    Cells and parts meet once, by sheet: the distinct places of a sheet's parts are one array, which lies beside each of its cells.
     """
-    size = slack + 1
-    square = lambda x, y: F.struct(F.floor(x / size).alias("gx"), F.floor(y / size).alias("gy"))
-    parts = located.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"), square(F.col("x"), F.col("y")).alias("_g")).distinct()
-    near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda a: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda b: F.struct((F.floor(F.col("x") / size) + a).alias("gx"), (F.floor(F.col("y") / size) + b).alias("gy")))))
-    looks = cells.select(key, "cell", "x", "y", F.explode(near).alias("g"))
-    hit = looks.join(parts, (F.col(key) == F.col("_k")) & (F.col("g") == F.col("_g")) & (F.abs(F.col("x") - F.col("_x")) <= slack) & (F.abs(F.col("y") - F.col("_y")) <= slack)).select(key, "cell", "x", "y").distinct()
-    return cells.join(hit, [key, "cell", "x", "y"], "left_anti")
+    parts = located.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col(key).alias("_k")).agg(F.collect_set(F.struct(F.col("x").alias("px"), F.col("y").alias("py"))).alias("_p"))
+    near = F.exists("_p", lambda p: (F.abs(F.col("x") - p["px"]) <= slack) & (F.abs(F.col("y") - p["py"]) <= slack))
+    met = cells.join(parts, F.col(key) == F.col("_k"), "left")
+    return met.filter(~F.coalesce(near, F.lit(False))).select(*cells.columns)
 
 
 def padding(rects: DataFrame, key: str, width: int, height: int) -> DataFrame:

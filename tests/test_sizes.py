@@ -63,3 +63,28 @@ def test_collapse_makes_no_pairs(spark):
     cand = spark.range(3000).selectExpr("id", "'' AS set_dir", "array('red', 'a', 'bolt') AS tokens", "CAST(id % 25 AS int) AS pixels", "concat('p/', id) AS path")
     assert made(parts.collapse(over, cand)) < 100_000 < made(parts.matches(over, cand))
     assert made(parts.verdicts(over, cand)) < 100_000
+
+
+def shuffles(frame):
+    """Exchanges of the plan as it is before anything has run."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_cells_and_parts_meet_once(spark, tmp_path):
+    """One exchange for each side, and the rows of the SQL on sheets of many parts, a few, and none near."""
+    rows = [(s, 7 * k % 200, 3 * k % 50, k % 7 + 1) for s, n in ((1, 400), (2, 3), (3, 1)) for k in range(n)]
+    items = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int")
+    same_as_sql(spark, tmp_path, "missing_cells", lineitem=items)
+    assert shuffles(QUERIES["missing_cells"](spark, str(tmp_path))) <= 2
+
+
+def test_references_find_resources_in_their_page(spark, tmp_path):
+    """Two exchanges: the pages' own and that of the files; the type decides before the id, the first of equals counts."""
+    from foliant.operators import feed
+
+    items = spark.createDataFrame([(k % 5, k % 11) for k in range(200)], "l_orderkey bigint, l_partkey bigint")
+    same_as_sql(spark, tmp_path, "page_media", lineitem=items)
+    assert shuffles(QUERIES["page_media"](spark, str(tmp_path))) <= 2
+    page = '{"data":[{"id":"1","relationships":{"media":{"data":[{"id":"7","type":"media"},{"id":"8","type":"x"},{"id":"9","type":"media"}]}}}],"included":[{"id":"7","type":"other","attributes":{"url":"o"}},{"id":"7","type":"media","attributes":{"url":"m"}},{"id":"7","type":"media","attributes":{"url":"n"}},{"id":"8","type":"media","attributes":{"url":"l"}}]}'
+    got = feed.media_of(spark.createDataFrame([("p", page), ("q", None)], "page string, payload string"))
+    assert sorted((r.post_id, r.media_id, r.url) for r in got.collect()) == [("1", "7", "m"), ("1", "8", "l")]
