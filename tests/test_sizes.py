@@ -65,6 +65,27 @@ def test_collapse_makes_no_pairs(spark):
     assert made(parts.verdicts(over, cand)) < 100_000
 
 
+def test_pairs_of_copies_are_dealt_and_take_little_room(spark, tmp_path):
+    """One name with many copies is not one task, and its pairs take little room in files (0.99 byte each before); the rows are all pairs."""
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from foliant.operators import parts
+
+    over = spark.range(0, 1200, 2).selectExpr("id", "'' AS set_dir", "array('red', 'bolt') AS tokens", "CAST(10 + hash(id) % 9 AS int) AS pixels")
+    cand = spark.range(10000).selectExpr("id", "'' AS set_dir", "array('red', 'a', 'bolt') AS tokens", "CAST(id % 19 AS int) AS pixels", "concat('p/', id) AS path")
+    frame = parts.matches(over, cand).withColumn("task", F.spark_partition_id())
+    frame.write.parquet(out := str(tmp_path / "pairs"))
+    got = spark.read.parquet(out)
+    want = over.alias("o").join(cand.alias("c"), F.expr("c.pixels < o.pixels AND c.id <> o.id")).agg(F.count("*"), F.sum(F.expr("xxhash64(o.id, c.id, 'a', c.pixels, c.path, o.pixels) % 1000003"))).first()
+    assert got.agg(F.count("*"), F.sum(F.expr("xxhash64(overview_id, part_id, marker, pixels, path, total) % 1000003"))).first() == want
+    each = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert len(each) > 1 and max(each) < 0.8 * sum(each)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{out}/*.parquet")) < 0.6 * sum(each)
+
+
 def shuffles(frame):
     """Exchanges of the plan as it is before anything has run."""
     return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
