@@ -122,3 +122,31 @@ def test_zip_contents_takes_the_same_of_equal_paths(spark, tmp_path):
         spark.createDataFrame([(100, "F")], "o_orderkey bigint, o_orderstatus string").toPandas().to_parquet(f"{folder}/orders.parquet", index=False)
         seen.add(tuple(sorted(r["size"] for r in QUERIES["zip_contents"](spark, str(folder)).collect())))
     assert len(seen) == 1
+
+
+def test_losers_of_copies_are_dealt_and_seen_once(spark, tmp_path):
+    """Losers of one name come from several tasks, take little room in files, and no frame is gone through anew for each row; the rows are those of all pairs."""
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from foliant.operators import parts
+
+    over = spark.range(0, 900, 3).selectExpr("id", "'' AS set_dir", "array('red', 'bolt') AS tokens", "CAST(30 AS int) AS pixels")
+    cand = spark.range(9000).selectExpr("id", "'' AS set_dir", "array('red', 'a', 'bolt') AS tokens", "CAST(id % 190 / 10 AS int) AS pixels", "concat('p/', id) AS path")
+    frame = parts.losers(over, cand)
+    assert "unboundedfollowing" not in frame._jdf.queryExecution().optimizedPlan().toString().lower()
+    frame.withColumn("task", F.spark_partition_id()).write.parquet(out := str(tmp_path / "lost"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW got AS SELECT overview_id, marker, path, kept_path FROM '{out}/*.parquet'")
+    db.execute("""CREATE TABLE want AS WITH x AS (SELECT o.id AS overview_id, c.id AS part_id, CAST(c.id % 190 // 10 AS INT) AS pixels, 'p/' || c.id AS path FROM range(0, 900, 3) o(id), range(9000) c(id) WHERE o.id <> c.id),
+        b AS (SELECT *, min({'p': -pixels, 'n': length(path), 'path': path}) OVER w AS best FROM x WINDOW w AS (PARTITION BY overview_id ORDER BY part_id ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT *, CASE WHEN best.path <> path THEN best.path ELSE lead(CASE WHEN best.path = path THEN path END IGNORE NULLS) OVER (PARTITION BY overview_id ORDER BY part_id) END AS kept_path FROM b)
+        SELECT overview_id, 'a' AS marker, path, kept_path FROM h WHERE kept_path IS NOT NULL""")
+    count = lambda sql: db.sql(f"SELECT count(*) FROM ({sql})").fetchall()[0][0]
+    assert count("FROM got") == count("FROM want") > 2_600_000
+    assert count("FROM got EXCEPT FROM want") == count("FROM want EXCEPT FROM got") == 0
+    each = [n for _, n in db.sql(f"SELECT task, count(*) FROM '{out}/*.parquet' GROUP BY task").fetchall()]
+    assert len(each) > 1 and max(each) < 0.8 * sum(each)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{out}/*.parquet")) < 0.6 * sum(each)
